@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schemas import MODELS
 from ..settings import EMOTIONS
@@ -24,8 +24,11 @@ def scrub_nonfinite(columns: list[str]) -> dict[str, Column]:
     return {c: finite(F.col(c).cast("double")) for c in columns}
 
 
-def multimodel_features(categories: Column) -> Column:
-    """Map of classifier features from the score columns of a classified text."""
+def with_multimodel_features(df: DataFrame, categories: Column | None = None, out: str = "features") -> DataFrame:
+    """Map of classifier features from the score columns of a classified text.
+
+    `categories` may carry further scores; those not covered by the model outputs are added.
+    """
     outputs = F.col("model_outputs")
     targets = F.coalesce(outputs["target"], empty_scores())
     summary = F.create_map(
@@ -37,10 +40,12 @@ def multimodel_features(categories: Column) -> Column:
     )
     name = F.concat(F.lit("hate_target_is_"), F.replace(F.lower(strip(F.col("hate_target"))), F.lit(" "), F.lit("_")))
     one_hot = F.when(is_blank(F.col("hate_target")), empty_scores()).otherwise(F.create_map(name, F.lit(1.0)))
-    known = F.map_concat(summary, one_hot, *[prefixed(outputs[m], f"{m}_") for m in MODELS])
-    names = F.map_keys(known)
-    extra = F.map_filter(F.coalesce(categories, empty_scores()), lambda k, v: ~F.array_contains(names, k))
-    return F.transform_values(F.map_concat(known, extra), lambda k, v: finite(v))
+    df = df.withColumn("_known", F.map_concat(summary, one_hot, *[prefixed(outputs[m], f"{m}_") for m in MODELS]))
+    if categories is not None:
+        df = df.withColumn("_names", F.map_keys("_known")).withColumn("_known", F.map_concat(
+            "_known",
+            F.map_filter(F.coalesce(categories, empty_scores()), lambda k, v: ~F.array_contains("_names", k))))
+    return df.withColumn(out, F.transform_values("_known", lambda k, v: finite(v))).drop("_known", "_names")
 
 
 def intonation_features() -> dict[str, Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schemas import MODELS
 from ..settings import DEFAULTS, TOXIC_LABELS, Settings
@@ -86,7 +86,7 @@ def overall_toxicity(categories: Column) -> Column:
     present = F.array_compact(F.array(*[F.try_element_at(categories, F.lit(n)) for n in names]))
     top = F.slice(F.sort_array(present, asc=False), 1, 3)
     total = F.aggregate(top, F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.size(top) > 0, total / F.greatest(F.size(top), F.lit(1))).otherwise(F.lit(0.0))
+    return total / F.greatest(F.size(top), F.lit(1))
 
 
 def best_entry(entries: Column) -> Column:
@@ -118,19 +118,21 @@ def top_emotion(scores: Column) -> Column:
     )
 
 
-def classify(outputs: Column, settings: Settings = DEFAULTS) -> dict[str, Column]:
-    """Every derived field of a text classification, given the five model maps."""
-    categories = merge_categories(outputs)
-    toxicity = overall_toxicity(categories)
-    target = hate_target(outputs["target"], toxicity, settings)
-    return {
-        "overall_toxicity": toxicity,
-        "is_toxic": toxicity > settings.toxicity_threshold,
-        "hate_target": target["target"],
-        "hate_target_confidence": target["confidence"],
-        "categories": categories,
-        "detected_issues": detect_issues(categories, settings),
-    }
+def with_classification(df: DataFrame, outputs: str = "model_outputs", settings: Settings = DEFAULTS) -> DataFrame:
+    """Every derived field of a text classification, given the five model maps.
+
+    Each step reads the columns of the step before, so shared parts are computed once per row.
+    """
+    return (
+        df.withColumn("categories", merge_categories(F.col(outputs)))
+        .withColumn("overall_toxicity", overall_toxicity(F.col("categories")))
+        .withColumns({
+            "is_toxic": F.col("overall_toxicity") > settings.toxicity_threshold,
+            "detected_issues": detect_issues(F.col("categories"), settings),
+            "_target": hate_target(F.col(outputs)["target"], F.col("overall_toxicity"), settings)})
+        .withColumns({"hate_target": F.col("_target.target"), "hate_target_confidence": F.col("_target.confidence")})
+        .drop("_target")
+    )
 
 
 def fallback_scores(neg: Column, neu: Column, pos: Column) -> dict[str, Column]:

@@ -47,66 +47,76 @@ def with_synthetic_intonation(df: DataFrame, settings: Settings = DEFAULTS) -> D
     )
 
 
-def sarcasm(toxicity: Column) -> Column:
-    """Struct(probability, pattern): strongest delivery pattern plus part credit for the others."""
-    spread, std, seconds = F.col("f0_range"), F.col("f0_std"), F.col("duration")
+def with_sarcasm(df: DataFrame, toxicity: str = "overall_toxicity") -> DataFrame:
+    """Adds sarcasm_probability and sarcasm_pattern: the strongest delivery pattern plus part credit
+    for the others."""
+    tox, spread, std, seconds = F.col(toxicity), F.col("f0_range"), F.col("f0_std"), F.col("duration")
     emotion, certainty = F.lower("emotion"), F.col("emotion_score")
     patterns = [
         ("deadpan", 0.35, (spread > 150) & (std < 20) & (seconds > 2)),
         ("monotone", 0.30, (std < 15) & (seconds > 3)),
-        ("emotion_mismatch", 0.40, emotion.isin("happy", "neutral") & (certainty > 0.5) & (toxicity > 0.6)),
+        ("emotion_mismatch", 0.40, emotion.isin("happy", "neutral") & (certainty > 0.5) & (tox > 0.6)),
         ("exaggerated", 0.30, (spread > 200) & (std > 40)),
         ("slow_delivery", 0.25, (seconds > 5) & (std < 25)),
-        ("happy_toxic", 0.45, (emotion == "happy") & (certainty > 0.6) & (toxicity > 0.4) & (toxicity < 0.7)),
+        ("happy_toxic", 0.45, (emotion == "happy") & (certainty > 0.6) & (tox > 0.4) & (tox < 0.7)),
     ]
     found = F.array_compact(F.array(*[
         F.when(test, F.struct(F.lit(weight).alias("weight"), F.lit(name).alias("name")))
         for name, weight, test in patterns]))
-    best = F.array_max(found)
-    total = F.aggregate(found, F.lit(0.0), lambda a, x: a + x["weight"])
+    best, total = F.col("_best"), F.col("_total")
     score = F.least(best["weight"] + 0.3 * (total - best["weight"]), F.lit(0.95))
-    return F.struct(
-        F.coalesce(score, F.lit(0.0)).alias("probability"),
-        F.coalesce(best["name"], F.lit("none")).alias("pattern"),
+    return (
+        df.withColumn("_found", found)
+        .withColumns({"_best": F.array_max("_found"),
+                      "_total": F.aggregate("_found", F.lit(0.0), lambda a, x: a + x["weight"])})
+        .withColumns({"sarcasm_probability": F.coalesce(score, F.lit(0.0)),
+                      "sarcasm_pattern": F.coalesce(best["name"], F.lit("none"))})
+        .drop("_found", "_best", "_total")
     )
 
 
-def sarcasm_discount(toxicity: Column, probability: Column, settings: Settings = DEFAULTS) -> Column:
-    """Struct(detected, score, confidence) after lowering toxicity for sarcastic delivery."""
+def sarcasm_discount(toxicity: Column, probability: Column, settings: Settings = DEFAULTS) -> dict[str, Column]:
+    """Whether sarcasm is detected, and the lowered score and its confidence."""
     detected = probability > settings.sarcasm_threshold
     cut = settings.sarcasm_reduction_min + settings.sarcasm_reduction_span * probability
-    return F.struct(
-        detected.alias("detected"),
-        F.when(detected, toxicity * (1.0 - cut)).otherwise(toxicity).alias("score"),
-        F.when(detected, probability * 0.8).otherwise(F.lit(0.0)).alias("confidence"),
-    )
-
-
-def intonation_heuristic(toxicity: Column, has_acoustic: Column) -> Column:
-    """Struct(score, confidence, factors): toxicity adjusted by emotion, pitch, energy and slope."""
+    return {
+        "detected": detected,
+        "score": F.when(detected, toxicity * (1.0 - cut)).otherwise(toxicity),
+        "confidence": F.when(detected, probability * 0.8).otherwise(F.lit(0.0)),
+    }
+
+
+def with_intonation_heuristic(df: DataFrame, toxicity: str = "overall_toxicity",
+                              has_acoustic: str = "has_acoustic") -> DataFrame:
+    """Adds heuristic_score, heuristic_certainty and heuristic_factors: toxicity adjusted by emotion,
+    pitch, energy and slope. Without an acoustic row toxicity stays as it is."""
+    tox, heard = F.col(toxicity), F.col(has_acoustic)
     emotion, certainty = F.lower("emotion"), F.col("emotion_score")
 
     def share(value: Column, full: float) -> Column:
         return F.when(value > 0, F.least(value / full, F.lit(1.0))).otherwise(F.lit(0.0))
 
-    variation = F.greatest(share(F.col("f0_std"), 50.0), share(F.col("f0_range"), 200.0))
-    energy = share(F.col("rms_mean"), 0.1)
-    steepness = share(F.abs("f0_slope"), 50.0)
-    adjustments = F.array_compact(F.array(
-        F.when(emotion.isin("angry", "fear", "disgust") & (certainty > 0.5), 0.15 * certainty)
-        .when(emotion.isin("happy", "neutral") & (certainty > 0.5), -0.05 * certainty),
-        F.when(variation > 0.6, 0.10 * variation),
-        F.when(energy > 0.6, 0.08 * energy),
-        F.when(steepness > 0.5, 0.05 * steepness),
-    ))
-    shift = F.aggregate(adjustments, F.lit(0.0), lambda a, x: a + x)
-    count = F.size(adjustments)
+    variation, energy, steepness = F.col("_variation"), F.col("_energy"), F.col("_steepness")
+    shift, count = F.col("_shift"), F.size("_adjustments")
     raw = F.least(0.3 + count * 0.15 + F.abs(shift) / F.greatest(count, F.lit(1)) * 2.0, F.lit(0.85))
-    damped = F.when((toxicity < 0.2) | (toxicity > 0.8), raw * 0.7).otherwise(raw)
-    return F.struct(
-        F.when(has_acoustic, clamp(toxicity + shift, 0.0, 1.0)).otherwise(toxicity).alias("score"),
-        F.when(has_acoustic & (count > 0), damped).otherwise(F.lit(0.0)).alias("confidence"),
-        F.when(has_acoustic, count).otherwise(F.lit(0)).alias("factors"),
+    damped = F.when((tox < 0.2) | (tox > 0.8), raw * 0.7).otherwise(raw)
+    return (
+        df.withColumns({
+            "_variation": F.greatest(share(F.col("f0_std"), 50.0), share(F.col("f0_range"), 200.0)),
+            "_energy": share(F.col("rms_mean"), 0.1),
+            "_steepness": share(F.abs("f0_slope"), 50.0)})
+        .withColumn("_adjustments", F.array_compact(F.array(
+            F.when(emotion.isin("angry", "fear", "disgust") & (certainty > 0.5), 0.15 * certainty)
+            .when(emotion.isin("happy", "neutral") & (certainty > 0.5), -0.05 * certainty),
+            F.when(variation > 0.6, 0.10 * variation),
+            F.when(energy > 0.6, 0.08 * energy),
+            F.when(steepness > 0.5, 0.05 * steepness))))
+        .withColumn("_shift", F.aggregate("_adjustments", F.lit(0.0), lambda a, x: a + x))
+        .withColumns({
+            "heuristic_score": F.when(heard, clamp(tox + shift, 0.0, 1.0)).otherwise(tox),
+            "heuristic_certainty": F.when(heard & (count > 0), damped).otherwise(F.lit(0.0)),
+            "heuristic_factors": F.when(heard, count).otherwise(F.lit(0))})
+        .drop("_variation", "_energy", "_steepness", "_adjustments", "_shift")
     )
 
 
@@ -119,36 +129,33 @@ def with_segment_outcome(df: DataFrame, settings: Settings = DEFAULTS) -> DataFr
     """Per-segment decision: trained model, else heuristic, else undecided.
 
     Reads overall_toxicity (null = no classification), has_acoustic, model_available,
-    model_probability and the acoustic columns.
+    model_probability, model_threshold and the acoustic columns.
     """
     toxicity, acoustic = F.col("overall_toxicity"), F.col("has_acoustic")
     modelled = toxicity.isNotNull() & acoustic & F.col("model_available")
     heuristic = toxicity.isNotNull() & acoustic & ~F.col("model_available")
-    df = df.withColumn("_plain", intonation_heuristic(toxicity, acoustic))
+    df = with_intonation_heuristic(df)
+    score, confidence = F.col("heuristic_score"), F.col("heuristic_certainty")
+    detected, probability, pattern = F.lit(False), F.lit(0.0), F.lit("none")
     if settings.sarcasm_enabled:
-        df = (
-            df.withColumn("_sarcasm", sarcasm(toxicity))
-            .withColumn("_cut", sarcasm_discount(toxicity, F.col("_sarcasm.probability"), settings))
-            .withColumn("_score", F.when(F.col("_cut.detected"), F.col("_cut.score")).otherwise(F.col("_plain.score")))
-            .withColumn("_confidence",
-                        F.when(F.col("_cut.detected"), F.col("_cut.confidence")).otherwise(F.col("_plain.confidence")))
-        )
-        info = F.struct(F.col("_cut.detected").alias("detected"), F.col("_sarcasm.probability").alias("probability"),
-                        F.col("_sarcasm.pattern").alias("pattern"))
-    else:
-        df = df.withColumn("_score", F.col("_plain.score")).withColumn("_confidence", F.col("_plain.confidence"))
-        info = F.struct(F.lit(False).alias("detected"), F.lit(0.0).alias("probability"),
-                        F.lit("none").alias("pattern"))
-    probability = F.col("model_probability")
+        df = with_sarcasm(df)
+        probability, pattern = F.col("sarcasm_probability"), F.col("sarcasm_pattern")
+        cut = sarcasm_discount(toxicity, probability, settings)
+        detected = cut["detected"]
+        df = df.withColumns({
+            "heuristic_score": F.when(detected, cut["score"]).otherwise(score),
+            "heuristic_certainty": F.when(detected, cut["confidence"]).otherwise(confidence)})
+    model = F.col("model_probability")
     return df.withColumns({
-        "extreme": F.when(toxicity.isNull(), F.lit(0.0)).when(heuristic, F.col("_score")).otherwise(toxicity),
-        "is_extremist": F.when(modelled, probability >= F.col("model_threshold"))
-        .when(heuristic, adaptive_decision(F.col("_score"), F.col("_confidence"), settings)),
-        "extremist_probability": F.when(modelled, probability).when(heuristic, F.col("_score")),
+        "extreme": F.when(toxicity.isNull(), F.lit(0.0)).when(heuristic, score).otherwise(toxicity),
+        "is_extremist": F.when(modelled, model >= F.col("model_threshold"))
+        .when(heuristic, adaptive_decision(score, confidence, settings)),
+        "extremist_probability": F.when(modelled, model).when(heuristic, score),
         "heuristic_used": F.coalesce(heuristic, F.lit(False)),
-        "heuristic_confidence": F.when(heuristic, F.col("_confidence")),
-        "sarcasm": F.when(heuristic, info),
-    }).drop("_plain", "_sarcasm", "_cut", "_score", "_confidence")
+        "heuristic_confidence": F.when(heuristic, confidence),
+        "sarcasm": F.when(heuristic, F.struct(
+            detected.alias("detected"), probability.alias("probability"), pattern.alias("pattern"))),
+    }).drop("heuristic_score", "heuristic_certainty", "heuristic_factors", "sarcasm_probability", "sarcasm_pattern")
 
 
 def slice_audio(samples: Column, start: Column, end: Column, sample_rate: int = DEFAULTS.sample_rate) -> Column:

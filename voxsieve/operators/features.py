@@ -12,7 +12,7 @@ from ..settings import DEFAULTS, Settings
 
 def feature_names(df: DataFrame, column: str = "features", settings: Settings = DEFAULTS) -> list[str]:
     """Sorted union of map keys; the vocabulary is small and its size is checked."""
-    keys = df.select(F.explode(F.map_keys(column)).alias("k")).distinct()
+    keys = df.select(F.explode_outer(F.map_keys(column)).alias("k")).filter("k is not null").distinct()
     found = [r["k"] for r in keys.limit(settings.max_vocabulary + 1).collect()]
     if len(found) > settings.max_vocabulary:
         raise ValueError(f"more than {settings.max_vocabulary} feature names in {column}")

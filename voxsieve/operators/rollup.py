@@ -45,7 +45,9 @@ def hate_stats(segments: DataFrame) -> DataFrame:
 def issue_frequency(segments: DataFrame) -> DataFrame:
     """Rows (file, category, n): segments of the file showing each issue."""
     return (
-        segments.select("file", F.explode("detected_issues.category").alias("category"))
+        # outer, then dropped: an inner explode repeats the scoring below it as a pushed-down filter
+        segments.select("file", F.explode_outer("detected_issues.category").alias("category"))
+        .filter(F.col("category").isNotNull())
         .groupBy("file", "category").agg(F.count("*").alias("n"))
     )
 

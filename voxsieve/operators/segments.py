@@ -19,10 +19,12 @@ def explode_segments(transcripts: DataFrame, keep_blank: bool = False, keep_empt
     keep_blank keeps blank segments (is_blank marks them); keep_empty also keeps one row with a
     null seg_idx for a transcript without segments, so rollups need no join to find it.
     """
-    explode = F.posexplode_outer if keep_empty else F.posexplode
+    # always outer: an inner explode repeats the computation of `segments` as a pushed-down filter
+    exploded = transcripts.select("file", "language", F.posexplode_outer("segments").alias("seg_idx", "segment"))
+    if not keep_empty:
+        exploded = exploded.filter(F.col("seg_idx").isNotNull())
     rows = (
-        transcripts.select("file", "language", explode("segments").alias("seg_idx", "segment"))
-        .select(
+        exploded.select(
             "file", "language", "seg_idx",
             F.col("segment.start").alias("start_s"), F.col("segment.end").alias("end_s"),
             F.when(F.col("seg_idx").isNotNull(),

@@ -11,8 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.features import as_feature_map, intonation_features, multimodel_features
-from ..functions.scores import empty_scores, fallback_scores
+from ..functions.features import as_feature_map, intonation_features, with_multimodel_features
+from ..functions.scores import fallback_scores
 from ..functions.speech import with_synthetic_intonation
 from ..functions.text import normalize_label, with_text_proxies
 from ..operators.features import feature_matrix, feature_names
@@ -29,8 +29,8 @@ def text_features(df: DataFrame, lexicon: DataFrame, keys: tuple[str, ...], sett
     polar = lexicon_polarity(with_text_proxies(df), lexicon, keys=keys, settings=settings)
     heard = with_synthetic_intonation(polar, settings)
     scored = heard.withColumns(fallback_scores(F.col("neg"), F.col("neu"), F.col("pos")))
-    both = F.map_concat(multimodel_features(empty_scores()), as_feature_map(intonation_features()))
-    return scored.withColumn("features", both)
+    featured = with_multimodel_features(scored)
+    return featured.withColumn("features", F.map_concat("features", as_feature_map(intonation_features())))
 
 
 def train_from_labels(labelled: DataFrame, key: str, lexicon: DataFrame, model_type: str = "random_forest",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.scores import classify, sigmoid, sigmoid_scores, softmax_map
+from ..functions.scores import sigmoid, sigmoid_scores, softmax_map, with_classification
 from ..functions.text import with_text_proxies
 from ..operators.segments import explode_segments
 from ..plans.recordings import timed_segments
@@ -76,8 +76,7 @@ def model_outputs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    df = model_outputs(spark, d)
-    return df.withColumns(classify(F.col("model_outputs")))
+    return with_classification(model_outputs(spark, d))
 
 
 def segs_with_scores(spark: SparkSession, d: str, *columns: str) -> DataFrame:

@@ -32,7 +32,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def entries(df: DataFrame, key: str, column: str, name: str = "label", value: str = "score") -> DataFrame:
-    return rounded(df.select(key, F.explode(column).alias(name, value)))
+    return rounded(df.select(key, F.explode_outer(column).alias(name, value)))
 
 
 # --- sources and sinks -------------------------------------------------------------------------
@@ -275,7 +275,8 @@ def merge_categories(spark, d):
 
 @query
 def detect_issues(spark, d):
-    return fx.scores(spark, d).select("vec_id", F.posexplode(sc.issue_text(F.col("detected_issues"))).alias("pos", "issue"))
+    return fx.scores(spark, d).select("vec_id", F.posexplode_outer(sc.issue_text(F.col("detected_issues"))).alias("pos", "issue")
+        ).filter("issue is not null")
 
 
 @query
@@ -335,32 +336,30 @@ def synthesize_intonation(spark, d):
 
 @query
 def sarcasm_score(spark, d):
-    df = fx.acoustic(spark, d).withColumn("s", sp.sarcasm(F.col("overall_toxicity")))
-    return rounded(df.select("vec_id", "s.probability", "s.pattern"))
+    return rounded(sp.with_sarcasm(fx.acoustic(spark, d)).select("vec_id", "sarcasm_probability", "sarcasm_pattern"))
 
 
 @query
 def sarcasm_discount(spark, d):
-    df = fx.acoustic(spark, d).withColumn("s", sp.sarcasm(F.col("overall_toxicity"))).withColumn(
-        "d", sp.sarcasm_discount(F.col("overall_toxicity"), F.col("s.probability")))
-    return rounded(df.select("vec_id", "d.detected", "d.score", "d.confidence"))
+    df = sp.with_sarcasm(fx.acoustic(spark, d))
+    cut = sp.sarcasm_discount(F.col("overall_toxicity"), F.col("sarcasm_probability"))
+    return rounded(df.withColumns(cut).select("vec_id", "detected", "score", "confidence"))
 
 
 def _heuristic(spark, d):
-    return fx.acoustic(spark, d).withColumn("has_acoustic", F.col("vec_id") % 11 != 0).withColumn(
-        "h", sp.intonation_heuristic(F.col("overall_toxicity"), F.col("has_acoustic")))
+    return sp.with_intonation_heuristic(fx.acoustic(spark, d).withColumn("has_acoustic", F.col("vec_id") % 11 != 0))
 
 
 @query
 def intonation_heuristic(spark, d):
-    return rounded(_heuristic(spark, d).select("vec_id", "h.score", "h.confidence", F.col("h.factors").alias("factors")))
+    return rounded(_heuristic(spark, d).select("vec_id", "heuristic_score", "heuristic_certainty", "heuristic_factors"))
 
 
 @query
 def adaptive_decision(spark, d):
-    flag = sp.adaptive_decision(F.col("h.score"), F.col("h.confidence"))
+    flag = sp.adaptive_decision(F.col("heuristic_score"), F.col("heuristic_certainty"))
     return rounded(_heuristic(spark, d).select(
-        "vec_id", flag.alias("is_extremist"), F.col("h.score").alias("extremist_probability")))
+        "vec_id", flag.alias("is_extremist"), F.col("heuristic_score").alias("extremist_probability")))
 
 
 def _outcomes(spark, d, settings=DEFAULTS):
@@ -401,8 +400,7 @@ def verdict_message(spark, d):
 @query
 def multimodel_features(spark, d):
     extra = F.map_concat("categories", F.create_map(F.lit("custom_score"), F.lit(0.25)))
-    df = fx.scores(spark, d).select("vec_id", feat.multimodel_features(extra).alias("f"))
-    return entries(df, "vec_id", "f", "feature", "value")
+    return entries(feat.with_multimodel_features(fx.scores(spark, d), extra), "vec_id", "features", "feature", "value")
 
 
 @query
@@ -414,7 +412,7 @@ def intonation_features(spark, d):
 
 @query
 def feature_matrix(spark, d):
-    df = fx.scores(spark, d).select("vec_id", feat.multimodel_features(F.col("categories")).alias("features"))
+    df = feat.with_multimodel_features(fx.scores(spark, d)).select("vec_id", "features")
     return rounded(features.feature_matrix(df, features.feature_names(df)))
 
 
