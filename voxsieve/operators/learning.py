@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..settings import DEFAULTS, Settings
+from ..sources.scratch import stored
 from .labels import class_balance
 from .metrics import threshold_sweep
 from .splits import kfold_assign, stratified_split
@@ -47,7 +48,8 @@ def train_boosted(df: DataFrame, names: list[str], label: str = "label", setting
     """Gradient-boosted trees under log loss."""
     return _fit(df, names, GBTClassifier(
         featuresCol="vector", labelCol=label, maxIter=settings.boosted_rounds, maxDepth=settings.boosted_depth,
-        stepSize=settings.boosted_step, subsamplingRate=settings.boosted_subsample, seed=settings.seed))
+        stepSize=settings.boosted_step, subsamplingRate=settings.boosted_subsample, seed=settings.seed,
+        maxMemoryInMB=512))
 
 
 def train_logistic(df: DataFrame, names: list[str], label: str = "label", settings: Settings = DEFAULTS) -> PipelineModel:
@@ -86,14 +88,14 @@ def small_data_guard(df: DataFrame, label: str = "label") -> bool:
 def cross_validate(df: DataFrame, key: str, names: list[str], label: str, train,
                    settings: Settings = DEFAULTS) -> DataFrame:
     """Out-of-fold scores (key, label, fold, score): each fold scored by a model of the others."""
-    folded = kfold_assign(df, key, label, settings)
+    folded = stored(kfold_assign(df, key, label, settings).select(key, label, "fold", *names), "folds")
     folds = [r["fold"] for r in folded.select("fold").distinct().orderBy("fold").collect()]
     parts = []
     for fold in folds:
         model = train(folded.filter(F.col("fold") != fold), names, label, settings)
         held = folded.filter(F.col("fold") == fold)
         parts.append(with_probability(model, held).select(key, F.col(label).alias("label"), "fold", "score"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return stored(reduce(lambda a, b: a.unionByName(b), parts), "out-of-fold")
 
 
 @dataclass
@@ -135,11 +137,12 @@ def train_classifier(df: DataFrame, key: str, names: list[str], label: str = "la
     if small_data_guard(df, label):
         fit_rows = held = df
     else:
-        parts = stratified_split(df, key, label, settings.validation_share, settings.seed)
+        split = stratified_split(df, key, label, settings.validation_share, settings.seed)
+        parts = stored(split.select(key, label, "part", *names), "split")
         fit_rows = parts.filter(F.col("part") == "train")
         held = parts.filter(F.col("part") == "validation")
     model = train(fit_rows, names, label, settings)
-    scored = with_probability(model, held).select(key, F.col(label).alias("label"), "score")
+    scored = stored(with_probability(model, held).select(key, F.col(label).alias("label"), "score"), "validation")
     threshold = settings.decision_threshold
     if settings.optimize_threshold:
         threshold = threshold_sweep(scored, "score", "label", settings.f_beta).first()["threshold"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..settings import DEFAULTS, Settings
+from ..sources.scratch import stored
 from .ordering import exact_quantiles, running_sums, with_quantile_slices
 
 # Candidate thresholds tried next to the observed scores.
@@ -19,8 +20,11 @@ def score_counts(df: DataFrame, score: str, label: str, keys: tuple[str, ...] =
 
 
 def cumulative_counts(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Adds tp and fp: positives and negatives with at least this score."""
-    sliced = with_quantile_slices(counts, "score")
+    """Adds tp and fp: positives and negatives with at least this score.
+
+    The counts are stored first: they are read several times, what they were counted from only once.
+    """
+    sliced = with_quantile_slices(stored(counts, "score-counts"), "score")
     return running_sums(sliced, list(keys), "slice", [F.col("score").desc()],
                         {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True)
 
@@ -41,11 +45,12 @@ def threshold_curve(df: DataFrame, score: str, label: str, beta: float = DEFAULT
     counts = score_counts(df, score, label)
     merged = counts.unionByName(grid_counts(counts)).groupBy("score").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    positives = counts.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("p")).scalar()
+    ranked = cumulative_counts(merged)
+    positives = ranked.agg(F.coalesce(F.max("tp"), F.lit(0)).alias("p")).first()["p"]
     square = beta * beta
     hit = (1 + square) * F.col("tp")
-    scale = hit + square * (positives - F.col("tp")) + F.col("fp")
-    return cumulative_counts(merged).select(
+    scale = hit + square * (F.lit(positives) - F.col("tp")) + F.col("fp")
+    return ranked.select(
         F.col("score").alias("threshold"), "tp", "fp",
         F.coalesce(F.try_divide(hit, scale), F.lit(0.0)).alias("fbeta"))
 

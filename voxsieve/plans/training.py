@@ -22,6 +22,7 @@ from ..operators.learning import Bundle, train_classifier, with_class_weights
 from ..operators.lexicon import lexicon_polarity
 from ..operators.metrics import prevalence_threshold
 from ..settings import DEFAULTS, Settings
+from ..sources.scratch import stored
 
 
 def text_features(df: DataFrame, lexicon: DataFrame, keys: tuple[str, ...], settings: Settings = DEFAULTS) -> DataFrame:
@@ -120,7 +121,7 @@ def fill_missing_labels(df: DataFrame, label: str, key: str, group: bool = False
         base.withColumns({f"_raw_{c}": F.col(c) for c in numeric + categorical}))
     kept = kept if group else [c if c not in numeric + categorical else f"_raw_{c}" for c in kept]
     scored = _scored(model, ready, model_type, kept)
-    scored = scored.withColumnsRenamed({f"_raw_{c}": c for c in numeric + categorical})
+    scored = stored(scored.withColumnsRenamed({f"_raw_{c}": c for c in numeric + categorical}), "filled")
     cut = default
     if model_type == "logistic" or not group:
         cut = prevalence_threshold(

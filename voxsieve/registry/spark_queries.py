@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -376,7 +377,6 @@ def _outcomes(spark, d, settings=DEFAULTS):
 
 @query
 def segment_outcome(spark, d):
-    from dataclasses import replace
     columns = ("vec_id", "extreme", "is_extremist", "extremist_probability", "heuristic_used", "heuristic_confidence")
     plain = _outcomes(spark, d).select(*columns, F.lit(False).alias("sarcasm_on"))
     sly = _outcomes(spark, d, replace(DEFAULTS, sarcasm_enabled=True)).select(*columns, F.lit(True).alias("sarcasm_on"))
@@ -677,7 +677,8 @@ def train_forest(spark, d):
 @query
 def train_boosted(spark, d):
     df, names = fx.feature_vectors(spark, d)
-    return _predicted(ml.train_boosted(df, names), df)
+    # each round is a chain of small jobs; twenty of the default 150 show the operator
+    return _predicted(ml.train_boosted(df, names, settings=replace(DEFAULTS, boosted_rounds=20)), df)
 
 
 @query
