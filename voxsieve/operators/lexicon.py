@@ -8,12 +8,18 @@ from ..settings import DEFAULTS, Settings
 
 # The word boundary pattern and the normaliser of the compound score
 # (Hutto & Gilbert 2014).
-TOKEN_BREAK = "[^a-zà-ÿß]+"
+TOKEN_BREAK = "[^a-zß-ÿ]+"
 COMPOUND_NORM = 15.0
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_BREAK), lambda w: w != "")
+def pieces(text: Column) -> Column:
+    """Lower-case tokens; the first and last may be empty."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_BREAK)
+
+
+def token_count(parts: str) -> Column:
+    first, last = F.element_at(parts, 1) == "", F.element_at(parts, -1) == ""
+    return (F.size(parts) - first.cast("int") - (last & (F.size(parts) > 1)).cast("int")).cast("double")
 
 
 def _shares(df: DataFrame, gain: Column, loss: Column, rest: Column, total_valence: Column) -> DataFrame:
@@ -46,14 +52,13 @@ def lexicon_polarity(df: DataFrame, lexicon: DataFrame, text: str = "text",
         return _joined(df, lexicon, text, list(keys))
     valence = {r["term"]: r["valence"] for r in head}
     if not valence:
-        count = F.size("_tokens").cast("double")
         zero = F.lit(0.0)
-        return _shares(df.withColumn("_tokens", tokens(F.col(text))), zero, zero, count, zero).drop("_tokens")
+        return _shares(df.withColumn("_parts", pieces(F.col(text))), zero, zero, token_count("_parts"), zero).drop("_parts")
     terms = list(valence)
     lookup = F.create_map(*[F.lit(x) for pair in valence.items() for x in pair])
     df = (
-        df.withColumn("_tokens", tokens(F.col(text)))
-        .withColumn("_hits", F.transform(F.filter("_tokens", lambda w: w.isin(terms)), lambda w: lookup[w]))
+        df.withColumn("_parts", pieces(F.col(text)))
+        .withColumn("_hits", F.transform(F.filter("_parts", lambda w: w.isin(terms)), lambda w: lookup[w]))
     )
     hits = F.col("_hits")
     signed = F.size(F.filter(hits, lambda v: v != 0))
@@ -61,13 +66,13 @@ def lexicon_polarity(df: DataFrame, lexicon: DataFrame, text: str = "text",
         df,
         _add(hits, lambda v: F.when(v > 0, v + 1).otherwise(F.lit(0.0))),
         _add(hits, lambda v: F.when(v < 0, 1 - v).otherwise(F.lit(0.0))),
-        (F.size("_tokens") - signed).cast("double"),
+        token_count("_parts") - signed,
         _add(hits, lambda v: v),
-    ).drop("_tokens", "_hits")
+    ).drop("_parts", "_hits")
 
 
 def _joined(df: DataFrame, lexicon: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    words = df.select(*keys, F.explode(tokens(F.col(text))).alias("term"))
+    words = df.select(*keys, F.explode_outer(pieces(F.col(text))).alias("term")).filter("term <> ''")
     # counting equal words per row first keeps a frequent word from piling up in one join task
     counted = words.groupBy(*keys, "term").agg(F.count("*").cast("double").alias("n"))
     v = F.coalesce(F.col("valence"), F.lit(0.0))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..settings import DEFAULTS, Settings
 from ..sources.scratch import stored
 from .ordering import exact_quantiles, running_sums, with_quantile_slices
 
-# Candidate thresholds tried next to the observed scores.
-GRID = tuple(round(0.05 * i, 2) for i in range(1, 20))
+
+def grid(spark: SparkSession) -> DataFrame:
+    """Candidate thresholds 0.05, 0.10, ... 0.95 tried next to the observed scores."""
+    return spark.range(1, 20).select(F.round(F.col("id") * 0.05, 2).alias("score"))
 
 
 def score_counts(df: DataFrame, score: str, label: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -30,14 +32,12 @@ def cumulative_counts(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFram
 
 
 def grid_counts(counts: DataFrame) -> DataFrame:
-    grid = counts.sparkSession.createDataFrame([(g,) for g in GRID], "score double")
-    return grid.select("score", F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("neg"))
+    return grid(counts.sparkSession).select("score", F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("neg"))
 
 
 def distinct_candidates(df: DataFrame, score: str) -> DataFrame:
     """Observed scores and the fixed grid, each once."""
-    grid = df.sparkSession.createDataFrame([(g,) for g in GRID], "threshold double")
-    return df.select(F.col(score).cast("double").alias("threshold")).union(grid).distinct()
+    return df.select(F.col(score).cast("double").alias("threshold")).union(grid(df.sparkSession)).distinct()
 
 
 def threshold_curve(df: DataFrame, score: str, label: str, beta: float = DEFAULTS.f_beta) -> DataFrame:

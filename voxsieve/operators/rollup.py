@@ -8,6 +8,10 @@ from ..functions.text import percent
 from ..settings import DEFAULTS, Settings
 
 
+# A file has one language, so it joins the grouping key: text aggregates would force sorting.
+LANGUAGE = F.coalesce(F.col("language"), F.lit("unknown")).alias("language")
+
+
 def _or_zero(value: Column) -> Column:
     return F.coalesce(value, F.lit(0.0))
 
@@ -20,12 +24,11 @@ def transcript_stats(segments: DataFrame) -> DataFrame:
     """Per file over non-blank segments: counts, mean and maximum toxicity."""
     spoken = F.col("seg_idx").isNotNull() & ~F.col("is_blank")
     tox = F.when(spoken, F.col("overall_toxicity"))
-    return segments.groupBy("file").agg(
+    return segments.groupBy("file", LANGUAGE).agg(
         _count(spoken).alias("total_segments"),
         _count(spoken & F.col("is_toxic")).alias("toxic_segments"),
         _or_zero(F.avg(tox)).alias("avg_toxicity"),
         _or_zero(F.max(tox)).alias("max_toxicity"),
-        F.coalesce(F.max("language"), F.lit("unknown")).alias("language"),
     )
 
 
@@ -33,12 +36,11 @@ def hate_stats(segments: DataFrame) -> DataFrame:
     """Per file over non-blank segments: counts, mean and maximum hate score."""
     spoken = F.col("seg_idx").isNotNull() & ~F.col("is_blank")
     score = F.when(spoken, F.col("hate_score"))
-    return segments.groupBy("file").agg(
+    return segments.groupBy("file", LANGUAGE).agg(
         _count(spoken).alias("total_segments"),
         _count(spoken & (F.col("hate_label") == "hate")).alias("hate_segments"),
         _or_zero(F.avg(score)).alias("avg_hate_score"),
         _or_zero(F.max(score)).alias("max_hate_score"),
-        F.coalesce(F.max("language"), F.lit("unknown")).alias("language"),
     )
 
 
@@ -74,7 +76,7 @@ def recording_rollup(segments: DataFrame, settings: Settings = DEFAULTS) -> Data
     total = F.greatest(_count(present), F.lit(1))
     probability = F.col("extremist_probability")
     weighted = _or_zero(F.sum(F.when(flagged, probability))) / total
-    return segments.groupBy("file").agg(
+    return segments.groupBy("file", LANGUAGE).agg(
         _count(present).alias("total_segments"),
         _count(present & F.col("is_toxic")).alias("toxic_segments"),
         (_or_zero(F.sum("overall_toxicity")) / total).alias("avg_toxicity"),
@@ -85,7 +87,6 @@ def recording_rollup(segments: DataFrame, settings: Settings = DEFAULTS) -> Data
         (_count(flagged) / total).alias("extremist_ratio"),
         weighted.alias("weighted_extremist_score"),
         F.when(F.count(probability) > 0, weighted > settings.verdict_threshold).alias("is_extremist_content"),
-        F.coalesce(F.max("language"), F.lit("unknown")).alias("language"),
     )
 
 

@@ -23,11 +23,17 @@ MIXED_LABELS = ("1", " Yes ", "TRUE", "y", "extremist", "0", "no", "n", "non-ext
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    # one small unsplittable file of long texts would leave all cores but one idle
+    if name == "documents" and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(LEXICON.items()), "term string, valence double")
+    rows = ", ".join(f"('{term}', {valence}D)" for term, valence in LEXICON.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS lexicon(term, valence)")
 
 
 def transcripts(spark: SparkSession, d: str) -> DataFrame:
