@@ -64,7 +64,8 @@ def with_sarcasm(df: DataFrame, toxicity: str = "overall_toxicity") -> DataFrame
         F.when(test, F.struct(F.lit(weight).alias("weight"), F.lit(name).alias("name")))
         for name, weight, test in patterns]))
     best, total = F.col("_best"), F.col("_total")
-    score = F.least(best["weight"] + 0.3 * (total - best["weight"]), F.lit(0.95))
+    # least skips nulls, so a row without any pattern must be excluded first
+    score = F.when(best.isNotNull(), F.least(best["weight"] + 0.3 * (total - best["weight"]), F.lit(0.95)))
     return (
         df.withColumn("_found", found)
         .withColumns({"_best": F.array_max("_found"),

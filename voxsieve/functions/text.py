@@ -17,7 +17,8 @@ NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(value, F.lit(float(high))))
+    """The value kept within bounds; null stays null (greatest and least alone would skip it)."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(float(low)), F.least(value, F.lit(float(high)))))
 
 
 def strip(text: Column) -> Column:

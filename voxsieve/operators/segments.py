@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.speech import spoken_seconds
 from ..functions.text import strip
@@ -55,7 +55,7 @@ def segment_validity(segments: DataFrame, settings: Settings = DEFAULTS) -> Data
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _compression_ratio(text: pd.Series) -> pd.Series:
     raw = text.fillna("").str.encode("utf-8")
     return raw.map(lambda b: len(b) / len(zlib.compress(b)))

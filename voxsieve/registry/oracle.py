@@ -212,7 +212,7 @@ SARCASM = [
   UNION ALL SELECT vec_id, 'exaggerated', 0.30 FROM acoustic WHERE f0_range > 200 AND f0_std > 40
   UNION ALL SELECT vec_id, 'slow_delivery', 0.25 FROM acoustic WHERE duration > 5 AND f0_std < 25
   UNION ALL SELECT vec_id, 'happy_toxic', 0.45 FROM acoustic WHERE emotion = 'happy' AND emotion_score > 0.6 AND overall_toxicity > 0.4 AND overall_toxicity < 0.7)""",
-    """sar AS (SELECT acoustic.*, coalesce(least(mx + 0.3 * (sm - mx), 0.95), 0.0)::DOUBLE AS sp, coalesce(name, 'none') AS sn
+    """sar AS (SELECT acoustic.*, (CASE WHEN name IS NULL THEN 0.0 ELSE least(mx + 0.3 * (sm - mx), 0.95) END)::DOUBLE AS sp, coalesce(name, 'none') AS sn
   FROM acoustic LEFT JOIN (SELECT vec_id, max(wt)::DOUBLE AS mx, sum(wt)::DOUBLE AS sm, arg_max(name, wt) AS name FROM pat GROUP BY vec_id) USING (vec_id))""",
 ]
 
