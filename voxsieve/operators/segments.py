@@ -7,7 +7,6 @@ import zlib
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.speech import spoken_seconds
 from ..functions.text import strip
 from ..settings import DEFAULTS, Settings
 from .ordering import index_slices, running_sums
@@ -42,10 +41,6 @@ def segment_timeline(segments: DataFrame, keys: tuple[str, ...] = ("file",), ind
     return timed.withColumn("start_s", F.col("end_s") - F.col(duration)).drop("_slice")
 
 
-def with_estimated_duration(df: DataFrame) -> DataFrame:
-    return df.withColumn("duration", spoken_seconds(F.col("num_words")))
-
-
 def segment_validity(segments: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Segments long enough for acoustic analysis, with their duration."""
     length = F.col("end_s") - F.col("start_s")

@@ -6,13 +6,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.features import as_feature_map, intonation_features, with_multimodel_features
 from ..functions.scores import fallback_scores
 from ..functions.speech import with_segment_outcome, with_synthetic_intonation
 from ..functions.text import is_blank, with_text_proxies
-from ..operators.align import align_positional
+from ..operators.align import align_nearest, align_positional, midpoint
+from ..operators.features import feature_matrix
+from ..operators.learning import Bundle, with_probability
 from ..operators.lexicon import lexicon_polarity
-from ..operators.rollup import recording_rollup, transcript_stats, verdict_message
-from ..operators.segments import explode_segments, segment_timeline, with_estimated_duration
+from ..operators.rollup import file_prediction_rollup, recording_rollup, transcript_stats, verdict_message
+from ..operators.segments import explode_segments, segment_timeline
 from ..settings import DEFAULTS, Settings
 
 
@@ -34,27 +37,65 @@ class ScoredRecordings:
     statistics: DataFrame
 
 
+def with_segment_features(df: DataFrame) -> DataFrame:
+    """Map `features` of classifier and acoustic features, the same in training and in serving."""
+    featured = with_multimodel_features(df)
+    return featured.withColumn("features", F.map_concat("features", as_feature_map(intonation_features())))
+
+
+def with_model_probability(df: DataFrame, bundle: Bundle) -> DataFrame:
+    """Adds model_probability from a trained bundle; columns named like features stay untouched."""
+    packed = with_segment_features(df).select(F.struct(*df.columns).alias("_row"), "features")
+    scored = with_probability(bundle.model, feature_matrix(packed, bundle.names), "model_probability")
+    return scored.select("_row.*", "model_probability")
+
+
 def score_recordings(transcripts: DataFrame, lexicon: DataFrame, acoustic: DataFrame | None = None,
-                     settings: Settings = DEFAULTS) -> ScoredRecordings:
+                     bundle: Bundle | None = None, settings: Settings = DEFAULTS) -> ScoredRecordings:
     """Segment decisions, per-recording statistics and messages.
 
     With `acoustic` (file, seg_idx and acoustic columns of surviving segments) rows are paired by
     position; without it, delivery is estimated from the text and everything up to the rollup is
-    one pass without a shuffle.
+    one pass without a shuffle. With `bundle` the trained model decides, otherwise the heuristic.
     """
     scored = scored_segments(transcripts, lexicon, settings)
     if acoustic is None:
         heard = with_synthetic_intonation(scored, settings).withColumn("has_acoustic", F.lit(True))
     else:
-        heard = align_positional(scored, acoustic, settings=settings)
+        rows = acoustic.drop("start_s", "end_s", "text")
+        heard = align_positional(scored, rows, settings=settings)
+    if bundle is None:
+        heard = heard.withColumn("model_probability", F.lit(None).cast("double"))
+    else:
+        heard = with_model_probability(heard, bundle)
     ready = heard.withColumns({
-        "model_available": F.lit(False), "model_probability": F.lit(None).cast("double"),
-        "model_threshold": F.lit(settings.decision_threshold)})
+        "model_available": F.lit(bundle is not None),
+        "model_threshold": F.lit(bundle.threshold if bundle else settings.decision_threshold)})
     outcomes = with_segment_outcome(ready, settings)
     statistics = recording_rollup(outcomes, settings).withColumn("result", verdict_message())
     return ScoredRecordings(outcomes, statistics)
 
 
+def aligned_pairs(scored: DataFrame, acoustic: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Classified text segments with the acoustic row nearest in time, as training and prediction use them.
+
+    Both sides carry file, start_s and end_s; acoustic rows are numbered by seg_idx.
+    """
+    left = scored.withColumn("mid", midpoint())
+    right = acoustic.withColumn("right_mid", midpoint()).withColumnRenamed("seg_idx", "right_idx")
+    shared = [c for c in right.columns if c in left.columns and c != "file"]
+    return align_nearest(left, right.drop(*shared), tolerance=settings.alignment_tolerance)
+
+
+def predict_files(scored: DataFrame, acoustic: DataFrame, bundle: Bundle,
+                  settings: Settings = DEFAULTS) -> ScoredRecordings:
+    """Trained predictions of aligned pairs and their per-file rollup."""
+    pairs = with_model_probability(aligned_pairs(scored, acoustic, settings), bundle)
+    decided = pairs.withColumnRenamed("model_probability", "extremist_probability").withColumn(
+        "is_extremist", F.col("extremist_probability") >= F.lit(bundle.threshold))
+    return ScoredRecordings(decided, file_prediction_rollup(decided, settings))
+
+
 def timed_segments(transcripts: DataFrame, lexicon: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Scored segments with estimated delivery and a timeline laid out from it."""
     scored = scored_segments(transcripts, lexicon, settings, keep_empty=False)
@@ -80,9 +121,3 @@ def score_transcripts(transcripts: DataFrame, lexicon: DataFrame, settings: Sett
         "file", "overall_toxicity", "is_toxic",
         F.col("avg_toxicity").alias("avg_segment_toxicity"), F.col("max_toxicity").alias("max_segment_toxicity"),
         "total_segments", "toxic_segments", "language")
-
-
-__all__ = [
-    "ScoredRecordings", "document_scores", "score_recordings", "score_transcripts", "scored_segments",
-    "timed_segments", "with_estimated_duration",
-]

@@ -11,7 +11,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.features import as_feature_map, intonation_features, with_multimodel_features
 from ..functions.scores import fallback_scores
 from ..functions.speech import with_synthetic_intonation
 from ..functions.text import normalize_label, with_text_proxies
@@ -23,6 +22,7 @@ from ..operators.lexicon import lexicon_polarity
 from ..operators.metrics import prevalence_threshold
 from ..settings import DEFAULTS, Settings
 from ..sources.scratch import stored
+from .recordings import with_segment_features
 
 
 def text_features(df: DataFrame, lexicon: DataFrame, keys: tuple[str, ...], settings: Settings = DEFAULTS) -> DataFrame:
@@ -30,8 +30,7 @@ def text_features(df: DataFrame, lexicon: DataFrame, keys: tuple[str, ...], sett
     polar = lexicon_polarity(with_text_proxies(df), lexicon, keys=keys, settings=settings)
     heard = with_synthetic_intonation(polar, settings)
     scored = heard.withColumns(fallback_scores(F.col("neg"), F.col("neu"), F.col("pos")))
-    featured = with_multimodel_features(scored)
-    return featured.withColumn("features", F.map_concat("features", as_feature_map(intonation_features())))
+    return with_segment_features(scored)
 
 
 def train_from_labels(labelled: DataFrame, key: str, lexicon: DataFrame, model_type: str = "random_forest",
