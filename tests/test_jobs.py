@@ -52,3 +52,37 @@ def test_prediction_over_aligned_pairs(spark, parts, bundle):
     totals = {r.file: r.total_segments for r in out.statistics.collect()}
     assert sum(totals.values()) == out.segments.count()
     assert out.statistics.filter("is_extremist_content is null").count() == 0
+
+
+def test_plug_in_scorer_drives_the_verdict(spark, parts):
+    transcripts = parts[0]
+
+    def make():
+        def scorer(texts):
+            if any(t == "BAD" for t in texts):
+                raise RuntimeError("cannot score")
+            return [{"toxic": {"toxic": 1.0, "insult": 1.0}, "target": {"race": 0.9}} for _ in texts]
+        return scorer
+
+    extra = spark.createDataFrame([("odd", "BAD", "en", [(0.0, 1.0, "BAD"), (1.0, 2.0, " ")])], transcripts.schema)
+    out = rec.score_recordings(transcripts.unionByName(extra), fx.lexicon(spark), make_scorer=make, store=True)
+    odd = out.segments.filter("file = 'odd'").orderBy("seg_idx").collect()
+    assert odd[0].error.error_message == "cannot score" and odd[0].is_extremist is None
+    assert odd[1].error is None and odd[1].extreme == 0.0
+    others = out.segments.filter("file <> 'odd' and not is_blank")
+    assert others.filter("overall_toxicity < 1 or hate_target <> 'Race'").count() == 0
+    stats = {r.file: r.is_extremist_content for r in out.statistics.collect()}
+    assert stats.pop("odd") is None and all(stats.values())
+
+
+def test_hate_summary(spark, parts):
+    transcripts = parts[0]
+
+    def with_logits(df):
+        return df.withColumn("logits", F.array(F.lit(0.0), F.when(F.length("text") % 2 == 0, 2.0).otherwise(-2.0)))
+
+    got = rec.score_hate(transcripts, with_logits).collect()
+    assert len(got) == 20
+    for r in got:
+        assert r.hate_segments <= r.total_segments and 0 < r.full_text_hate_score < 1
+        assert (r.full_text_label == "hate") == (r.full_text_hate_score > 0.5)

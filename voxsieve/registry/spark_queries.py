@@ -108,7 +108,7 @@ def pair_feature_files(spark, d):
 
 @query
 def write_results(spark, d):
-    scored = rec.score_recordings(fx.transcripts(spark, d), fx.lexicon(spark))
+    scored = rec.score_recordings(fx.transcripts(spark, d), fx.lexicon(spark), store=True)
     path = scratch_dir(spark, "results")
     documents = ru.json_envelope(scored.segments, scored.statistics, ["text", "extreme", "is_extremist"])
     res.write_results(documents, scored.statistics, path)
@@ -432,7 +432,7 @@ def rms_energy(spark, d):
 
 @query
 def json_envelope(spark, d):
-    scored = rec.score_recordings(fx.transcripts(spark, d), fx.lexicon(spark))
+    scored = rec.score_recordings(fx.transcripts(spark, d), fx.lexicon(spark), store=True)
     documents = ru.json_envelope(scored.segments, scored.statistics, ["text", "extreme", "is_extremist"])
     parsed = documents.withColumn("j", F.from_json(
         "document", "success boolean, isExtremist boolean, segments array<struct<seg_idx:int,text:string>>, "
