@@ -108,3 +108,21 @@ def test_cross_validation_covers_every_row_once(spark, vectors):
     assert oof.count() == oof.select("vec_id").distinct().count() == 500
     report = mt.fold_report(oof).collect()
     assert len(report) == 2 and all(r.roc_auc > 0.9 for r in report)
+
+
+def test_fill_survives_missing_and_unreadable_values(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(120):
+        y = i % 2
+        label = None if i % 5 == 0 else "junk" if i % 31 == 0 else ("yes" if y else "no")
+        x = float("nan") if i % 7 == 0 else None if i % 11 == 0 else y + rng.random()
+        rows.append((i, label, x, None))
+    df = spark.createDataFrame(rows, "row_id int, label string, x double, hollow double")
+    filled = tr.fill_missing_labels(df, "label", "row_id", match_prevalence=True)
+    out = {r.row_id: r for r in filled.rows.collect()}
+    assert len(out) == 120 and out[31].label_filled == "junk"
+    assert {out[i].label_filled for i in range(0, 120, 5)} == {"0", "1"}
+    right = [out[i].pred == i % 2 for i in range(120) if i % 7 and i % 11]
+    assert sum(right) / len(right) > 0.9
+    assert out[0].x != out[0].x and out[11].x is None  # source values come back unchanged

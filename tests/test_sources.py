@@ -19,6 +19,8 @@ def test_one_transcript_per_file(spark, tmp_path):
     assert set(got) == {"a.json", "b.json"}
     assert (got["a.json"].text, got["a.json"].language, got["a.json"].segments[0].end) == ("hi", "unknown", 1.5)
     assert got["b.json"].segments == []
+    classes = {r.file: r.class_name for r in ts.read_transcripts(spark, str(tmp_path), with_class=True).collect()}
+    assert classes == {"a.json": tmp_path.name, "b.json": "bad"}
 
 
 def test_labeled_csv_keeps_file_order_and_finds_columns(spark, tmp_path):

@@ -166,7 +166,10 @@ class Imputer:
         return Imputer(values)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in self.values.items()})
+        """Null and NaN replaced."""
+        return df.withColumns({
+            c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(v)) if isinstance(v, float) else F.col(c), F.lit(v))
+            for c, v in self.values.items()})
 
 
 @dataclass(frozen=True)

@@ -113,7 +113,8 @@ def fill_missing_labels(df: DataFrame, label: str, key: str, group: bool = False
     if not numeric and not categorical:
         raise ValueError("no feature columns; name some")
     known = base.filter(F.col(target).isNotNull())
-    imputer = Imputer.fit(known, numeric, categorical)
+    # a column without any labelled value carries no signal: a constant keeps it out of the model
+    imputer = Imputer(dict.fromkeys(numeric, 0.0) | Imputer.fit(known, numeric, categorical).values)
     model = _fit_filler(imputer.transform(known), numeric, categorical, target, model_type, ridge_alpha, settings)
     kept = [key, target] if group else [*df.columns, target]
     ready = imputer.transform(base) if group else imputer.transform(
@@ -123,8 +124,10 @@ def fill_missing_labels(df: DataFrame, label: str, key: str, group: bool = False
     scored = stored(scored.withColumnsRenamed({f"_raw_{c}": c for c in numeric + categorical}), "filled")
     cut = default
     if model_type == "logistic" or not group:
+        # a label that is present but unreadable belongs to neither side
+        pool = scored if group else scored.filter(F.col(target).isNotNull() | F.col(label).isNull())
         cut = prevalence_threshold(
-            scored, "score", target, "labelled" if group else "unlabelled", match_prevalence, default,
+            pool, "score", target, "labelled" if group else "unlabelled", match_prevalence, default,
         ).first()["threshold"]
     scored = scored.withColumn("pred", (F.col("score") >= F.lit(cut)).cast("int"))
     rows = broadcast_predictions(df, scored.select(key, "score", "pred"), key) if group else scored.drop(target)

@@ -8,28 +8,25 @@ from ..functions.text import strip
 from ..schemas import RESULT, SEGMENT, TRANSCRIPT
 
 
-def read_transcripts(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+def read_transcripts(spark: SparkSession, path: str, one_per_file: bool = True, with_class: bool = False) -> DataFrame:
     """Transcripts (file, text, language, segments) from a directory tree of JSON.
 
     `file` is the name of the JSON file unless the document carries its own. one_per_file=False
-    reads files of one document per line, which split across tasks.
+    reads files of one document per line, which split across tasks. with_class adds class_name, the
+    directory a file lies in.
     """
     raw = (
         spark.read.schema(TRANSCRIPT).option("multiLine", one_per_file)
         .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
     )
+    folder = [F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("class_name")] if with_class else []
     return raw.select(
-        F.coalesce("file", F.col("_metadata.file_name")).alias("file"),
+        F.coalesce("file", F.col("_metadata.file_name")).alias("file"), *folder,
         strip(F.coalesce("text", F.lit(""))).alias("text"),
         F.coalesce("language", F.lit("unknown")).alias("language"),
         F.coalesce("segments", F.array().cast(T.ArrayType(SEGMENT))).alias("segments"))
 
 
-def with_class_directory(df: DataFrame) -> DataFrame:
-    """Adds `class_name`: the directory a file was read from."""
-    return df.withColumn("class_name", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
-
-
 def reload_results(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
     """Saved results (file, valid, error, document fields); invalid ones keep an error text."""
     schema = T.StructType([*RESULT.fields, T.StructField("_corrupt_record", T.StringType())])
