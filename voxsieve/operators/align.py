@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..settings import DEFAULTS, Settings
+from ..sources.scratch import stored
 from .ordering import index_slices, row_numbers, with_quantile_slices
 
 
@@ -26,35 +27,39 @@ def align_nearest(left: DataFrame, right: DataFrame, key: str = "file", left_mid
     right_points = right.select(
         F.col(key), F.col(right_mid).alias("mid"), F.col(right_index).cast("bigint").alias("idx"))
     points = left_points.unionByName(right_points)
-    sliced = (
+    distinct = (
         with_quantile_slices(points, "mid", "slice")
         .groupBy(key, "slice", "mid")
         .agg(F.min("idx").alias("idx"), F.max(F.col("idx").isNull()).alias("wanted"))
-        .withColumn("hit", F.when(F.col("idx").isNotNull(), F.struct("mid", "idx")))
     )
+    # read by two branches below: written once instead of scanned and shuffled twice
+    sliced = stored(distinct, "points").withColumn("hit", F.when(F.col("idx").isNotNull(), F.col("mid")))
     rows = (Window.unboundedPreceding, Window.currentRow)
     forward = Window.partitionBy(key, "slice").orderBy("mid").rowsBetween(*rows)
     backward = Window.partitionBy(key, "slice").orderBy(F.col("mid").desc()).rowsBetween(*rows)
     # per key at most one row per slice
-    edges = sliced.groupBy(key, "slice").agg(F.max("hit").alias("last_hit"), F.min("hit").alias("first_hit"))
-    earlier = Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(key).orderBy(F.col("slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carried = edges.select(
-        key, "slice",
-        F.max("last_hit").over(earlier).alias("carry_before"),
-        F.min("first_hit").over(later).alias("carry_after"))
+    edges = sliced.groupBy(key, "slice").agg(
+        F.max("hit").alias("last_mid"), F.max_by("idx", "hit").alias("last_idx"),
+        F.min("hit").alias("first_mid"), F.min_by("idx", "hit").alias("first_idx"))
+    before_here = (Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(key).orderBy("slice").rowsBetween(*before_here)
+    later = Window.partitionBy(key).orderBy(F.col("slice").desc()).rowsBetween(*before_here)
+    carried = edges.select(key, "slice", *[
+        F.last(f"{edge}_{part}", ignorenulls=True).over(window).alias(f"{side}_carried_{part}")
+        for side, edge, window in (("before", "last", earlier), ("after", "first", later)) for part in ("mid", "idx")])
     near = (
         sliced.withColumns({
-            "before": F.last("hit", ignorenulls=True).over(forward),
-            "after": F.last("hit", ignorenulls=True).over(backward)})
+            f"{side}_{part}": F.last(column, ignorenulls=True).over(window)
+            for side, window in (("before", forward), ("after", backward))
+            for part, column in (("mid", "hit"), ("idx", "idx"))})
         .filter("wanted")
         .join(carried, [key, "slice"])
         .withColumns({
-            "before": F.coalesce("before", "carry_before"),
-            "after": F.coalesce("after", "carry_after")})
+            f"{side}_{part}": F.coalesce(f"{side}_{part}", f"{side}_carried_{part}")
+            for side in ("before", "after") for part in ("mid", "idx")})
         .select(key, F.col("mid").alias("_mid"), F.least(*[
-            F.when(F.col(side).isNotNull(), F.struct(
-                F.abs(F.col("mid") - F.col(f"{side}.mid")).alias("distance"), F.col(f"{side}.idx").alias("idx")))
+            F.when(F.col(f"{side}_idx").isNotNull(), F.struct(
+                F.abs(F.col("mid") - F.col(f"{side}_mid")).alias("distance"), F.col(f"{side}_idx").alias("idx")))
             for side in ("before", "after")]).alias("best"))
         .filter(F.col("best.distance") < tolerance)
         .select(key, "_mid", F.col("best.distance").alias("distance"), F.col("best.idx").alias("_idx"))
