@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard, packing
+from . import bpe, jaccard, lines, packing
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -16,6 +16,10 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return lines.dedup_lines(documents(spark, d).select("doc_id", "text"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, d))
 
@@ -32,6 +36,7 @@ def op8_bpe_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_bpe_round_trip": op8_bpe_round_trip,
