@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard, lines, packing
+from . import bpe, jaccard, language, lines, packing
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -20,6 +20,14 @@ def op1_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return lines.dedup_lines(documents(spark, d).select("doc_id", "text"))
 
 
+def op2_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d)
+    held_out = language.fold(F.col("doc_id"), 3) == 1
+    model = language.fit(docs.filter(~held_out))
+    return language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).select(
+        "doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, d))
 
@@ -37,6 +45,7 @@ def op8_bpe_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_language_id": op2_language_id,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_bpe_round_trip": op8_bpe_round_trip,
