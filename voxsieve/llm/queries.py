@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard, language, lines, packing
+from . import bpe, jaccard, language, lines, neighbours, packing
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -43,11 +43,16 @@ def op8_bpe_round_trip(spark: SparkSession, d: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.near_duplicates(spark.read.parquet(f"{d}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 SQL: dict[str, str] = {}
