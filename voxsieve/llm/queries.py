@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard, language, lines, neighbours, packing
+from . import bpe, jaccard, language, lines, neighbours, packing, toxicity
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -28,6 +28,15 @@ def op2_language_id(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op3_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d).select(F.col("doc_id").alias("id"), "text")
+    held_out = language.fold(F.col("id"), 4) == 2
+    labels = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("id"), "toxic")
+    model = toxicity.train(docs, labels.filter(~held_out))
+    return toxicity.predict(docs.withColumn("held_out", held_out), model).select(
+        F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, d))
 
@@ -50,6 +59,7 @@ def op10_embedding_near_dedup(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
+    "op3_toxicity": op3_toxicity,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_bpe_round_trip": op8_bpe_round_trip,
