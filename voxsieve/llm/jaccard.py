@@ -1,14 +1,17 @@
 """Exact n-gram Jaccard join by T-occurrence search over inverted lists.
 
-Two sets with Jaccard similarity t or more share at least one of the first n - ceil(t n) + 1 members
-of each in any common order; the order here is from rare to frequent, by counts over all texts. The
-lists of those members say which documents have to meet. Where they meet, the merge of the short
-lists counts shared members, documents that cannot reach the needed overlap T even with all of
-their long lists are skipped, and the rest is probed in the long lists by binary search (DivideSkip).
+Which sets have to meet is decided first. Linked sets differ in few members, at most D for their size
+band. A set sorted by hash is cut into D + 1 + SPARE ranges; a pair that differs in at most D members
+agrees on SPARE + 1 whole ranges, so linked sets share the signature of a range that is not empty (a
+set with more than SPARE empty ranges announces those too). A signature is rarely shared by sets that
+are not near copies, however common the members are one by one.
 
-Equal sets are one node from the start. Groups that share a list are cut by set size and then into
-blocks of bounded content, so no task holds a large group; a task returns a spanning forest of its
-links, never the pairs.
+Where sets meet, their members' inverted lists are searched: the merge of the short lists counts
+shared members, documents that cannot reach the needed overlap T even with all of their long lists
+are skipped, and the rest is probed in the long lists by binary search (DivideSkip).
+
+Equal sets are one node from the start. Groups are cut into blocks of bounded content, so no task
+holds a large group; a task returns a spanning forest of its links, never the pairs.
 
 Defined cases: null or empty text has no set and links with nothing; a text of fewer than n words is
 one shingle; rows with an equal id are one document; a row without id gets the component of rows
@@ -22,20 +25,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.scratch import stored
 from .components import components
-from .texts import BLANK, buffers, grams, mix, sliced, strings, words
+from .texts import BLANK, grams, mix, sliced, words
 
 SHINGLE = 3
 #: Similarity as a fraction in hundredths.
 PERCENT = 90
-#: Counters of the frequency table: a fixed size, 512 KB.
-BUCKETS = 1 << 16
+#: Ranges beyond those that may differ, so that empty ranges need hardly ever count.
+SPARE = 2
 #: Documents, and set members, of a block.
-BLOCK_DOCS = 512
+BLOCK_DOCS = 1024
 BLOCK_MEMBERS = 1 << 20
 
 
@@ -62,68 +64,88 @@ def shingle_rows(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], np.cumsum(n)])
 
 
-def frequency_order(docs: DataFrame, size: int) -> np.ndarray:
-    """The rank of each hash bucket by the number of shingles in it, over all texts."""
+def bands(percent: int, top: int = 1 << 40) -> np.ndarray:
+    """Borders of the size bands. Sets below the first border link with equal sets only; the borders
+    grow by half at least, so the partners of a set are in its own band or a neighbouring one."""
+    # sets of sizes a <= b differ in (100 - p) / (100 + p) * (a + b) members at most, and a >= p/100 * b
+    first = 1
+    while (100 - percent) * (first + 100 * first // percent) < 100 + percent:
+        first += 1
+    out = [first]
+    while out[-1] < top:
+        out.append(max(-(-3 * out[-1] // 2), 100 * out[-1] // percent + 2))
+    return np.array(out, np.int64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for _, texts in sliced(batch, "text"):
-                shingles, _ = shingle_rows(texts, size)
-                total += np.bincount((shingles >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
-        yield pa.RecordBatch.from_pydict({"bucket": np.arange(BUCKETS, dtype=np.int32), "n": total})
 
-    counted = (docs.select("text").mapInArrow(count, "bucket int, n long")
-               .groupBy("bucket").agg(F.sum("n").alias("n")))
-    rows = counted.toPandas()  # BUCKETS rows, whatever the input
-    n = np.zeros(BUCKETS, np.int64)
-    n[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    rank = np.empty(BUCKETS, np.uint64)
-    rank[np.argsort(n, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
-    return rank
+def range_counts(borders: np.ndarray, percent: int) -> np.ndarray:
+    """Into how many ranges sets are cut in the band that ends below each border (0 for the first)."""
+    differ = (100 - percent) * 2 * (borders - 1) // (100 + percent)
+    out = differ + 1 + SPARE
+    out[0] = 0
+    return out
+
+
+def signatures(members: np.ndarray, sums: np.ndarray, a: int, b: int, ranges: int, band: int) -> np.ndarray:
+    """One 64-bit value for each range of the sorted members[a:b] that the set announces.
+
+    `sums` are running sums of scrambled members, one entry longer than `members`.
+    """
+    cuts = (np.arange(1, ranges, dtype=np.float64) * (2.0 ** 64 / ranges)).astype(np.uint64)
+    at = a + np.concatenate([[0], np.searchsorted(members[a:b], cuts), [b - a]])
+    held = np.diff(at)
+    total = sums[at[1:]] - sums[at[:-1]]
+    label = np.arange(ranges, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band * 0x1000193 + 1)
+    out = mix(total + mix(label) + held.astype(np.uint64))
+    full = held > 0
+    return out if (~full).sum() > SPARE else out[full]
+
 
+def distinct_rows(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each row, one row after the other, and the bounds of each row."""
+    shingles, bounds = shingle_rows(texts, size)
+    own = [np.unique(shingles[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    return (np.concatenate(own) if own else shingles), np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
 
-def ranked(shingles: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The hashes with their bucket replaced by its rank: order is from rare to frequent, identity is kept."""
-    low = shingles & np.uint64((1 << 48) - 1)
-    return (rank[(shingles >> np.uint64(48)).astype(np.int64)] << np.uint64(48)) | low
 
+def _profiles(size: int, percent: int) -> Callable:
+    borders = bands(percent)
+    ranges = range_counts(borders, percent)
 
-def _profiles(rank: np.ndarray, size: int, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in sliced(batch, "text"):
-                shingles, bounds = shingle_rows(texts, size)
-                shingles = ranked(shingles, rank)
-                sizes, keys, heads = [], [], []
-                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    own = np.unique(shingles[a:b])
-                    n = len(own)
-                    sizes.append(n)
-                    keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if n else None)
-                    heads.append(own[:n - -(-percent * n // 100) + 1].view(np.int64) if n else own.view(np.int64))
+                members, bounds = distinct_rows(texts, size)
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(members + np.uint64(1)), dtype=np.uint64)])
+                sizes, keys, heads = np.diff(bounds), [], []
+                band = np.searchsorted(borders, sizes, side="right")
+                # a set that may have a partner in the next band is announced there too
+                beyond = np.searchsorted(borders, 100 * sizes // percent, side="right")
+                for a, b, g, h in zip(bounds[:-1].tolist(), bounds[1:].tolist(), band.tolist(), beyond.tolist(), strict=True):
+                    keys.append(hashlib.blake2b(members[a:b].tobytes(), digest_size=16).digest() if b > a else None)
+                    found = [signatures(members, sums, a, b, int(ranges[k]), k) for k in range(max(g, 1), h + 1)]
+                    heads.append(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column(0), "n": pa.array(sizes, pa.int64()), "key": pa.array(keys, pa.binary()),
                     "head": pa.array(heads, pa.list_(pa.int64()))})
     return run
 
 
-def _sets(rank: np.ndarray, size: int) -> Callable:
+def _sets(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in sliced(batch, "text"):
-                shingles, bounds = shingle_rows(texts, size)
-                shingles = ranked(shingles, rank)
-                raw = [np.unique(shingles[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                members, bounds = distinct_rows(texts, size)
+                raw, at = members.tobytes(), (bounds * 8).tolist()
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": part.column(0), "tasks": part.column(1), "members": pa.array(raw, pa.binary())})
+                    "doc_id": part.column(0), "tasks": part.column(1),
+                    "members": pa.array([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())})
     return run
 
 
 def t_occurrence(sets: list[np.ndarray], percent: int, allowed: np.ndarray | None = None) -> np.ndarray:
     """Linked pairs (i < j) of sorted, distinct member arrays; only `allowed` pairs where given."""
     m = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
+    sizes = np.array([len(s) for s in sets], np.int32)
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(m), sizes)
     order = np.argsort(flat, kind="stable")
@@ -137,21 +159,22 @@ def t_occurrence(sets: list[np.ndarray], percent: int, allowed: np.ndarray | Non
     long_from = max(8, m // 8)
     short = np.flatnonzero((length > 1) & (length <= long_from))
     # merge of the short lists: how many members each pair shares in them
-    shared = np.zeros(m * m, np.int64)
+    shared = np.zeros(m * m, np.int32)
     for f in np.unique(length[short]):
         rows = owner[first[short[length[short] == f]][:, None] + np.arange(f)]
         a, b = np.triu_indices(f, 1)
-        shared += np.bincount((rows[:, a] * m + rows[:, b]).ravel(), minlength=m * m)
+        pair, n = np.unique((rows[:, a] * m + rows[:, b]).ravel(), return_counts=True)
+        shared[pair] += n.astype(np.int32)
     shared = shared.reshape(m, m)
     # the long lists, and how many of them each document is in
     long_ = np.flatnonzero(length > long_from)
-    in_long = np.zeros(m, np.int64)
+    in_long = np.zeros(m, np.int32)
     keys = np.zeros(0, np.int64)
     if len(long_):
         number = np.repeat(np.arange(len(long_)), length[long_])
         members = owner[np.repeat(first[long_] - (np.cumsum(length[long_]) - length[long_]), length[long_])
                         + np.arange(len(number))]
-        in_long = np.bincount(members, minlength=m)
+        in_long = np.bincount(members, minlength=m).astype(np.int32)
         keys = number * m + members  # ascending
     reach = shared + np.minimum(in_long[:, None], in_long[None, :])
     i, j = np.nonzero(open_ & (reach >= need))
@@ -164,7 +187,7 @@ def t_occurrence(sets: list[np.ndarray], percent: int, allowed: np.ndarray | Non
             part = (number >= low) & (number < low + 4096)
             table = np.zeros((m, 4096), np.float32)
             table[members[part], number[part] - low] = 1
-            overlap = overlap + (table @ table.T).astype(np.int64)[i, j]
+            overlap = overlap + (table @ table.T)[i, j].astype(np.int64)
     else:
         by_doc = np.argsort(members, kind="stable")
         starts = np.searchsorted(members[by_doc], np.arange(m + 1))
@@ -199,69 +222,52 @@ def _links(percent: int) -> Callable[[pa.Table], pa.Table]:
         ids = ids[order]
         raw = table.column("members").to_pylist()
         sets = [np.frombuffer(raw[i], np.uint64) for i in order]
-        own = table.column("own").to_numpy()[order]
         block = table.column("block").to_numpy()[order]
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        allowed = own[:, None] | own[None, :]
-        if lo != hi:
-            allowed &= block[:, None] != block[None, :]
+        allowed = block[:, None] != block[None, :] if lo != hi else None
         label = forest(len(ids), t_occurrence(sets, percent, allowed))
         tied = np.flatnonzero(label != np.arange(len(ids)))
         return pa.table({"u": pa.array(ids[label[tied]], pa.int64()), "v": pa.array(ids[tied], pa.int64())})
     return run
 
 
-def _meetings(heads: DataFrame, percent: int) -> DataFrame:
+def _meetings(heads: DataFrame) -> DataFrame:
     """Which sets have to be compared: (doc_id, tasks), each task of bounded content."""
-    postings = heads.select("doc_id", "n", F.explode("head").alias("member"))
-    lists = stored(
-        postings.groupBy("member").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("other"))
-        .filter("leader < other").select("member", "leader"), "lists")
-    # sizes of linked sets differ by one band at most: bands (own) and the next above
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
+    announced = heads.select("doc_id", "n", F.explode("head").alias("signature"))
+    # a set's ranges are as many as a tenth of its members, so one common range is a small part of all rows
+    same = Window.partitionBy("signature")
     members = stored(
-        postings.join(lists, "member").select("doc_id", "n", "leader").distinct()
-        .select("doc_id", "n", "leader", band.alias("b"))
-        .select("doc_id", "n", "leader", F.explode(F.array(
-            F.struct(F.col("b").alias("band"), F.lit(True).alias("own")),
-            F.struct((F.col("b") + 1).alias("band"), F.lit(False).alias("own")),
-            # one more step where rounding of the logarithm might part a pair
-            *([F.struct((F.col("b") + 2).alias("band"), F.lit(False).alias("own"))]))).alias("x"))
-        .select("doc_id", "n", "leader", "x.band", "x.own"), "members")
+        announced.select("doc_id", "n", F.min("doc_id").over(same).alias("leader"), F.max("doc_id").over(same).alias("other"))
+        .filter("leader < other").groupBy("leader", "doc_id").agg(F.first("n").alias("n")), "members")
     groups = stored(
-        members.groupBy("leader", "band")
-        .agg(F.count("*").alias("docs"), F.sum(F.col("own").cast("int")).alias("owned"), F.sum("n").alias("weight"))
-        .filter("docs > 1 AND owned > 0")
-        .select("leader", "band", F.greatest(
+        members.groupBy("leader").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"))
+        .select("leader", F.greatest(
             F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("weight") / BLOCK_MEMBERS)).cast("int").alias("blocks")),
         "groups")
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    placed = members.join(groups, ["leader", "band"]).withColumn("block", block)
-    return placed.groupBy("doc_id").agg(F.collect_list(F.struct(
-        "leader", "band", "own", "block", "blocks")).alias("tasks"))
+    placed = members.join(groups, "leader").withColumn("block", block)
+    return placed.groupBy("doc_id").agg(F.collect_list(F.struct("leader", "block", "blocks")).alias("tasks"))
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
                        key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id per row of `docs`: 100 * intersection >= percent * union links."""
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rank = frequency_order(docs, size)
+    docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     profiles = stored(docs.mapInArrow(
-        _profiles(rank, size, percent), "doc_id long, n long, key binary, head array<long>"), "profiles")
+        _profiles(size, percent), "doc_id long, n long, key binary, head array<long>"), "profiles")
     nodes = stored(
         profiles.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "nodes")
     heads = profiles.filter("n > 0").join(
         nodes.select(F.col("node").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
-    tasks = stored(_meetings(heads.select("doc_id", "n", "head"), percent), "tasks")
+    tasks = stored(_meetings(heads.select("doc_id", "n", "head")), "tasks")
     sets = docs.join(tasks, "doc_id").select("doc_id", "tasks", "text").mapInArrow(
-        _sets(rank, size), "doc_id long, tasks array<struct<leader:long,band:long,own:boolean,block:int,blocks:int>>, members binary")
+        _sets(size), "doc_id long, tasks array<struct<leader:long,block:int,blocks:int>>, members binary")
     met = (
         sets.select("doc_id", "members", F.explode("tasks").alias("t"))
-        .select("doc_id", "members", "t.leader", "t.band", "t.own", "t.block",
-                F.explode(F.sequence(F.lit(0), F.col("t.blocks") - 1)).alias("with"))
-        .select("doc_id", "members", "leader", "band", "own", "block",
+        .select("doc_id", "members", "t.leader", "t.block", F.explode(F.sequence(F.lit(0), F.col("t.blocks") - 1)).alias("with"))
+        .select("doc_id", "members", "leader", "block",
                 F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi")))
-    links = met.groupBy("leader", "band", "lo", "hi").applyInArrow(_links(percent), "u long, v long")
+    links = met.groupBy("leader", "lo", "hi").applyInArrow(_links(percent), "u long, v long")
     tied = components(links)
     # the component of each distinct set, before the copies are looked up
     per_key = stored(
