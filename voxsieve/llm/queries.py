@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard, language, lines, neighbours, packing, toxicity
+from . import bpe, jaccard, language, licences, lines, neighbours, packing, toxicity
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -52,6 +52,11 @@ def op8_bpe_round_trip(spark: SparkSession, d: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_license_scans(spark: SparkSession, d: str) -> DataFrame:
+    return licences.scan(documents(spark, d).select("doc_id", "text")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op10_embedding_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.near_duplicates(spark.read.parquet(f"{d}/embeddings.parquet"))
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op9_license_scans": op9_license_scans,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 SQL: dict[str, str] = {}
