@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard, language, licences, lines, neighbours, packing, toxicity
+from . import bpe, fertility, jaccard, language, licences, lines, neighbours, packing, resampling, toxicity
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -45,6 +45,21 @@ def op5_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(packing.token_pieces(documents(spark, d), word_vocabulary()))
 
 
+def op6_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d).select(F.col("doc_id").alias("id"), "text")
+    labels = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("quality").alias("good"))
+    share = labels.agg(F.avg("good")).first()[0] or 0.0  # as many as the labels call good
+    return resampling.resample(docs, resampling.marked(docs, labels), share, key="id").select(
+        F.col("id").alias("doc_id"), "log_weight", "gumbel_key", "sampled")
+
+
+def op7_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    return fertility.quality_rules(
+        documents(spark, d).select("doc_id", "lang", "text"), public_tokenizers.path("piece_bpe_32k.model")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "chars_per_token", "byte_share", "token_entropy", "rejected_by")
+
+
 def op8_bpe_round_trip(spark: SparkSession, d: str) -> DataFrame:
     coded = bpe.encode(documents(spark, d).select("doc_id", "text"), word_vocabulary(), decoded=True)
     return coded.select(
@@ -67,6 +82,8 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_quality_rules": op7_quality_rules,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_license_scans": op9_license_scans,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
