@@ -260,7 +260,8 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     heads = profiles.filter("n > 0").join(
         nodes.select(F.col("node").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
     tasks = stored(_meetings(heads.select("doc_id", "n", "head")), "tasks")
-    sets = docs.join(tasks, "doc_id").select("doc_id", "tasks", "text").mapInArrow(
+    # the same plan at every size: a small task table is not broadcast
+    sets = docs.join(tasks.hint("merge"), "doc_id").select("doc_id", "tasks", "text").mapInArrow(
         _sets(size), "doc_id long, tasks array<struct<leader:long,block:int,blocks:int>>, members binary")
     met = (
         sets.select("doc_id", "members", F.explode("tasks").alias("t"))
