@@ -197,13 +197,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     left = left.filter(~full)
     out = T.StructType([*left.schema.fields, T.StructField("sequence_id", T.LongType()),
                         T.StructField("offset", T.LongType()), T.StructField("opened", T.BooleanType())])
-    level = 0
+    level, before = 0, None
     while True:
         n = left.count()
         groups = max(1, -(-n // group))
         dealt = left.withColumn("g", F.pmod(F.xxhash64("slot", F.lit(level)), F.lit(groups)))
-        last = groups == 1
-
+        # lengths that fit together badly leave bins open everywhere: a round that halves too little is the last
+        last = groups == 1 or (before is not None and 2 * n > before)
+        before = n
         packed = dealt.groupBy("g").applyInArrow(_packer(capacity, level, last), out)
         if last:
             done = done.unionByName(packed.drop("opened"))
