@@ -11,7 +11,7 @@ the given labels on a sample of labelled rows.
 
 The lexicons are induced from at most LABELS labelled rows, counted per hash bucket within each task;
 the moments cover all rows and are a table of voters x voters; the classifier is fitted on at most
-SAMPLE labelled rows.
+SAMPLE labelled rows, and the scale on at most as many others.
 
 Defined cases: null or empty text has no features and gets the score of its absent votes. Without
 labelled rows the seed voters alone decide.
@@ -40,7 +40,7 @@ STEMS = (5, 6, 7, 8)
 #: Induced lexicon voters.
 VOTERS = 12
 #: An induced entry is in so many labelled texts at least, with this share of toxic ones at least.
-LEAST_TEXTS = 4
+LEAST_TEXTS = 6
 LEAST_SHARE = 0.6
 #: Entries kept for the induced lexicons, the most telling first.
 LEXICON = 20_000
@@ -49,6 +49,8 @@ LABELS = 32_768
 #: Labelled rows on which the classifier is fitted, at most.
 SAMPLE = 6_000
 CUT = 0.3
+#: Margins are cut at this log-odds before they are put on the labels' scale.
+BOUND = 5.0
 
 
 def word_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +188,9 @@ class Classifier:
         on = self.weights[b] != 0
         rows, b = once_per_row(rows[on], b[on])
         z = np.bincount(rows, weights=self.weights[b], minlength=len(texts))
-        return np.stack([np.clip(z + self.bias, -15, 15), np.log(p / (1 - p))], 1)
+        z /= np.sqrt(np.maximum(np.bincount(rows, minlength=len(texts)), 1))
+        # far margins say no more than near ones about how often voters are wrong
+        return np.clip(np.stack([z + self.bias, np.log(p / (1 - p))], 1), -BOUND, BOUND)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.margins(texts) @ self.slope + self.shift, -30, 30)))
@@ -248,13 +252,14 @@ def vote_moments(docs: DataFrame, voters: Voters) -> tuple[float, np.ndarray, np
 
 
 def _logistic(rows: np.ndarray, cols: np.ndarray, n: int, y: np.ndarray, size: int, rounds: int = 60,
-              penalty: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression on binary sparse rows with soft labels, by Adagrad over all rows."""
+              penalty: float = 0.1) -> tuple[np.ndarray, float]:
+    """Logistic regression on sparse rows of length 1 with soft labels, by Adagrad over all rows."""
+    value = 1 / np.sqrt(np.maximum(np.bincount(rows, minlength=n), 1))[rows]
     w, b, squares, b_square = np.zeros(size), 0.0, np.full(size, 1e-8), 1e-8
     for _ in range(rounds):
-        z = np.bincount(rows, weights=w[cols], minlength=n) + b
+        z = np.bincount(rows, weights=w[cols] * value, minlength=n) + b
         g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        grad = np.bincount(cols, weights=g[rows], minlength=size) / n + penalty * w / n
+        grad = np.bincount(cols, weights=g[rows] * value, minlength=size) / n + penalty * w / n
         squares += grad ** 2
         w -= 0.5 * grad / np.sqrt(squares)
         b_square += g.mean() ** 2
@@ -274,7 +279,10 @@ def with_labels(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, most_labels: int = LABELS, sample: int = SAMPLE) -> Classifier:
     """docs (id, text): all texts, for the voters' moments; labels (id, toxic): what may be learnt from."""
-    voters = induce(with_labels(docs, labels, most_labels))
+    # what sets the scale takes no part in the rest
+    part = F.pmod(F.xxhash64("id", F.lit(53)), F.lit(10))
+    for_fit, for_scale = labels.filter(part < 8), labels.filter(part >= 8)
+    voters = induce(with_labels(docs, for_fit, most_labels))
     model = label_model(*vote_moments(docs, voters))
     held = docs.sparkSession.sparkContext.broadcast((voters, model))
 
@@ -291,23 +299,36 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = LABELS, sample:
                     "posterior": pa.array(model.posterior(v.votes(texts, rows, keys))),
                     "features": pa.array([raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())})
 
-    drawn = with_labels(docs, labels, sample)
+    drawn = with_labels(docs, for_fit, sample)
     rows = drawn.mapInArrow(features, "toxic int, posterior double, features binary").toArrow()
     n = rows.num_rows
     fitted = Classifier(np.zeros(FEATURES), 0.0, voters, model, np.array([0.0, 1.0]), 0.0)
     if not n:
         return fitted
-    toxic, posterior = rows.column("toxic").to_numpy(), rows.column("posterior").to_numpy()
+    posterior = rows.column("posterior").to_numpy()
     each = [np.frombuffer(b, "<u4") for b in rows.column("features").to_pylist()]
     row, col = np.repeat(np.arange(n), [len(e) for e in each]), np.concatenate(each).astype(np.int64)
     # features in two texts at least
     often = np.bincount(col, minlength=FEATURES) > 1
     row, col = row[often[col]], col[often[col]]
-    w, b = _logistic(row, col, n, posterior, FEATURES)
-    z = np.clip(np.bincount(row, weights=w[col], minlength=n) + b, -15, 15)
-    p = np.clip(posterior, 1e-6, 1 - 1e-6)
-    slope, shift = _scale(np.stack([z, np.log(p / (1 - p))], 1), toxic.astype(float))
-    return Classifier(w, b, voters, model, slope, shift)
+    fitted.weights, fitted.bias = _logistic(row, col, n, posterior, FEATURES)
+    whole = docs.sparkSession.sparkContext.broadcast(fitted)
+
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in sliced(batch, "text"):
+                x = whole.value.margins(texts)
+                yield pa.RecordBatch.from_pydict({
+                    "toxic": part.column(part.schema.get_field_index("toxic")), "z": pa.array(x[:, 0]), "odds": pa.array(x[:, 1])})
+
+    told = with_labels(docs, for_scale, sample).mapInArrow(margins, "toxic int, z double, odds double").toArrow()
+    y = told.column("toxic").to_numpy().astype(float)
+    if 0 < y.sum() < len(y):
+        # one line for the mean of both: apart, two margins that say the same could get opposite signs
+        x = (told.column("z").to_numpy() + told.column("odds").to_numpy()) / 2
+        slope, fitted.shift = _scale(x[:, None], y)
+        fitted.slope = np.full(2, max(float(slope[0]), 0.1) / 2)
+    return fitted
 
 
 def _scale(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
