@@ -29,12 +29,14 @@ from .jaccard import forest
 
 COSINE = 0.95
 #: Vectors on which centroids and codebooks are fitted.
-SAMPLE = 8_192
-CENTROIDS = 64
+SAMPLE = 16_384
+#: Coarse centroids: one for so many vectors, at most so many.
+LIST_SIZE = 128
+CENTROIDS = 1_024
 SUBSPACES = 8
 CODES = 64
 #: Lists are probed whose angle to the query exceeds the nearest one's by this share of the link angle at most.
-PROBE = 1.0
+PROBE = 1 / 3
 #: Vectors of a block, queries or listed ones.
 BLOCK = 1_024
 
@@ -60,7 +62,7 @@ class Quantiser:
         return np.concatenate([book[codes[:, s]] for s, book in enumerate(self.books)], 1)
 
 
-def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
+def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
@@ -182,7 +184,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_
     fitted, _ = unit_rows(drawn.select("x").toArrow().column(0).combine_chunks(), width)
     if not len(fitted):
         return alone
-    q = fit(fitted, cosine)
+    q = fit(fitted, cosine, min(CENTROIDS, max(16, common["count"] // LIST_SIZE)))
     placed = stored(usable.dropDuplicates(["vec_id"]).mapInArrow(
         _assign(q, width), "vec_id long, unit binary, home int, probes array<int>, codes binary, error double"), "placed")
     sizes = placed.groupBy(F.col("home").alias("list")).agg(F.count("*").alias("held"))
