@@ -1,0 +1,8 @@
+import pytest
+
+
+@pytest.fixture(scope="session", autouse=True)
+def shared_folder(spark, tmp_path_factory):
+    """Tests set a folder of their own where the session names none."""
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
