@@ -29,10 +29,18 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(strip(text), F.lit("")) == ""
 
 
-def clean_text(text: Column, max_length: int = DEFAULTS.max_text_length) -> Column:
-    """Trimmed text cut to the model's character limit; null when blank."""
+def clean_text(text: Column, max_length: int | None = None) -> Column:
+    """Trimmed text, whole unless a model's character limit is given; null when blank."""
     trimmed = strip(text)
-    return F.when(trimmed != "", F.substring(trimmed, 1, max_length))
+    return F.when(trimmed != "", trimmed if max_length is None else F.substring(trimmed, 1, max_length))
+
+
+def text_windows(text: Column, max_length: int = DEFAULTS.max_text_length) -> Column:
+    """Consecutive pieces of at most `max_length` characters that together are the trimmed text."""
+    trimmed = strip(text)
+    starts = F.sequence(F.lit(0), F.floor((F.length(trimmed) - 1) / max_length).cast("int"))
+    return F.when(trimmed != "", F.transform(
+        starts, lambda i: F.substring(trimmed, i * max_length + 1, F.lit(max_length))))
 
 
 def occurrences(text: Column, needle: str) -> Column:

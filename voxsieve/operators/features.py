@@ -7,16 +7,11 @@ from functools import reduce
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
-from ..settings import DEFAULTS, Settings
 
-
-def feature_names(df: DataFrame, column: str = "features", settings: Settings = DEFAULTS) -> list[str]:
-    """Sorted union of map keys; the vocabulary is small and its size is checked."""
+def feature_names(df: DataFrame, column: str = "features") -> list[str]:
+    """Sorted union of map keys: the columns of the feature matrix."""
     keys = df.select(F.explode_outer(F.map_keys(column)).alias("k")).filter("k is not null").distinct()
-    found = [r["k"] for r in keys.limit(settings.max_vocabulary + 1).collect()]
-    if len(found) > settings.max_vocabulary:
-        raise ValueError(f"more than {settings.max_vocabulary} feature names in {column}")
-    return sorted(found)
+    return sorted(r["k"] for r in keys.collect())
 
 
 def feature_matrix(df: DataFrame, names: list[str], column: str = "features") -> DataFrame:

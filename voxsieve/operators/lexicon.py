@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..settings import DEFAULTS, Settings
 
-# The word boundary pattern and the normaliser of the compound score
-# (Hutto & Gilbert 2014).
-TOKEN_BREAK = "[^a-zß-ÿ]+"
+#: Words are runs of letters of any script.
+TOKEN_BREAK = r"[^\p{L}]+"
+
+# Fixed value: the normaliser of the compound score (Hutto & Gilbert 2014).
 COMPOUND_NORM = 15.0
+#: A frequent word's rows are dealt over so many join keys.
+SALTS = 32
 
 
 def pieces(text: Column) -> Column:
@@ -43,11 +46,14 @@ def lexicon_polarity(df: DataFrame, lexicon: DataFrame, text: str = "text",
                      keys: tuple[str, ...] = ("file", "seg_idx"), settings: Settings = DEFAULTS) -> DataFrame:
     """Add neg, neu, pos and compound to each row.
 
-    A lexicon (term, valence) of at most `max_inline_lexicon` rows becomes a literal and the whole
-    step is a projection. A larger one is joined to the exploded tokens; `keys` must then identify a row.
+    Terms or valences that are null don't count; of several valences of a term the one farthest from 0
+    does, the negative one of two equally far. A lexicon of at most `max_inline_lexicon` terms becomes a
+    literal and the whole step is a projection. A larger one is joined to the exploded tokens, with the
+    same result; `keys` must then identify a row.
     """
     limit = settings.max_inline_lexicon
-    head = lexicon.select("term", F.col("valence").cast("double")).limit(limit + 1).collect()
+    lexicon = one_valence(lexicon)
+    head = lexicon.limit(limit + 1).collect()
     if len(head) > limit:
         return _joined(df, lexicon, text, list(keys))
     valence = {r["term"]: r["valence"] for r in head}
@@ -71,13 +77,22 @@ def lexicon_polarity(df: DataFrame, lexicon: DataFrame, text: str = "text",
     ).drop("_parts", "_hits")
 
 
+def one_valence(lexicon: DataFrame) -> DataFrame:
+    """(term, valence) with each term once."""
+    v = F.col("valence")
+    return (lexicon.select("term", v.cast("double")).filter(F.col("term").isNotNull() & v.isNotNull())
+            .groupBy("term").agg(F.max_by("valence", F.struct(F.abs("valence"), -v)).alias("valence")))
+
+
 def _joined(df: DataFrame, lexicon: DataFrame, text: str, keys: list[str]) -> DataFrame:
     words = df.select(*keys, F.explode_outer(pieces(F.col(text))).alias("term")).filter("term <> ''")
-    # counting equal words per row first keeps a frequent word from piling up in one join task
-    counted = words.groupBy(*keys, "term").agg(F.count("*").cast("double").alias("n"))
+    # a word that occurs in almost every row is dealt over several join keys
+    counted = words.groupBy(*keys, "term").agg(F.count("*").cast("double").alias("n")).withColumn(
+        "_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
+    lexicon = lexicon.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     v = F.coalesce(F.col("valence"), F.lit(0.0))
     sums = (
-        counted.join(lexicon.select("term", F.col("valence").cast("double")), "term", "left")
+        counted.join(lexicon, ["term", "_salt"], "left")
         .groupBy(*keys).agg(
             F.sum(F.when(v > 0, (v + 1) * F.col("n")).otherwise(F.lit(0.0))).alias("_gain"),
             F.sum(F.when(v < 0, (1 - v) * F.col("n")).otherwise(F.lit(0.0))).alias("_loss"),

@@ -7,6 +7,8 @@ rows per key, are accumulated and added back.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -40,8 +42,12 @@ def with_quantile_slices(df: DataFrame, column: str, out: str = "slice", slices:
 
 
 def running_sums(df: DataFrame, keys: list[str], slice_column: str, order: list[Column],
-                 sums: dict[str, Column], descending: bool = False) -> DataFrame:
-    """Inclusive running sums of each expression along `order` within `keys`."""
+                 sums: dict[str, Column], descending: bool = False, totals: bool = False) -> DataFrame:
+    """Inclusive running sums of each expression along `order` within `keys`; every row is kept.
+
+    Null keys are a group, and rows with a null slice come first (last if descending). With `totals`, also
+    <name>_total, the sum over the whole group: it rides on the offsets, so no join on the keys alone is made.
+    """
     by_slice = F.col(slice_column).desc() if descending else F.col(slice_column).asc()
     local = Window.partitionBy(*keys, slice_column).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -51,24 +57,26 @@ def running_sums(df: DataFrame, keys: list[str], slice_column: str, order: list[
         df.groupBy(*keys, slice_column)
         .agg(*[F.sum(v).alias(f"_off_{name}") for name, v in sums.items()])
         .select(*keys, slice_column, *[
-            F.coalesce(F.sum(f"_off_{name}").over(across), F.lit(0)).alias(f"_off_{name}") for name in sums])
-    )
-    joined = (
-        df.withColumns({f"_run_{name}": F.sum(v).over(local) for name, v in sums.items()})
-        .join(offsets, [*keys, slice_column])
+            F.coalesce(F.sum(f"_off_{name}").over(across), F.lit(0)).alias(f"_off_{name}") for name in sums],
+            *[F.sum(f"_off_{name}").over(Window.partitionBy(*keys)).alias(f"{name}_total") for name in sums if totals])
     )
+    by = [*keys, slice_column]
+    offsets = offsets.withColumnsRenamed({k: f"_key_{k}" for k in by})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in by])
+    joined = df.withColumns({f"_run_{name}": F.sum(v).over(local) for name, v in sums.items()}).join(offsets, same)
     return joined.withColumns({
         name: F.col(f"_run_{name}") + F.col(f"_off_{name}") for name in sums
-    }).drop(*[f"_run_{n}" for n in sums], *[f"_off_{n}" for n in sums])
+    }).drop(*[f"_run_{n}" for n in sums], *[f"_off_{n}" for n in sums], *[f"_key_{k}" for k in by])
 
 
-def row_numbers(df: DataFrame, keys: list[str], slice_column: str, order: list[Column], out: str) -> DataFrame:
-    """1-based position along `order` within `keys`."""
-    return running_sums(df, keys, slice_column, order, {out: F.lit(1).cast("bigint")})
+def row_numbers(df: DataFrame, keys: list[str], slice_column: str, order: list[Column], out: str,
+                totals: bool = False) -> DataFrame:
+    """1-based position along `order` within `keys`; with `totals`, also <out>_total, the group's row count."""
+    return running_sums(df, keys, slice_column, order, {out: F.lit(1).cast("bigint")}, totals=totals)
 
 
 def global_row_number(df: DataFrame, column: str, out: str = "rn") -> DataFrame:
-    """1-based position of each row along a unique numeric column of the whole table."""
+    """1-based position of each row along a unique numeric column of the whole table; nulls come first."""
     sliced = with_quantile_slices(df, column, "_slice")
     return row_numbers(sliced, [], "_slice", [F.col(column)], out).drop("_slice")
 
@@ -97,12 +105,10 @@ def exact_quantiles(df: DataFrame, shares: dict[str, float]) -> DataFrame:
         .filter(F.col("value").isNotNull() & ~F.isnan("value"))
         .groupBy("column", "slice", "value").agg(F.count("*").alias("n"))
     )
-    sizes = counted.groupBy("column").agg(F.sum("n").alias("total"))
     wanted = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
     ranks = (
-        running_sums(counted, ["column"], "slice", [F.col("value")], {"reach": F.col("n")})
-        .join(sizes, "column")
-        .withColumn("spot", (F.col("total") - 1) * wanted[F.col("column")])
+        running_sums(counted, ["column"], "slice", [F.col("value")], {"reach": F.col("n")}, totals=True)
+        .withColumn("spot", (F.col("reach_total") - 1) * wanted[F.col("column")])
     )
     low, high = (
         F.min(F.when(F.col("reach") > place, F.col("value"))) for place in (F.floor("spot"), F.ceil("spot")))

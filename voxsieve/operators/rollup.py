@@ -9,8 +9,8 @@ from ..settings import DEFAULTS, Settings
 
 
 def _language() -> Column:
-    """A file has one language, so it joins the grouping key: a text aggregate would force sorting."""
-    return F.coalesce(F.col("language"), F.lit("unknown")).alias("language")
+    """One language per file, the last in the alphabet if its segments name several."""
+    return F.coalesce(F.max("language"), F.lit("unknown")).alias("language")
 
 
 def _or_zero(value: Column) -> Column:
@@ -25,7 +25,8 @@ def transcript_stats(segments: DataFrame) -> DataFrame:
     """Per file over non-blank segments: counts, mean and maximum toxicity."""
     spoken = F.col("seg_idx").isNotNull() & ~F.col("is_blank")
     tox = F.when(spoken, F.col("overall_toxicity"))
-    return segments.groupBy("file", _language()).agg(
+    return segments.groupBy("file").agg(
+        _language(),
         _count(spoken).alias("total_segments"),
         _count(spoken & F.col("is_toxic")).alias("toxic_segments"),
         _or_zero(F.avg(tox)).alias("avg_toxicity"),
@@ -37,7 +38,8 @@ def hate_stats(segments: DataFrame) -> DataFrame:
     """Per file over non-blank segments: counts, mean and maximum hate score."""
     spoken = F.col("seg_idx").isNotNull() & ~F.col("is_blank")
     score = F.when(spoken, F.col("hate_score"))
-    return segments.groupBy("file", _language()).agg(
+    return segments.groupBy("file").agg(
+        _language(),
         _count(spoken).alias("total_segments"),
         _count(spoken & (F.col("hate_label") == "hate")).alias("hate_segments"),
         _or_zero(F.avg(score)).alias("avg_hate_score"),
@@ -77,7 +79,8 @@ def recording_rollup(segments: DataFrame, settings: Settings = DEFAULTS) -> Data
     total = F.greatest(_count(present), F.lit(1))
     probability = F.col("extremist_probability")
     weighted = _or_zero(F.sum(F.when(flagged, probability))) / total
-    return segments.groupBy("file", _language()).agg(
+    return segments.groupBy("file").agg(
+        _language(),
         _count(present).alias("total_segments"),
         _count(present & F.col("is_toxic")).alias("toxic_segments"),
         (_or_zero(F.sum("overall_toxicity")) / total).alias("avg_toxicity"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,6 +18,17 @@ from .lexicon import lexicon_polarity
 Scorer = Callable[[list[str]], list[dict[str, dict[str, float]]]]
 
 
+_loaded: dict[str, Scorer] = {}
+
+
+def _worker_scorer(token: str, make_scorer: Callable[[], Scorer]) -> Scorer:
+    """The worker's scorer of this call; an earlier call's is let go."""
+    if token not in _loaded:
+        _loaded.clear()
+        _loaded[token] = make_scorer()
+    return _loaded[token]
+
+
 def score_with_lexicon(df: DataFrame, lexicon: DataFrame, text: str = "text",
                        keys: tuple[str, ...] = ("file", "seg_idx"), settings: Settings = DEFAULTS) -> DataFrame:
     """Default scorer: sentiment shares turned into classifier columns, no Python involved.
@@ -35,31 +47,39 @@ def score_with_lexicon(df: DataFrame, lexicon: DataFrame, text: str = "text",
 def score_texts(df: DataFrame, make_scorer: Callable[[], Scorer], text: str = "text", batch_size: int = 16) -> DataFrame:
     """Add model_outputs (five label->score maps) and error (null when scored).
 
-    make_scorer runs once per task, so a model is loaded once and used for all its Arrow batches.
+    make_scorer runs once per Python worker, so a model is loaded once and used for all its tasks. A
+    scorer that returns another number of results than it was given texts is an error.
     Blank texts get empty maps without a model call; a batch that fails is retried text by text, so
     one bad text yields one error row.
     """
     schema = T.StructType([*df.schema.fields, T.StructField("model_outputs", MODEL_OUTPUTS),
                            T.StructField("error", ERROR)])
     empty = {m: {} for m in MODELS}
+    token = uuid.uuid4().hex
 
     def shaped(result: dict) -> dict:
         return {m: {k: float(v) for k, v in (result.get(m) or {}).items()} for m in MODELS}
 
     def one(scorer: Scorer, value: str):
         try:
-            return shaped(scorer([value])[0]), None
+            results = scorer([value])
+            if len(results) != 1:
+                raise ValueError(f"{len(results)} results for 1 text")
+            return shaped(results[0]), None
         except Exception as e:
             return None, {"error_type": type(e).__name__, "error_message": str(e)}
 
     def many(scorer: Scorer, values: list[str]):
         try:
-            return [(shaped(r), None) for r in scorer(values)]
+            results = scorer(values)
+            if len(results) != len(values):
+                raise ValueError(f"{len(results)} results for {len(values)} texts")
+            return [(shaped(r), None) for r in results]
         except Exception:
             return [one(scorer, v) for v in values]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = make_scorer()
+        scorer = _worker_scorer(token, make_scorer)
         for pdf in batches:
             values = pdf[text].fillna("").tolist()
             spoken = [i for i, v in enumerate(values) if v.strip()]

@@ -16,16 +16,15 @@ def with_class_rank(df: DataFrame, key: str, label: str | None, seed: int) -> Da
     digest = F.md5(F.concat_ws("_", F.col(key).cast("string"), F.lit(str(seed))))
     hashed = df.withColumn("_hash", digest).withColumn("_slice", F.substring("_hash", 1, 4))
     keys = [label] if label else []
-    return row_numbers(hashed, keys, "_slice", [F.col("_hash")], "class_rank").drop("_hash", "_slice")
+    return row_numbers(hashed, keys, "_slice", [F.col("_hash")], "class_rank", totals=True).drop("_hash", "_slice")
 
 
 def stratified_split(df: DataFrame, key: str, label: str, share: float = DEFAULTS.validation_share,
                      seed: int = DEFAULTS.seed) -> DataFrame:
-    """Adds `part` (train or validation), keeping class shares."""
-    sizes = df.groupBy(label).agg(F.round(F.count("*") * share).cast("bigint").alias("_take"))
-    ranked = with_class_rank(df, key, label, seed).join(sizes, label)
-    part = F.when(F.col("class_rank") <= F.col("_take"), "validation").otherwise("train")
-    return ranked.withColumn("part", part).drop("_take", "class_rank")
+    """Adds `part` (train or validation), keeping class shares; rows without a label are a class."""
+    take = F.round(F.col("class_rank_total") * share).cast("bigint")
+    part = F.when(F.col("class_rank") <= take, "validation").otherwise("train")
+    return with_class_rank(df, key, label, seed).withColumn("part", part).drop("class_rank", "class_rank_total")
 
 
 def kfold_assign(df: DataFrame, key: str, label: str | None, settings: Settings = DEFAULTS) -> DataFrame:
@@ -35,4 +34,4 @@ def kfold_assign(df: DataFrame, key: str, label: str | None, settings: Settings
         smallest = df.groupBy(label).count().agg(F.min("count").alias("n")).scalar()
         folds = F.least(folds, F.greatest(F.lit(2), smallest))
     ranked = with_class_rank(df, key, label, settings.seed)
-    return ranked.withColumn("fold", F.pmod(F.col("class_rank") - 1, folds).cast("int")).drop("class_rank")
+    return ranked.withColumn("fold", F.pmod(F.col("class_rank") - 1, folds).cast("int")).drop("class_rank", "class_rank_total")

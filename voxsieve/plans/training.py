@@ -37,7 +37,7 @@ def train_from_labels(labelled: DataFrame, key: str, lexicon: DataFrame, model_t
                       settings: Settings = DEFAULTS) -> Bundle:
     """Fit the classifier on labelled texts (key, text, label) using text-only features."""
     engineered = text_features(labelled, lexicon, (key,), settings).select(key, "label", "features")
-    names = feature_names(engineered, settings=settings)
+    names = feature_names(engineered)
     return train_classifier(feature_matrix(engineered, names), key, names, "label", model_type, settings)
 
 

@@ -61,7 +61,7 @@ def polarity(source: str, text: str, keys: str) -> list[str]:
     """CTEs tok and pol: neg, neu, pos and compound per key of `source`."""
     return [
         LEX,
-        f"tok AS (SELECT {keys}, unnest(regexp_split_to_array(lower({text}), '[^a-zà-ÿß]+')) AS term FROM {source})",
+        f"tok AS (SELECT {keys}, unnest(regexp_split_to_array(lower({text}), '[^\\p{{L}}]+')) AS term FROM {source})",
         f"""sums AS (SELECT {keys},
   sum(CASE WHEN valence > 0 THEN valence + 1 ELSE 0 END) AS p, sum(CASE WHEN valence < 0 THEN 1 - valence ELSE 0 END) AS n,
   count(*) FILTER (coalesce(valence, 0) = 0)::DOUBLE AS u, coalesce(sum(valence), 0) AS s
@@ -318,7 +318,7 @@ def _mss(e: str) -> str:
 SQL["timestamp_parts"] = with_(SEGS, f"""SELECT file, seg_idx, floor(a / 60)::INT AS start_minute, floor(a % 60)::INT AS start_second,
   {_mss('a')} AS start_text, {_mss('b')} AS end_text FROM (SELECT file, seg_idx, round(start_s, 3) AS a, round(end_s, 3) AS b FROM segs)""")
 
-SQL["clean_text"] = f"SELECT doc_id, {strip('text')}[1:2000] AS text FROM documents WHERE doc_id % 10 <> 0 AND {strip('text')} <> ''"
+SQL["clean_text"] = f"SELECT doc_id, {strip('text')} AS text FROM documents WHERE doc_id % 10 <> 0 AND {strip('text')} <> ''"
 
 SQL["highlight_segments"] = with_(ACOUSTIC, f"""SELECT vec_id, CASE WHEN overall_toxicity > 0.5 THEN {r('overall_toxicity * 0.5')} END AS alpha,
   concat_ws(chr(10), {_mss('a')} || '-' || {_mss('b')} || ': ' || printf('%.1f%%', overall_toxicity * 100),
@@ -534,7 +534,7 @@ SQL["impute"] = with_([NOTES], f"""SELECT note_id, {r('coalesce(rating, (SELECT
   coalesce(kind, (SELECT kind FROM notes WHERE kind IS NOT NULL GROUP BY kind ORDER BY count(*) DESC, kind LIMIT 1)) AS kind FROM notes""")
 
 SQL["standardize"] = with_([EMB], "SELECT vec_id, " + ", ".join(
-    r(f"(x[{i}] - avg(x[{i}]) OVER ()) / stddev_pop(x[{i}]) OVER ()") + f" AS d{i}" for i in range(1, 9)) + ", 0.0::DOUBLE AS flat FROM emb")
+    r(f"(x[{i}] - avg(x[{i}]) OVER ()) / stddev_pop(x[{i}]) OVER ()") + f" AS d{i}" for i in range(1, 65)) + ", 0.0::DOUBLE AS flat FROM emb")
 
 # --- windows, splits, metrics
 
@@ -610,7 +610,7 @@ SQL["score_texts"] = with_(polarity("documents", "text", "doc_id"), f"""SELECT d
 SQL["score_recordings"] = with_(DECIDED, f"SELECT {ROLL_ROUNDED}, {MESSAGE} AS result FROM roll")
 
 SQL["score_transcripts"] = with_([
-    *SEGS, f"""tok_d AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-zà-ÿß]+')) AS term FROM documents)""",
+    *SEGS, f"""tok_d AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS term FROM documents)""",
     """sums_d AS (SELECT doc_id, sum(CASE WHEN valence > 0 THEN valence + 1 ELSE 0 END) AS p, sum(CASE WHEN valence < 0 THEN 1 - valence ELSE 0 END) AS n,
   count(*) FILTER (coalesce(valence, 0) = 0) AS u FROM tok_d LEFT JOIN lex USING (term) WHERE term <> '' GROUP BY doc_id)""",
     """seg_stats AS (SELECT file, count(*) FILTER (NOT is_blank) AS total_segments, count(*) FILTER (is_toxic) AS toxic_segments,

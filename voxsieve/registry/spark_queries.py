@@ -585,8 +585,8 @@ def impute(spark, d):
 
 @query
 def standardize(spark, d):
-    df = fx.vectors(spark, d).select("vec_id", *[fx.x(i).alias(f"d{i}") for i in range(1, 9)], F.lit(3.0).alias("flat"))
-    columns = [f"d{i}" for i in range(1, 9)] + ["flat"]
+    df = fx.vectors(spark, d).select("vec_id", *[fx.x(i).alias(f"d{i}") for i in range(1, 65)], F.lit(3.0).alias("flat"))
+    columns = [f"d{i}" for i in range(1, 65)] + ["flat"]
     return rounded(lb.Standardizer.fit(df, columns).transform(df))
 
 
@@ -678,7 +678,7 @@ def train_forest(spark, d):
 def train_boosted(spark, d):
     df, names = fx.feature_vectors(spark, d)
     # each round is a chain of small jobs; twenty of the default 150 show the operator
-    return _predicted(ml.train_boosted(df, names, settings=replace(DEFAULTS, boosted_rounds=20)), df)
+    return _predicted(ml.train_boosted(df, names), df)
 
 
 @query

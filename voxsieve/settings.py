@@ -48,7 +48,6 @@ class Settings:
     rows_per_slice: int = 100_000
     segments_per_document: int = 5_000
     max_inline_lexicon: int = 1_000
-    max_vocabulary: int = 10_000
 
 
 DEFAULTS = Settings()

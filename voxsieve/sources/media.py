@@ -36,6 +36,7 @@ def pair_feature_files(text_files: DataFrame, acoustic_files: DataFrame, text_su
 
 
 def skip_existing(inputs: DataFrame, results: DataFrame, name: str = "file") -> DataFrame:
-    """Inputs whose stem has no stored result yet."""
-    done = results.select(file_stem(F.col(name)).alias("_stem"))
-    return inputs.withColumn("_stem", file_stem(F.col(name))).join(done, "_stem", "left_anti").drop("_stem")
+    """Inputs whose stem (the name without directory and suffix) has no stored result yet."""
+    stem = file_stem(F.substring_index(F.col(name), "/", -1))
+    done = results.select(stem.alias("_stem"))
+    return inputs.withColumn("_stem", stem).join(done, "_stem", "left_anti").drop("_stem")

@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """Fresh path below the cluster's checkpoint folder.
+    """Fresh path below the cluster's checkpoint folder, or below its warehouse where that is not set.
 
-    Only a local session without that setting falls back to the machine's temporary folder.
+    Both are shared by all executors; what is written is left to the cluster's own clean-up.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        root = tempfile.gettempdir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
     return f"{root.rstrip('/')}/voxsieve-{name}-{uuid.uuid4().hex}"
 
 
