@@ -29,7 +29,7 @@ MAX_RANK = np.int64(1) << 40
 #: Words longer than this many bytes are merged with a heap instead of in matrices.
 LONG_WORD = 48
 #: A worker forgets its words beyond this number, so its memory stays bounded.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 300_000
 
 # The split of the published vocabulary, and Unicode white space.
 SPACE = r"[\t-\r \x85\xa0  -     　]"

@@ -29,6 +29,8 @@ BUCKETS = 1 << 15
 GRAMS = 4
 #: Training documents per language on which the bits' scales are fitted.
 CALIBRATION = 500
+#: Bytes of text at a time: the n-grams of all orders take some 150 bytes per byte.
+SLICE = 1 << 19
 #: Two codewords whose losses differ by less than this share of the weight are ambiguous.
 MARGIN = 0.1
 UNDETERMINED = "und"
@@ -97,7 +99,7 @@ def _count(languages: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part, texts in sliced(batch, "text"):
+            for part, texts in sliced(batch, "text", SLICE):
                 lang = np.array(part.column(part.schema.get_field_index(languages)).to_pylist(), object)
                 rows, buckets, _ = gram_buckets(texts.to_pylist())
                 for name in set(lang):
@@ -186,7 +188,7 @@ def _scales(sample: DataFrame, model: CodeModel) -> tuple[np.ndarray, np.ndarray
         m = held.value
         rows, sums = [], []
         for batch in batches:
-            for part, texts in sliced(batch, "text"):
+            for part, texts in sliced(batch, "text", SLICE):
                 margins, has = m.margins(texts.to_pylist())
                 lang = part.column(part.schema.get_field_index("lang")).to_pylist()
                 rows += [m.languages.index(x) for x, h in zip(lang, has, strict=True) if h]
@@ -235,7 +237,7 @@ def predict(docs: DataFrame, model: CodeModel | None, text: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            for part, texts in sliced(batch, text):
+            for part, texts in sliced(batch, text, SLICE):
                 margins, has = m.margins(texts.to_pylist())
                 best, score, close = m.decode(margins)
                 out = {f.name: part.column(part.schema.get_field_index(f.name)) for f in kept}
