@@ -187,8 +187,8 @@ class Classifier:
         b = weight_bucket(keys)
         on = self.weights[b] != 0
         rows, b = once_per_row(rows[on], b[on])
-        z = np.bincount(rows, weights=self.weights[b], minlength=len(texts))
-        z /= np.sqrt(np.maximum(np.bincount(rows, minlength=len(texts)), 1))
+        z = np.bincount(rows, weights=self.weights[b], minlength=len(texts))  # whole numbers where no feature counts
+        z = z / np.sqrt(np.maximum(np.bincount(rows, minlength=len(texts)), 1))
         # far margins say no more than near ones about how often voters are wrong
         return np.clip(np.stack([z + self.bias, np.log(p / (1 - p))], 1), -BOUND, BOUND)
 
