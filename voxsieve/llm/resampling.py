@@ -78,7 +78,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, text: str = "text") -> DataFrame:
             for part, texts in sliced(batch, text):
                 rows, buckets = bag(texts)
                 out = {f.name: part.column(part.schema.get_field_index(f.name)) for f in kept}
-                out["log_weight"] = pa.array(np.bincount(rows, weights=held.value[buckets], minlength=len(texts)))
+                out["log_weight"] = pa.array(np.bincount(rows, weights=held.value[buckets], minlength=len(texts)), pa.float64())
                 yield pa.RecordBatch.from_pydict(out)
 
     return docs.mapInArrow(run, T.StructType([*kept, T.StructField("log_weight", T.DoubleType())]))
