@@ -87,7 +87,8 @@ def test_toxicity_defined_cases(spark):
     assert got[1]["score"] > got[2]["score"] and got[3]["score"] == got[4]["score"]
     assert all(0 <= r["score"] <= 1 for r in got.values())
     assert toxicity.predict(docs.filter("false"), model).count() == 0
-    assert toxicity.train(docs.filter("false"), frame(spark, [(1, None), (None, 1)], "id long, toxic int")) is not None
+    untrained = toxicity.train(docs.filter("false"), frame(spark, [(1, None), (None, 1)], "id long, toxic int"))
+    assert all(0 <= r["score"] <= 1 for r in toxicity.predict(docs, untrained).collect())
 
 
 def test_label_model_finds_the_better_voters():
@@ -107,6 +108,12 @@ def test_label_model_finds_the_better_voters():
 
 # --- quality ---
 
+def test_resampling_of_empty_texts_only(spark):
+    docs = frame(spark, [(1, ""), (2, None), (3, " ")], "id long, text string")
+    got = resampling.resample(docs, docs.filter("id = 1"), 1.0, key="id").collect()
+    assert [r["log_weight"] for r in got] == [0.0] * 3 and all(r["sampled"] for r in got)
+
+
 def test_resampling_takes_k_and_prefers_good_texts(spark):
     got = QUERIES["op6_quality_classifier"](spark, MEDIUM)
     labels = spark.read.parquet(f"{MEDIUM}/labels.parquet")

@@ -146,7 +146,7 @@ def label_model(n: float, first: np.ndarray, second: np.ndarray) -> LabelModel:
     with the label up to sign: c_i^2 = C_ij C_ik / C_jk; the median over pairs of other voters is
     robust. Where two voters agree beyond c_i c_j they are correlated, and share their weight.
     """
-    m = len(first)
+    m, n = len(first), max(n, 1)
     rate = np.clip(first / n, 1e-4, 1 - 1e-4)
     cov = second / n - np.outer(rate, rate)
     strength = np.zeros(m)
