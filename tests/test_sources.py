@@ -16,11 +16,11 @@ def test_one_transcript_per_file(spark, tmp_path):
     (tmp_path / "bad" / "b.json").write_text("{}")
     (tmp_path / "notes.txt").write_text("x")
     got = {r.file: r for r in ts.read_transcripts(spark, str(tmp_path)).collect()}
-    assert set(got) == {"a.json", "b.json"}
+    assert set(got) == {"a.json", "bad/b.json"}
     assert (got["a.json"].text, got["a.json"].language, got["a.json"].segments[0].end) == ("hi", "unknown", 1.5)
-    assert got["b.json"].segments == []
+    assert got["bad/b.json"].segments == []
     classes = {r.file: r.class_name for r in ts.read_transcripts(spark, str(tmp_path), with_class=True).collect()}
-    assert classes == {"a.json": tmp_path.name, "b.json": "bad"}
+    assert classes == {"a.json": tmp_path.name, "bad/b.json": "bad"}
 
 
 def test_labeled_csv_keeps_file_order_and_finds_columns(spark, tmp_path):
@@ -83,3 +83,29 @@ def test_stems_keep_inner_dots(spark):
     a = spark.createDataFrame([("x.y.mp4",), ("z.mp4",), (".mp4",)], "file string")
     done = spark.createDataFrame([("x.y.json",)], "file string")
     assert sorted(r.file for r in media.skip_existing(a, done).collect()) == [".mp4", "z.mp4"]
+
+
+def test_broken_transcripts_are_error_rows(spark, tmp_path):
+    (tmp_path / "good.json").write_text('{"text": "x"}')
+    (tmp_path / "cut.json").write_text('{"text": "idiot", "segm')
+    (tmp_path / "blank.json").write_text(" \n")
+    files = ts.transcript_files(spark, str(tmp_path))
+    assert {r.file: r.error_type for r in ts.broken_transcripts(files).collect()} == {
+        "cut.json": "JSONDecodeError", "blank.json": "JSONDecodeError"}
+    assert [r.file for r in ts.read_transcripts(spark, str(tmp_path)).collect()] == ["good.json"]
+    assert ts.read_transcripts(spark, str(tmp_path)).count() == 1
+
+
+def test_written_results_can_be_read_again(spark, small, tmp_path):
+    some = fx.transcripts(spark, small).filter(fx.doc_id() < 4)
+    scored = rec.score_recordings(some, fx.lexicon(spark), store=True)
+    docs = ru.json_envelope(scored.segments, scored.statistics, ru.display_fields(), documents=rec.document_scores(some, fx.lexicon(spark)))
+    results.write_results(docs, scored.statistics, str(tmp_path / "r"))
+    got = ts.reload_results(spark, str(tmp_path / "r" / "documents"), one_per_file=False, pattern="*.txt")
+    rows = {r.file: r for r in got.collect()}
+    assert sorted(rows) == [f"doc_{i}" for i in range(4)] and all(r.valid for r in rows.values())
+    for s in scored.statistics.collect():
+        r = rows[s.file]
+        assert (r.result, r.isExtremist, len(r.segments)) == (s.result, s.is_extremist_content, s.total_segments)
+        assert r.statistics.max_toxicity == pytest.approx(s.max_toxicity)
+        assert r.full_text_classification.overall_toxicity is not None

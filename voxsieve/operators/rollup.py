@@ -136,10 +136,21 @@ def verdict_message() -> Column:
     )
 
 
-def json_envelope(segments: DataFrame, statistics: DataFrame, segment_fields: list[str],
-                  settings: Settings = DEFAULTS) -> DataFrame:
+def display_fields() -> list[Column]:
+    """Segment fields under the names in which results are displayed and read again."""
+    return [
+        F.col("start_s").alias("startTime"), F.col("end_s").alias("endTime"), F.col("text"), F.col("extreme"), F.col("emotion"),
+        F.col("emotion_score").alias("emotionScore"), F.col("hate_target").alias("hateTarget"),
+        F.col("hate_target_confidence").alias("hateTargetConfidence"), F.col("detected_issues").alias("classification"),
+        F.col("sarcasm")]
+
+
+def json_envelope(segments: DataFrame, statistics: DataFrame, segment_fields: list[str | Column],
+                  settings: Settings = DEFAULTS, documents: DataFrame | None = None) -> DataFrame:
     """Result documents (file, part, n_segments, document).
 
+    `documents` (file, overall_toxicity, is_toxic) adds the classification of the whole text.
+
     A recording of up to `segments_per_document` segments is one document; a longer one continues
     in further parts, so no task ever gathers a whole long recording.
     """
@@ -150,9 +161,14 @@ def json_envelope(segments: DataFrame, statistics: DataFrame, segment_fields: li
     described = statistics.select(
         "file", verdict_message().alias("result"), F.col("is_extremist_content").alias("verdict"),
         F.struct(*stats).alias("statistics"))
+    whole = []
+    if documents is not None:
+        described = described.join(documents.select(
+            "file", F.struct("overall_toxicity", "is_toxic").alias("full_text_classification")), "file", "left")
+        whole = ["full_text_classification"]
     document = F.struct(
-        F.lit(True).alias("success"), F.col("result"), F.col("verdict").alias("isExtremist"), F.col("segments"),
-        F.col("statistics"), F.col("file").alias("filename"))
+        F.lit(True).alias("success"), F.col("result"), F.col("verdict").alias("isExtremist"), F.col("part"),
+        F.col("segments"), F.col("statistics"), *whole, F.col("file").alias("filename"))
     return grouped.join(described, "file").select(
         "file", "part", F.size("segments").alias("n_segments"),
         F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))

@@ -13,18 +13,20 @@ from .ordering import index_slices, running_sums
 
 
 def explode_segments(transcripts: DataFrame, keep_blank: bool = False, keep_empty: bool = False) -> DataFrame:
-    """One row per segment: file, language, seg_idx, start_s, end_s, trimmed text.
+    """One row per segment: file, language, seg_idx, start_s, end_s, trimmed text, and class_name if there is one.
 
     keep_blank keeps blank segments (is_blank marks them); keep_empty also keeps one row with a
     null seg_idx for a transcript without segments, so rollups need no join to find it.
     """
     # always outer: an inner explode repeats the computation of `segments` as a pushed-down filter
-    exploded = transcripts.select("file", "language", F.posexplode_outer("segments").alias("seg_idx", "segment"))
+    carried = [c for c in ("class_name",) if c in transcripts.columns]
+    exploded = transcripts.select(
+        "file", *carried, "language", F.posexplode_outer("segments").alias("seg_idx", "segment"))
     if not keep_empty:
         exploded = exploded.filter(F.col("seg_idx").isNotNull())
     rows = (
         exploded.select(
-            "file", "language", "seg_idx",
+            "file", *carried, "language", "seg_idx",
             F.col("segment.start").alias("start_s"), F.col("segment.end").alias("end_s"),
             F.when(F.col("seg_idx").isNotNull(),
                    strip(F.coalesce(F.col("segment.text"), F.lit("")))).alias("text"))

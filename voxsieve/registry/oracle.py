@@ -609,12 +609,24 @@ SQL["score_texts"] = with_(polarity("documents", "text", "doc_id"), f"""SELECT d
 
 SQL["score_recordings"] = with_(DECIDED, f"SELECT {ROLL_ROUNDED}, {MESSAGE} AS result FROM roll")
 
-SQL["score_transcripts"] = with_([
-    *SEGS, f"""tok_d AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS term FROM documents)""",
+_WHOLE = [
+    f"""tok_d AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS term FROM documents)""",
     """sums_d AS (SELECT doc_id, sum(CASE WHEN valence > 0 THEN valence + 1 ELSE 0 END) AS p, sum(CASE WHEN valence < 0 THEN 1 - valence ELSE 0 END) AS n,
-  count(*) FILTER (coalesce(valence, 0) = 0) AS u FROM tok_d LEFT JOIN lex USING (term) WHERE term <> '' GROUP BY doc_id)""",
+  count(*) FILTER (coalesce(valence, 0) = 0) AS u FROM tok_d LEFT JOIN lex USING (term) WHERE term <> '' GROUP BY doc_id)"""]
+
+SQL["score_transcripts"] = with_([
+    *SEGS, *_WHOLE,
     """seg_stats AS (SELECT file, count(*) FILTER (NOT is_blank) AS total_segments, count(*) FILTER (is_toxic) AS toxic_segments,
   coalesce(avg(overall_toxicity), 0) AS a, coalesce(max(overall_toxicity), 0) AS m, any_value(language) AS language FROM segs GROUP BY file)"""],
     f"""SELECT file, {r(clamp('0.8 * coalesce(n / (p + n + u), 0) + 0.2 * (1 - coalesce(u / (p + n + u), 0))', 0, 1))} AS overall_toxicity,
   coalesce(n / (p + n + u), 0) > 0.6 AS is_toxic, {r('a')} AS avg_segment_toxicity, {r('m')} AS max_segment_toxicity, total_segments, toxic_segments, language
   FROM documents LEFT JOIN sums_d USING (doc_id) JOIN seg_stats ON file = 'doc_' || doc_id""")
+
+SQL["process_directory"] = """SELECT count(*) AS total, count(*) FILTER (doc_id % 13 <> 0 AND doc_id % 5 <> 0) AS processed,
+  count(*) FILTER (doc_id % 13 <> 0 AND doc_id % 5 = 0) AS skipped, count(*) FILTER (doc_id % 13 = 0) AS failed FROM documents"""
+
+SQL["reload_written_results"] = with_([*DECIDED, *_WHOLE], f"""SELECT file, true AS valid, {MESSAGE} AS result, is_extremist_content AS is_extremist,
+  total_segments AS n_segments, {r('max_toxicity')} AS max_toxicity,
+  {r(clamp('0.8 * coalesce(n / (p + n + u), 0) + 0.2 * (1 - coalesce(u / (p + n + u), 0))', 0, 1))} AS full_text_toxicity,
+  coalesce(n / (p + n + u), 0) > 0.6 AS full_text_toxic
+  FROM documents LEFT JOIN sums_d USING (doc_id) JOIN roll ON file = 'doc_' || doc_id WHERE doc_id % 13 <> 0""")

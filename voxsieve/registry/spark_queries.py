@@ -11,7 +11,7 @@ from ..functions import features as feat, scores as sc, speech as sp, text as tx
 from ..operators import (
     align, contour, features, labels as lb, learning as ml, lexicon as lx, metrics as mt, rollup as ru, scorer, segments as sg,
     splits)
-from ..plans import recordings as rec, training as tr
+from ..plans import directory as dr, recordings as rec, training as tr
 from ..settings import DEFAULTS, TOXIC_LABELS
 from ..sources import media, results as res, tables as tb, transcripts as ts
 from ..sources.scratch import scratch_dir
@@ -113,7 +113,8 @@ def write_results(spark, d):
     documents = ru.json_envelope(scored.segments, scored.statistics, ["text", "extreme", "is_extremist"])
     res.write_results(documents, scored.statistics, path)
     summary = spark.read.option("header", True).option("escape", '"').csv(f"{path}/summary")
-    stored = spark.read.schema("file string, part bigint, n_segments bigint").json(f"{path}/documents")
+    stored = ts.reload_results(spark, f"{path}/documents", one_per_file=False, pattern="*.txt").select(
+        "file", F.size("segments").alias("n_segments"))
     return summary.select(
         "file", F.col("total_segments").cast("bigint").alias("total_segments"),
         F.col("extremist_segments").cast("bigint").alias("extremist_segments"), "result",
@@ -776,3 +777,35 @@ def train_from_labels(spark, d):
     rows = fx.labeled(spark, d).filter("label is not null").select("row_id", "text", "label")
     bundle = tr.train_from_labels(rows, "row_id", fx.lexicon(spark), "logistic")
     return rounded(bundle.validation)
+
+
+def _write_documents(spark, d, path, condition=None):
+    """The documents as transcripts, one per line; every 13th is cut off within its JSON."""
+    lines = fx.transcripts(spark, d).filter(F.lit(True) if condition is None else condition).withColumn(
+        "value", F.to_json(F.struct("file", "text", "language", "segments")))
+    cut = F.expr("substring(value, 1, length(value) - 1)")
+    lines.select(F.when(fx.doc_id() % 13 == 0, cut).otherwise(F.col("value")).alias("value")).write.text(path)
+
+
+@query
+def process_directory(spark, d):
+    path = scratch_dir(spark, "directory")
+    first = F.pmod(fx.doc_id(), F.lit(5)) == 0
+    _write_documents(spark, d, f"{path}/in/a", first)
+    dr.process_directory(spark, f"{path}/in", f"{path}/out", fx.lexicon(spark), one_per_file=False, pattern="*.txt")
+    _write_documents(spark, d, f"{path}/in/b", ~first)
+    return dr.process_directory(
+        spark, f"{path}/in", f"{path}/out", fx.lexicon(spark), one_per_file=False, pattern="*.txt").select(
+        "total", "processed", "skipped", "failed")
+
+
+@query
+def reload_written_results(spark, d):
+    path = scratch_dir(spark, "directory")
+    _write_documents(spark, d, f"{path}/in")
+    dr.process_directory(spark, f"{path}/in", f"{path}/out", fx.lexicon(spark), one_per_file=False, pattern="*.txt")
+    return rounded(dr.directory_results(spark, f"{path}/out").select(
+        "file", "valid", "result", F.col("isExtremist").alias("is_extremist"),
+        F.size("segments").cast("bigint").alias("n_segments"), F.col("statistics.max_toxicity").alias("max_toxicity"),
+        F.col("full_text_classification.overall_toxicity").alias("full_text_toxicity"),
+        F.col("full_text_classification.is_toxic").alias("full_text_toxic")))

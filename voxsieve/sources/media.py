@@ -35,8 +35,12 @@ def pair_feature_files(text_files: DataFrame, acoustic_files: DataFrame, text_su
         based(acoustic_files.select("name"), acoustic_suffix, "acoustic_file"), "base")
 
 
-def skip_existing(inputs: DataFrame, results: DataFrame, name: str = "file") -> DataFrame:
-    """Inputs whose stem (the name without directory and suffix) has no stored result yet."""
-    stem = file_stem(F.substring_index(F.col(name), "/", -1))
-    done = results.select(stem.alias("_stem"))
+def skip_existing(inputs: DataFrame, results: DataFrame, name: str = "file", by_path: bool = False) -> DataFrame:
+    """Inputs whose stem (the name without directory and suffix) has no stored result yet.
+
+    by_path keeps the directory in the stem, for trees in which names repeat.
+    """
+    whole = F.col(name) if by_path else F.substring_index(F.col(name), "/", -1)
+    stem = file_stem(whole)
+    done = results.select(stem.alias("_stem")).distinct()
     return inputs.withColumn("_stem", stem).join(done, "_stem", "left_anti").drop("_stem")

@@ -9,15 +9,16 @@ from ..settings import TOXIC_LABELS
 
 
 def write_results(documents: DataFrame, statistics: DataFrame, path: str, per_recording: bool = False) -> None:
-    """JSON documents and a CSV of statistics below `path`.
+    """JSON documents, as reload_results reads them, and a CSV of statistics below `path`.
 
     The combined layout (one document per line) suits many recordings; per_recording makes one
     directory per recording.
     """
-    writer = documents.write.mode("overwrite")
+    kept = documents.select("document", "file") if per_recording else documents.select("document")
+    writer = kept.write.mode("overwrite")
     if per_recording:
         writer = writer.partitionBy("file")
-    writer.json(f"{path}/documents")
+    writer.text(f"{path}/documents")
     statistics.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(f"{path}/summary")
 
 

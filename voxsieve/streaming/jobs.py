@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.recordings import score_recordings
-from ..schemas import TRANSCRIPT
 from ..settings import DEFAULTS, Settings
+from ..sources.transcripts import broken_transcripts, parse_transcripts
 
 
-def transcript_stream(spark: SparkSession, path: str) -> DataFrame:
-    """New transcript files (one document per line) as they appear."""
-    raw = spark.readStream.schema(TRANSCRIPT).option("pathGlobFilter", "*.json").json(path)
-    return raw.withColumn("file", F.coalesce("file", F.col("_metadata.file_name")))
+def transcript_stream(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """New transcript files as they appear, as rows of transcript_files."""
+    raw = spark.readStream.option("pathGlobFilter", "*.json").text(path, wholetext=one_per_file)
+    return parse_transcripts(raw, path, one_per_file)
 
 
 def run_available(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -28,9 +28,13 @@ def run_available(stream: DataFrame, checkpoint: str, handle: Callable[[DataFram
 
 def score_new_transcripts(spark: SparkSession, source: str, sink: str, checkpoint: str, lexicon: DataFrame,
                           settings: Settings = DEFAULTS) -> StreamingQuery:
-    """Recording statistics of new transcripts, one directory per batch so a replayed batch overwrites itself."""
+    """Recording statistics of new transcripts, one directory per batch so a replayed batch overwrites itself.
+
+    Transcripts that cannot be parsed become error rows below `<sink>_errors`.
+    """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        statistics = score_recordings(batch, lexicon, settings=settings).statistics
+        broken_transcripts(batch).write.mode("overwrite").json(f"{sink.rstrip('/')}_errors/batch={batch_id}")
+        statistics = score_recordings(batch.filter("error is null"), lexicon, settings=settings).statistics
         statistics.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     return run_available(transcript_stream(spark, source), checkpoint, handle)
