@@ -21,12 +21,13 @@ def score_counts(df: DataFrame, score: str, label: str, keys: tuple[str, ...] =
         F.count(F.when(F.col(label) != 1, 1)).alias("neg"))
 
 
-def cumulative_counts(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def cumulative_counts(counts: DataFrame, keys: tuple[str, ...] = (), store: bool = True) -> DataFrame:
     """Adds tp and fp: positives and negatives with at least this score.
 
     The counts are stored first: they are read several times, what they were counted from only once.
+    `store` is false for counts that are a stored table already.
     """
-    sliced = with_quantile_slices(stored(counts, "score-counts"), "score")
+    sliced = with_quantile_slices(stored(counts, "score-counts") if store else counts, "score")
     return running_sums(sliced, list(keys), "slice", [F.col("score").desc()],
                         {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True)
 
@@ -45,8 +46,9 @@ def threshold_curve(df: DataFrame, score: str, label: str, beta: float = DEFAULT
     counts = score_counts(df, score, label)
     merged = counts.unionByName(grid_counts(counts)).groupBy("score").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    ranked = cumulative_counts(merged)
-    positives = ranked.agg(F.coalesce(F.max("tp"), F.lit(0)).alias("p")).first()["p"]
+    counts_stored = stored(merged, "score-counts")
+    ranked = cumulative_counts(counts_stored, store=False)
+    positives = counts_stored.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("p")).first()["p"]
     square = beta * beta
     hit = (1 + square) * F.col("tp")
     scale = hit + square * (F.lit(positives) - F.col("tp")) + F.col("fp")
@@ -143,10 +145,25 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, keys: tuple[s
         (1 - F.try_divide(F.avg(squared), F.var_pop(y))).alias("r2"))
 
 
+def _right(settings: Settings):
+    return ((F.col("score") >= settings.decision_threshold).cast("int") == F.col("label")).cast("double")
+
+
 def fold_report(out_of_fold: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Per fold: accuracy, area under ROC and average precision of out-of-fold scores."""
-    right = ((F.col("score") >= settings.decision_threshold).cast("int") == F.col("label")).cast("double")
-    accuracy = out_of_fold.groupBy("fold").agg(F.avg(right).alias("accuracy"), F.count("*").alias("n"))
+    accuracy = out_of_fold.groupBy("fold").agg(F.avg(_right(settings)).alias("accuracy"), F.count("*").alias("n"))
     return (
         accuracy.join(roc_auc(out_of_fold, "score", "label", ("fold",)), "fold")
         .join(average_precision(out_of_fold, "score", "label", ("fold",)), "fold"))
+
+
+def fold_summary(out_of_fold: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """One row: mean and deviation of the folds' accuracy, area under ROC and average precision of all scores."""
+    folds = out_of_fold.groupBy("fold").agg(F.avg(_right(settings)).alias("accuracy")).agg(
+        F.count("*").alias("n_folds"), F.avg("accuracy").alias("mean_accuracy"),
+        F.stddev_pop("accuracy").alias("std_accuracy"))
+    # one row each: single numbers
+    auc = roc_auc(out_of_fold, "score", "label").first()["roc_auc"]
+    precision = average_precision(out_of_fold, "score", "label").first()["average_precision"]
+    return folds.withColumns({
+        "roc_auc": F.lit(auc).cast("double"), "average_precision": F.lit(precision).cast("double")})

@@ -20,9 +20,16 @@ def index_slices(index: Column, rows: int = DEFAULTS.rows_per_slice) -> Column:
     return F.floor(index / F.lit(rows))
 
 
+#: Most slices of an axis: the quantile sketches that the driver merges grow with the number of slices.
+MOST_SLICES = 1_000
+
+
 def slice_count(df: DataFrame) -> int:
-    """As many slices as the session has shuffle partitions."""
-    return max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """As many slices as the session has shuffle partitions, within the bounds of a driver-side sketch.
+
+    A slice is a unit of work, ordered with spill; the number never changes a result.
+    """
+    return min(MOST_SLICES, max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def with_quantile_slices(df: DataFrame, column: str, out: str = "slice", slices: int | None = None) -> DataFrame:

@@ -630,3 +630,48 @@ SQL["reload_written_results"] = with_([*DECIDED, *_WHOLE], f"""SELECT file, true
   {r(clamp('0.8 * coalesce(n / (p + n + u), 0) + 0.2 * (1 - coalesce(u / (p + n + u), 0))', 0, 1))} AS full_text_toxicity,
   coalesce(n / (p + n + u), 0) > 0.6 AS full_text_toxic
   FROM documents LEFT JOIN sums_d USING (doc_id) JOIN roll ON file = 'doc_' || doc_id WHERE doc_id % 13 <> 0""")
+
+# --- learning: what is determined whatever the fitted numbers
+
+_FITTED = with_(SL, """SELECT count(*) AS n_rows, count(*) FILTER (y = 1) AS n_positive, count(*) AS n_scored, true AS ranks_well FROM sl""")
+SQL["train_forest"] = SQL["train_boosted"] = SQL["train_logistic"] = _FITTED
+
+SQL["top_features"] = "SELECT DISTINCT f AS feature FROM embeddings, (VALUES ('d00'), ('d01')) first_two(f)"
+
+SQL["fill_missing_labels"] = f"""SELECT count(*) AS n_rows, count(*) FILTER (toxic IS NULL) AS n_missing, count(toxic) AS n_kept,
+  count(*) FILTER (toxic IS NULL) AS n_predicted, {r('avg(toxic)')} AS positive_rate, true AS rate_matched FROM documents LEFT JOIN labels USING (doc_id)"""
+
+
+def _ranked_rows(source: str, key: str, label: str) -> str:
+    return f"""SELECT {key}, {label}, count(*) OVER (PARTITION BY {label}) AS n,
+  row_number() OVER (PARTITION BY {label} ORDER BY md5({key}::VARCHAR || '_42')) AS k FROM {source}"""
+
+
+SQL["small_data_guard"] = with_([*SL, f"rr AS ({_ranked_rows('sl', 'vec_id', 'y')})"], """SELECT 'all' AS rows, y AS label,
+  count(*) FILTER (k <= round(n * 0.2)) AS n_held_out, false AS guarded FROM rr GROUP BY y
+  UNION ALL SELECT 'one_class', 1, count(*), true FROM sl WHERE y = 1""")
+
+SQL["predict_segments"] = "SELECT vec_id, true AS is_probability, true AS flag_follows FROM embeddings"
+
+SQL["cross_validate"] = with_([*SL, f"rr AS ({_ranked_rows('sl', 'vec_id', 'y')})"], """SELECT vec_id, y AS label,
+  ((k - 1) % least(5, greatest(2, (SELECT min(n) FROM rr))))::INT AS fold, true AS scored FROM rr""")
+
+_FOLDED = [*SL, "fsl AS (SELECT (vec_id % 5)::INT AS fold, score, y FROM sl)",
+           "fg AS (SELECT fold, score, sum(y) AS p, count(*) AS n FROM fsl GROUP BY fold, score)",
+           "fcum AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS al FROM fg WINDOW w AS (PARTITION BY fold ORDER BY score DESC))",
+           "fap AS (SELECT fold, sum(p * tp / al) / sum(p) AS ap FROM fcum GROUP BY fold)",
+           """fauc AS (SELECT a.fold, avg(CASE WHEN a.score > b.score THEN 1 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS auc
+  FROM fsl a JOIN fsl b ON a.fold = b.fold AND a.y = 1 AND b.y = 0 GROUP BY a.fold)""",
+           "facc AS (SELECT fold, avg((y = (score >= 0.5)::INT)::INT) AS accuracy, count(*) AS n FROM fsl GROUP BY fold)"]
+SQL["fold_report"] = with_(_FOLDED, f"""SELECT fold, {r('accuracy')} AS accuracy, n, {r('auc')} AS roc_auc, {r('ap')} AS average_precision
+  FROM facc JOIN fauc USING (fold) JOIN fap USING (fold)""")
+SQL["fold_summary"] = with_([*_FOLDED, "ag AS (SELECT score, sum(y) AS p, count(*) AS n FROM sl GROUP BY score)",
+                             "acum AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS al FROM ag WINDOW w AS (ORDER BY score DESC))"],
+    f"""SELECT count(*) AS n_folds, {r('avg(accuracy)')} AS mean_accuracy, {r('stddev_pop(accuracy)')} AS std_accuracy,
+  (SELECT {r('avg(CASE WHEN a.score > b.score THEN 1 WHEN a.score = b.score THEN 0.5 ELSE 0 END)')} FROM sl a JOIN sl b ON a.y = 1 AND b.y = 0) AS roc_auc,
+  (SELECT {r('sum(p * tp / al) / sum(p)')} FROM acum) AS average_precision FROM facc""")
+
+SQL["model_bundle"] = "SELECT vec_id, true AS same_probability, true AS same_flag FROM embeddings"
+
+SQL["train_from_labels"] = f"""SELECT row_id, label, true AS prediction_follows FROM (
+  {_ranked_rows('(SELECT doc_id AS row_id, toxic AS label FROM documents JOIN labels USING (doc_id))', 'row_id', 'label')}) WHERE k <= round(n * 0.2)"""

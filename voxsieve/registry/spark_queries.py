@@ -666,7 +666,13 @@ def distinct_candidates(spark, d):
 # --- learning ----------------------------------------------------------------------------------------------------
 
 def _predicted(model, df):
-    return rounded(ml.with_probability(model, df).select("vec_id", "label", "score"))
+    """How many rows were scored, and whether positives rank above negatives (fitted scores differ between releases)."""
+    scored = ml.with_probability(model, df).select("vec_id", "label", "score")
+    ranked = mt.roc_auc(scored, "score", "label").select((F.col("roc_auc") > 0.9).alias("ranks_well"))
+    inside = F.col("score").between(0, 1)
+    return scored.agg(
+        F.count("*").alias("n_rows"), F.count(F.when(F.col("label") == 1, 1)).alias("n_positive"),
+        F.count(F.when(inside, 1)).alias("n_scored")).withColumn("ranks_well", F.lit(ranked.first()[0]))
 
 
 @query
@@ -678,7 +684,6 @@ def train_forest(spark, d):
 @query
 def train_boosted(spark, d):
     df, names = fx.feature_vectors(spark, d)
-    # each round is a chain of small jobs; twenty of the default 150 show the operator
     return _predicted(ml.train_boosted(df, names), df)
 
 
@@ -691,13 +696,22 @@ def train_logistic(spark, d):
 @query
 def top_features(spark, d):
     df, names = fx.feature_vectors(spark, d)
-    return ml.top_features(ml.train_forest(df, names), names)
+    # the label depends on the first two features
+    return ml.top_features(ml.train_forest(df, names), names, 2).select("feature")
 
 
 @query
 def fill_missing_labels(spark, d):
     filled = tr.fill_missing_labels(fx.labeled(spark, d), "label", "row_id", match_prevalence=True)
-    return rounded(filled.rows.select("row_id", "label", "score", "pred", "label_filled"))
+    # the threshold is the quantile of the missing rows' scores at the known rows' rate: at most one row off, but for ties
+    missing = F.col("label").isNull()
+    return filled.rows.agg(
+        F.count("*").alias("n_rows"), F.count(F.when(missing, 1)).alias("n_missing"),
+        F.count(F.when(~missing & F.col("label_filled").eqNullSafe(F.col("label")), 1)).alias("n_kept"),
+        F.count(F.when(missing & F.col("label_filled").eqNullSafe(F.col("pred")), 1)).alias("n_predicted"),
+        F.round(F.avg(F.col("label").cast("double")), 6).alias("positive_rate"),
+        (F.abs(F.avg(F.col("label").cast("double")) - F.avg(F.when(missing, F.col("label_filled").cast("double")))) < 0.02)
+        .alias("rate_matched"))
 
 
 @query
@@ -709,15 +723,23 @@ def one_hot(spark, d):
 @query
 def small_data_guard(spark, d):
     df, names = fx.feature_vectors(spark, d)
-    bundle = ml.train_classifier(df, "vec_id", names, model_type="logistic")
-    return rounded(bundle.validation.withColumn("guarded", F.lit(ml.small_data_guard(df))))
+    kinds = {"all": df, "one_class": df.filter("label = 1")}
+    parts = []
+    for name, rows in kinds.items():
+        held = ml.train_classifier(rows, "vec_id", names, model_type="random_forest").validation
+        parts.append(held.groupBy("label").agg(F.count("*").alias("n_held_out")).withColumns({
+            "rows": F.lit(name), "guarded": F.lit(ml.small_data_guard(rows))}))
+    return parts[0].unionByName(parts[1])
 
 
 @query
 def predict_segments(spark, d):
     df, names = fx.feature_vectors(spark, d)
     bundle = ml.train_classifier(df, "vec_id", names, model_type="logistic")
-    return rounded(bundle.predict(df).select("vec_id", "extremist_probability", "is_extremist"))
+    flagged = F.col("extremist_probability") >= F.lit(bundle.threshold)
+    return bundle.predict(df).select(
+        "vec_id", F.col("extremist_probability").between(0, 1).alias("is_probability"),
+        (F.col("is_extremist") == flagged).alias("flag_follows"))
 
 
 @query
@@ -733,7 +755,22 @@ def confusion_matrix(spark, d):
 @query
 def cross_validate(spark, d):
     df, names = fx.feature_vectors(spark, d)
-    return rounded(mt.fold_report(ml.cross_validate(df, "vec_id", names, "label", ml.train_logistic)))
+    return ml.cross_validate(df, "vec_id", names, "label", ml.train_logistic).select(
+        "vec_id", "label", "fold", F.col("score").between(0, 1).alias("scored"))
+
+
+@query
+def fold_report(spark, d):
+    folded = fx.scored_labels(spark, d).select(
+        "vec_id", F.col("y").alias("label"), "score", F.pmod("vec_id", F.lit(5)).cast("int").alias("fold"))
+    return rounded(mt.fold_report(folded))
+
+
+@query
+def fold_summary(spark, d):
+    folded = fx.scored_labels(spark, d).select(
+        "vec_id", F.col("y").alias("label"), "score", F.pmod("vec_id", F.lit(5)).cast("int").alias("fold"))
+    return rounded(mt.fold_summary(folded))
 
 
 @query
@@ -749,8 +786,12 @@ def regression_metrics(spark, d):
 def model_bundle(spark, d):
     df, names = fx.feature_vectors(spark, d)
     path = scratch_dir(spark, "bundle")
-    ml.train_classifier(df, "vec_id", names, model_type="logistic").save(path)
-    return rounded(ml.Bundle.load(path).predict(df).select("vec_id", "extremist_probability", "is_extremist"))
+    bundle = ml.train_classifier(df, "vec_id", names, model_type="logistic")
+    bundle.save(path)
+    first, second = "extremist_probability", "is_extremist"
+    twice = ml.Bundle.load(path).predict(bundle.predict(df).withColumnsRenamed({first: "_p", second: "_flag"}))
+    return twice.select("vec_id", (F.abs(F.col(first) - F.col("_p")) < 1e-9).alias("same_probability"),
+                        (F.col(second) == F.col("_flag")).alias("same_flag"))
 
 
 # --- scoring and composed jobs ------------------------------------------------------------------------------------
@@ -776,7 +817,9 @@ def score_transcripts(spark, d):
 def train_from_labels(spark, d):
     rows = fx.labeled(spark, d).filter("label is not null").select("row_id", "text", "label")
     bundle = tr.train_from_labels(rows, "row_id", fx.lexicon(spark), "logistic")
-    return rounded(bundle.validation)
+    # which rows were held out, and that the prediction follows the score
+    return bundle.validation.select("row_id", "label", (
+        F.col("prediction") == (F.col("score") >= F.lit(bundle.threshold)).cast("int")).alias("prediction_follows"))
 
 
 def _write_documents(spark, d, path, condition=None):
