@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, fertility, jaccard, language, licences, lines, neighbours, packing, resampling, toxicity
+from . import (bpe, fertility, impacts, jaccard, language, licences, lines, manifest, neighbours, oracle, packing,
+               resampling, targeting, toxicity)
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -76,6 +77,21 @@ def op10_embedding_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.near_duplicates(spark.read.parquet(f"{d}/embeddings.parquet"))
 
 
+def op11_exact_top_k_search(spark: SparkSession, d: str) -> DataFrame:
+    return impacts.top_k(spark.read.parquet(f"{d}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+def op12_target_resampling(spark: SparkSession, d: str) -> DataFrame:
+    return targeting.resample_to_target(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
+
+
+def op13_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    even = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
+    less = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return manifest.manifest(
+        documents(spark, d), "source", "doc_id", ("doc_id", "source", "lang", "n_chars", "text"), {"text": less})
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
@@ -87,5 +103,12 @@ QUERIES = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_license_scans": op9_license_scans,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_exact_top_k_search": op11_exact_top_k_search,
+    "op12_target_resampling": op12_target_resampling,
+    "op13_merkle_manifest": op13_merkle_manifest,
+}
+SQL: dict[str, str] = {
+    "op11_exact_top_k_search": oracle.TOP_K,
+    "op12_target_resampling": oracle.TARGET_RESAMPLING,
+    "op13_merkle_manifest": oracle.MANIFEST,
 }
-SQL: dict[str, str] = {}
