@@ -11,7 +11,10 @@ what reaches the driver is one table of languages x BUCKETS. The scales are fitt
 `calibration` documents per language.
 
 Defined cases: `und`, score 0 and ambiguous for text that is null or has no letter. Rows whose
-language is null are not learnt from. Without any training row everything is `und`.
+language is null are not learnt from. Without any training row everything is `und`. Of languages whose
+codewords lose equally the first in alphabetical order is taken, and the text is ambiguous. Repeated
+rows are counted and predicted each for itself. Columns named lang_pred, score or ambiguous are
+replaced, all others kept. Long texts are read whole, PIECE n-grams at a time.
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ BUCKETS = 1 << 15
 GRAMS = 4
 #: Training documents per language on which the bits' scales are fitted.
 CALIBRATION = 500
-#: Bytes of text at a time: the n-grams of all orders take some 150 bytes per byte.
+#: Bytes of text at a time, or one longer text; its letters take some 20 bytes per byte.
 SLICE = 1 << 19
+#: N-grams at a time, whatever the length of a text.
+PIECE = 1 << 18
 #: Two codewords whose losses differ by less than this share of the weight are ambiguous.
 MARGIN = 0.1
 UNDETERMINED = "und"
@@ -58,41 +63,45 @@ def codewords(n: int, seed: int = 11) -> np.ndarray:
     return best
 
 
-def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket) of every character n-gram of lower-cased letters, and whether rows have a letter.
+def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased letters of all texts with their rows, and whether rows have a letter.
 
     Everything that is no letter counts as one blank.
     """
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    cp = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = np.zeros(len(cp), bool)
-    codes = cp.copy()
-    ascii_ = cp < 128
-    low = cp | 0x20
-    letter[ascii_] = (low[ascii_] >= 97) & (low[ascii_] <= 122)
+    codes = np.frombuffer(bytearray(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass")), np.uint32)
+    ascii_ = codes < 128
+    other = codes[~ascii_]
+    low = codes | 0x20
+    letter = ascii_ & (low >= 97) & (low <= 122)
     codes[ascii_] = low[ascii_]
-    seen, back = np.unique(cp[~ascii_], return_inverse=True)
+    seen, back = np.unique(other, return_inverse=True)
     chars = [chr(c) for c in seen]
     letter[~ascii_] = np.array([c.isalpha() for c in chars], bool)[back]
     codes[~ascii_] = np.array([ord(c.lower()[0]) for c in chars], np.uint32)[back]
     codes[~letter] = 32
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    rows = np.repeat(np.arange(len(texts)), sizes)
+    rows = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     # blanks in a row, and the ends of texts, are one blank
     keep = letter | np.concatenate([[True], letter[:-1]])
-    codes, rows = codes[keep].astype(np.uint64), rows[keep]
-    found_rows, found = [], []
-    h = np.zeros(len(codes), np.uint64)
-    for n in range(1, GRAMS + 1):
-        m = len(codes) - n + 1
-        if m <= 0:
-            break
-        h = h[:m] * np.uint64(0x100000001B3) + codes[n - 1:]
-        same = rows[:m] == rows[n - 1:]
-        found.append((mix(h[same] + _seeds[n]) >> np.uint64(64 - 15)).astype(np.int64))
-        found_rows.append(rows[:m][same])
     has = np.add.reduceat(letter, bounds[:-1]) > 0 if len(texts) else np.zeros(0, bool)
-    return np.concatenate(found_rows), np.concatenate(found), has
+    return codes[keep], rows[keep], has
+
+
+def gram_buckets(codes: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, bucket) of every character n-gram, rows ascending within a piece; a piece has PIECE n-grams at most."""
+    for begin in range(0, len(codes), PIECE):
+        part = codes[begin:begin + PIECE + GRAMS - 1].astype(np.uint64)
+        own = rows[begin:begin + PIECE + GRAMS - 1]
+        h = np.zeros(len(part), np.uint64)
+        for n in range(1, GRAMS + 1):
+            m = len(part) - n + 1
+            if m <= 0:
+                break
+            h = h[:m] * np.uint64(0x100000001B3) + part[n - 1:]
+            m = min(m, PIECE)  # what begins further right belongs to the next piece
+            same = own[:m] == own[n - 1:n - 1 + m]
+            yield own[:m][same], (mix(h[:m][same] + _seeds[n]) >> np.uint64(64 - 15)).astype(np.int64)
 
 
 def _count(languages: str) -> Callable:
@@ -101,11 +110,13 @@ def _count(languages: str) -> Callable:
         for batch in batches:
             for part, texts in sliced(batch, "text", SLICE):
                 lang = np.array(part.column(part.schema.get_field_index(languages)).to_pylist(), object)
-                rows, buckets, _ = gram_buckets(texts.to_pylist())
-                for name in set(lang):
-                    own = buckets[(lang == name)[rows]]
-                    total = totals.setdefault(name, np.zeros(BUCKETS, np.int64))
-                    total += np.bincount(own, minlength=BUCKETS)
+                names, of_row = np.unique(lang, return_inverse=True)
+                codes, rows, _ = letters(texts.to_pylist())
+                for own, buckets in gram_buckets(codes, rows):
+                    of_gram = of_row[own]
+                    for k, name in enumerate(names):
+                        total = totals.setdefault(name, np.zeros(BUCKETS, np.int64))
+                        total += np.bincount(buckets[of_gram == k], minlength=BUCKETS)
         for name, total in totals.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({
@@ -127,12 +138,19 @@ class CodeModel:
 
     def margins(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Mean log-odds of each bit per text, and whether it has a letter."""
-        rows, buckets, has = gram_buckets(texts)
-        sums = np.empty((len(texts), self.odds.shape[1]))
-        n = np.maximum(np.bincount(rows, minlength=len(texts)), 1)
-        for b in range(self.odds.shape[1]):
-            sums[:, b] = np.bincount(rows, weights=self.odds[buckets, b], minlength=len(texts))
-        return sums / n[:, None], has
+        codes, rows, has = letters(texts)
+        sums = np.zeros((self.odds.shape[1], len(texts)))
+        n = np.zeros(len(texts), np.int64)
+        columns = np.ascontiguousarray(self.odds.T, np.float64)
+        for own, buckets in gram_buckets(codes, rows):
+            if not len(own):
+                continue
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            at = own[first]
+            n[at] += np.diff(np.append(first, len(own)))
+            for b, odds in enumerate(columns):
+                sums[b, at] += np.add.reduceat(odds.take(buckets), first)
+        return (sums / np.maximum(n, 1)).T, has
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language number, score and ambiguity flag of each row of margins."""
