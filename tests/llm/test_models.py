@@ -243,6 +243,15 @@ def test_neighbours_equal_brute_force(spark):
     assert neighbours.near_duplicates(df.filter("vec_id = 1000")).count() == 1
 
 
+def test_rows_with_equal_and_null_ids_are_vectors_of_their_own(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(3, 16)).tolist()
+    rows = [(5, base[0]), (5, base[1]), (200, base[0]), (201, base[1]), (None, base[1]), (None, base[2])]
+    got = sorted(map(tuple, neighbours.near_duplicates(frame(spark, rows, "vec_id long, embedding array<double>")).collect()), key=repr)
+    assert got == sorted([(5, 1, 5, True), (5, 2, 5, True), (200, 1, 5, False), (201, 2, 5, False), (None, 2, 5, False),
+                          (None, 0, None, False)], key=repr)
+
+
 def test_forest():
     pairs = np.array([(3, 4), (4, 5), (0, 7)])
     from voxsieve.llm.jaccard import forest

@@ -11,7 +11,8 @@ query. Lists are cut into blocks of bounded size; tasks return counts per vector
 forest of their links, never the pairs.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite
-components link with nothing and are their own component. Rows with an equal id are one vector.
+components link with nothing and are their own component. Every row is a vector of its own, rows with
+an equal id or without one too; a component is called by its smallest id, null if it has none.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.scratch import stored
@@ -89,17 +91,12 @@ def fit(sample: np.ndarray, cosine: float, centroids: int = CENTROIDS, subspaces
 
 def unit_rows(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of the usable rows, and their row numbers."""
-    rows, out = [], []
-    for i, v in enumerate(vectors.to_pylist()):
-        if v is None or len(v) != width or any(c is None for c in v):
-            continue
-        a = np.array(v, np.float64)
-        most = np.abs(a).max() if np.isfinite(a).all() else 0.0
-        if most > 0:
-            a = a / most
-            out.append(a / np.sqrt((a * a).sum()))
-            rows.append(i)
-    return (np.array(out) if out else np.zeros((0, width))), np.array(rows, np.int64)
+    rows = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(vectors), width), False).to_numpy(zero_copy_only=False))
+    x = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), width)
+    most = np.abs(x).max(1, initial=0.0)  # null components are NaN here
+    fine = np.isfinite(x).all(1) & (most > 0)
+    x, rows = x[fine] / most[fine, None], rows[fine]
+    return x / np.sqrt((x * x).sum(1, keepdims=True)), rows
 
 
 def _assign(q: Quantiser, width: int) -> Callable:
@@ -116,11 +113,13 @@ def _assign(q: Quantiser, width: int) -> Callable:
                 codes = q.encode(x - q.centroids[home])
                 near = q.centroids[home] + q.decode(codes)
                 error = np.linalg.norm(x - near, axis=1)
+                at, probed = np.nonzero(probes)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(rows)))]).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({
-                    "vec_id": part.column(0).take(pa.array(rows)),
+                    "row": part.column(0).take(pa.array(rows)),
                     "unit": pa.array([r.tobytes() for r in x], pa.binary()),
                     "home": pa.array(home, pa.int32()),
-                    "probes": pa.array([np.flatnonzero(p).astype(np.int32) for p in probes], pa.list_(pa.int32())),
+                    "probes": pa.ListArray.from_arrays(pa.array(ends), pa.array(probed, pa.int32())),
                     "codes": pa.array([c.tobytes() for c in codes], pa.binary()),
                     "error": pa.array(error, pa.float64())})
     return run
@@ -131,10 +130,12 @@ def _search(q: Quantiser, cosine: float) -> Callable[[pa.Table], pa.Table]:
         """One block of a list against one block of the queries that probe it."""
         here = table.column("list")[0].as_py()
         listed = table.column("listed").to_numpy(zero_copy_only=False)
-        ids = table.column("vec_id").to_numpy()
+        ids = table.column("row").to_numpy()
         x = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(len(ids), -1)
         home = table.column("home").to_numpy()
-        probes = table.column("probes").to_pylist()
+        probes = table.column("probes").combine_chunks()
+        # (row, list) of every probe, as one number
+        probed = np.repeat(np.arange(len(ids)), pc.list_value_length(probes).to_numpy()) * CENTROIDS + probes.flatten().to_numpy()
         base, query = np.flatnonzero(listed), np.flatnonzero(~listed)
         n = np.zeros(len(ids), np.int64)
         pairs = np.zeros((0, 2), np.int64)
@@ -153,7 +154,7 @@ def _search(q: Quantiser, cosine: float) -> Callable[[pa.Table], pa.Table]:
             i, j = query[i[ok]], base[j[ok]]
             # a pair within the list is met from both sides; others count for the listed one only if it
             # will not look into the query's list itself
-            blind = np.array([home[a] != here and home[a] not in probes[b] for a, b in zip(i, j, strict=True)], bool)
+            blind = (home[i] != here) & ~np.isin(j * CENTROIDS + home[i], probed)
             np.add.at(n, i, 1)
             np.add.at(n, j[blind], 1)
             pairs = np.stack([i, j], 1)
@@ -170,30 +171,31 @@ def _search(q: Quantiser, cosine: float) -> Callable[[pa.Table], pa.Table]:
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", column: str = "embedding",
                     sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of `vectors`."""
-    rows = vectors.select(F.col(f"`{key}`").cast("long").alias("vec_id"),
-                          F.col(f"`{column}`").cast("array<double>").alias("x"))
+    rows = stored(vectors.select(
+        F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").cast("long").alias("vec_id"),
+        F.col(f"`{column}`").cast("array<double>").alias("x")), "vectors")
     alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                         F.col("vec_id").isNotNull().alias("kept"))
-    usable = rows.filter("vec_id IS NOT NULL AND x IS NOT NULL")
+    usable = rows.filter("x IS NOT NULL")
     common = usable.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if common is None or common["d"] < 1:
         return alone
     width = common["d"]
     # the fitting sample: the rows with the smallest hash of the id, at most `sample`
-    drawn = usable.filter(F.size("x") == width).orderBy(F.xxhash64("vec_id", F.lit(17)), "vec_id").limit(sample)
+    drawn = usable.filter(F.size("x") == width).orderBy(F.xxhash64("vec_id", F.lit(17)), "vec_id", "row").limit(sample)
     fitted, _ = unit_rows(drawn.select("x").toArrow().column(0).combine_chunks(), width)
     if not len(fitted):
         return alone
     q = fit(fitted, cosine, min(CENTROIDS, max(16, common["count"] // LIST_SIZE)))
-    placed = stored(usable.dropDuplicates(["vec_id"]).mapInArrow(
-        _assign(q, width), "vec_id long, unit binary, home int, probes array<int>, codes binary, error double"), "placed")
+    placed = stored(usable.select("row", "x").mapInArrow(
+        _assign(q, width), "row long, unit binary, home int, probes array<int>, codes binary, error double"), "placed")
     sizes = placed.groupBy(F.col("home").alias("list")).agg(F.count("*").alias("held"))
     probing = placed.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count("*").alias("asked"))
     blocks = {r["list"]: (-(-r["held"] // BLOCK), -(-r["asked"] // BLOCK))
               for r in sizes.join(probing, "list").collect()}  # CENTROIDS rows
     held = F.create_map(*[F.lit(v) for k, (h, _) in blocks.items() for v in (k, h)])
     asked = F.create_map(*[F.lit(v) for k, (_, a) in blocks.items() for v in (k, a)])
-    draw = F.xxhash64("vec_id")
+    draw = F.xxhash64("row")
     listed = (placed.withColumn("list", F.col("home")).withColumn("listed", F.lit(True))
               .withColumn("block", F.pmod(draw, held[F.col("list")]).cast("int"))
               .withColumn("turn", F.explode(F.sequence(F.lit(0), asked[F.col("list")].cast("int") - 1))))
@@ -201,13 +203,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_
                .withColumn("listed", F.lit(False))
                .withColumn("turn", F.pmod(draw, asked[F.col("list")]).cast("int"))
                .withColumn("block", F.explode(F.sequence(F.lit(0), held[F.col("list")].cast("int") - 1))))
-    columns = ["list", "block", "turn", "listed", "vec_id", "unit", "home", "probes", "codes", "error"]
+    columns = ["list", "block", "turn", "listed", "row", "unit", "home", "probes", "codes", "error"]
     met = listed.select(*columns).unionByName(queries.select(*columns))
     found = stored(met.groupBy("list", "block", "turn").applyInArrow(_search(q, cosine), "u long, v long, n long"), "found")
-    counts = found.filter("v = -1").groupBy(F.col("u").alias("vec_id")).agg(F.sum("n").alias("n_links"))
+    counts = found.filter("v = -1").groupBy(F.col("u").alias("row")).agg(F.sum("n").alias("n_links"))
     tied = components(found.filter("v <> -1").select("u", "v"))
-    about = stored(counts.join(tied.withColumnRenamed("node", "vec_id"), "vec_id", "full_outer"), "about")
-    return (rows.select("vec_id").join(about, "vec_id", "left")
+    about = stored(rows.select("row", "vec_id").join(counts, "row", "left").join(
+        tied.withColumnRenamed("node", "row"), "row", "left"), "about")
+    # components go by rows; they are called by their smallest id
+    names = about.filter("component IS NOT NULL").groupBy("component").agg(F.min("vec_id").alias("name"))
+    return (about.join(names, "component", "left")
             .select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-                    F.coalesce("component", "vec_id").alias("component_id"))
+                    F.coalesce("name", "vec_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))))
