@@ -29,6 +29,15 @@ def test_stages_one_after_the_other(spark, small, tmp_path):
         "language_id", "toxicity", "line_dedup", "ngram_jaccard_join", "best_fit_packing"]
 
 
+def test_jaccard_stage_drops_rows_not_ids(spark):
+    t, u = " ".join(f"t{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    rows = [(1, t), (2, t), (2, u), (3, u + " q"), (4, "alone " + u[:20]), (4, "alone " + u[:20]), (None, t), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns(
+        {"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")}).coalesce(1)
+    kept = [(r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, "").collect()]
+    assert sorted(kept, key=repr) == sorted([(1, t), (2, u), (4, "alone " + u[:20]), (None, None)], key=repr)
+
+
 def test_stages_of_nothing_and_of_nulls(spark, small):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "plain words of a short text", "en", "s", 27)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

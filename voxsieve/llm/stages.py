@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.scratch import stored
 from . import jaccard, language, lines, packing, toxicity
 from .queries import word_vocabulary
 
@@ -34,9 +35,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of linked ones."""
-    dropped = jaccard.jaccard_components(docs).filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*DOCUMENT)
+    """Keeps the first row of each group of linked ones; rows are told apart by row, not by id."""
+    rows = stored(docs.select(*DOCUMENT, F.monotonically_increasing_id().alias("_row")), "rows")
+    later = jaccard.jaccard_components(rows, key="_row").filter("component_id < doc_id").select(F.col("doc_id").alias("_row"))
+    return rows.join(later, "_row", "left_anti").select(*DOCUMENT)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
