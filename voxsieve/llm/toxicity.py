@@ -42,8 +42,6 @@ VOTERS = 12
 #: An induced entry is in so many labelled texts at least, with this share of toxic ones at least.
 LEAST_TEXTS = 6
 LEAST_SHARE = 0.6
-#: Entries kept for the induced lexicons, the most telling first.
-LEXICON = 20_000
 #: Labelled rows from which lexicons are induced, at most.
 LABELS = 32_768
 #: Labelled rows on which the classifier is fitted, at most.
@@ -220,9 +218,8 @@ def induce(labelled: DataFrame) -> Voters:
     told = (
         counted.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .filter((F.col("toxic") >= LEAST_TEXTS - 1) & (F.col("toxic") + F.col("clean") >= LEAST_TEXTS)
-                & (F.col("toxic") >= LEAST_SHARE * (F.col("toxic") + F.col("clean"))))
-        .orderBy(F.desc(F.col("toxic") * F.col("toxic") / (F.col("toxic") + F.col("clean"))), "bucket").limit(LEXICON))
-    buckets = np.sort(np.array([r["bucket"] for r in told.select("bucket").collect()], np.int64))  # at most LEXICON
+                & (F.col("toxic") >= LEAST_SHARE * (F.col("toxic") + F.col("clean")))))
+    buckets = np.sort(np.array([r["bucket"] for r in told.select("bucket").collect()], np.int64))  # BUCKETS at most
     voter = (mix(buckets.astype(np.uint64) + np.uint64(99)) % np.uint64(VOTERS)).astype(np.int64)
     return Voters(buckets, voter, VOTERS)
 
