@@ -189,10 +189,14 @@ def measure(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 RULES = ("chars_per_token", "byte_share", "token_entropy")
 
 
+#: Columns of a run; inputs don't have their names.
+BAND, WIDE = "_fertility_band", "_fertility_wide_band"
+
+
 def bands(measured: DataFrame, slack: float = SLACK) -> DataFrame:
     """band (language or script, or *, and length class), and the lowest and highest accepted value of each measure."""
     long_ = measured.filter(F.col("n_tokens") >= LEAST_TOKENS)
-    both = long_.select(F.explode(F.array("band", "wide_band")).alias("band"), *RULES)
+    both = long_.select(F.explode(F.array(BAND, WIDE)).alias("band"), *RULES)
     cuts = both.groupBy("band").agg(
         F.count("*").alias("n"), *[F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in RULES])
     limits = []
@@ -207,15 +211,15 @@ def quality_rules(docs: DataFrame, path: str, text: str = "text", language: str
     group = F.coalesce(F.col(f"`{language}`"), F.col("script")) if language else F.col("script")
     length = F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("string")
     measured = stored(measure(docs, path, text).withColumns({
-        "band": F.concat_ws("|", group, length), "wide_band": F.concat_ws("|", F.lit("*"), length)}), "measured")
+        BAND: F.concat_ws("|", group, length), WIDE: F.concat_ws("|", F.lit("*"), length)}), "measured")
     rows = bands(measured, slack).collect()  # languages x length classes
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rejected = F.lit(None).cast("string")
     for m in RULES if rows else ():
         limits = F.create_map(*[x for r in rows for x in (
             F.lit(r["band"]), F.struct(F.lit(r[f"{m}_low"]).alias("low"), F.lit(r[f"{m}_high"]).alias("high")))])
-        mine = F.coalesce(limits[F.col("band")], limits[F.col("wide_band")])
+        mine = F.coalesce(limits[F.col(BAND)], limits[F.col(WIDE)])
         beyond = (F.col("n_tokens") >= LEAST_TOKENS) & ((F.col(m) < mine["low"]) | (F.col(m) > mine["high"]))
         rejected = F.coalesce(rejected, F.when(beyond, F.lit(m)))
     return (measured.withColumn("base_failed", base).withColumn("rejected_by", rejected)
-            .withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("band", "wide_band"))
+            .withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop(BAND, WIDE))
