@@ -69,7 +69,11 @@ def test_results_per_recording(spark, small, tmp_path):
     scored = rec.score_recordings(some, fx.lexicon(spark))
     docs = ru.json_envelope(scored.segments, scored.statistics, ["text", "extreme"])
     results.write_results(docs, scored.statistics, str(tmp_path / "r"), per_recording=True)
-    assert sorted(p.name for p in (tmp_path / "r" / "documents").glob("file=*")) == [f"file=doc_{i}" for i in range(4)]
+    folder = tmp_path / "r" / "documents"
+    assert sorted(p.name for p in folder.iterdir()) == [f"doc_{i}-result.json" for i in range(4)]
+    again = ts.reload_results(spark, str(folder))
+    assert {r.file: len(r.segments) for r in again.collect()} == {
+        r.file: r.n_segments for r in docs.select("file", "n_segments").collect()}
 
 
 def test_run_summary_spans_time(spark):

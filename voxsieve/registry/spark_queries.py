@@ -11,10 +11,10 @@ from ..functions import features as feat, scores as sc, speech as sp, text as tx
 from ..operators import (
     align, contour, features, labels as lb, learning as ml, lexicon as lx, metrics as mt, rollup as ru, scorer, segments as sg,
     splits)
-from ..plans import directory as dr, recordings as rec, training as tr
+from ..plans import directory as dr, pairs as pr, recordings as rec, training as tr
 from ..settings import DEFAULTS, TOXIC_LABELS
 from ..sources import media, results as res, tables as tb, transcripts as ts
-from ..sources.scratch import scratch_dir
+from ..sources.scratch import scratch_dir, stored
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -852,3 +852,35 @@ def reload_written_results(spark, d):
         F.size("segments").cast("bigint").alias("n_segments"), F.col("statistics.max_toxicity").alias("max_toxicity"),
         F.col("full_text_classification.overall_toxicity").alias("full_text_toxicity"),
         F.col("full_text_classification.is_toxic").alias("full_text_toxic")))
+
+
+@query
+def train_from_pairs(spark, d):
+    found = pr.paired_segments(spark, fx.write_pairs(spark, d, scratch_dir(spark, "pairs")))
+    rows = stored(found.rows, "paired")
+    held = pr.train_from_pairs(rows, "logistic").validation.select(
+        F.col("row").alias("held_row"), (F.col("prediction") + F.col("score") >= 0).alias("scored"))
+    wanted = ("overall_toxicity", "is_toxic", "toxic_toxic", "hate_HATE", "sentiment_positive", "custom_score", "f0_mean",
+              "duration", "emotion_is_happy")
+    return rounded(rows.join(held, F.concat_ws("#", "file", "seg_idx") == F.col("held_row"), "left").select(
+        "file", F.col("seg_idx").cast("int").alias("seg_idx"), "label", F.size("features").alias("n_features"),
+        F.coalesce("scored", F.lit(False)).alias("held_out"), *[F.col("features")[n].alias(n) for n in wanted]))
+
+
+@query
+def predict_pairs(spark, d):
+    found = pr.paired_segments(spark, fx.write_pairs(spark, d, scratch_dir(spark, "pairs")))
+    rows = stored(found.rows, "paired")
+    bundle = pr.train_from_pairs(rows, "logistic")
+    # the model's scores differ between releases: what is determined, and that toxic recordings rank above the others
+    stats = stored(pr.predict_pairs(rows, bundle).statistics, "predicted")
+    ranked = mt.roc_auc(stats.withColumn("label", F.substring("file", 1, 1).cast("int")), "avg_extremist_probability", "label")
+    both = F.col("extremist_segments") + F.col("non_extremist_segments") == F.col("total_segments")
+    return stats.select("file", "total_segments", both.alias("adds_up"), F.col("is_extremist_content").isNotNull().alias("decided")).join(
+        ranked.select((F.col("roc_auc") > 0.8).alias("ranks_well")))
+
+
+@query
+def broken_pair_members(spark, d):
+    found = pr.paired_segments(spark, fx.write_pairs(spark, d, scratch_dir(spark, "pairs")))
+    return found.broken.select("file", "file_type", "error_type", "error_message")

@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.features import ACOUSTIC
+from ..functions.text import file_stem
 from ..settings import TOXIC_LABELS
+from .recording_files import write_recording_files
 
 
 def write_results(documents: DataFrame, statistics: DataFrame, path: str, per_recording: bool = False) -> None:
     """JSON documents, as reload_results reads them, and a CSV of statistics below `path`.
 
-    The combined layout (one document per line) suits many recordings; per_recording makes one
-    directory per recording.
+    The combined layout (one document per line) suits many recordings; per_recording makes one file
+    per recording, <name>-result.json in the recording's folder, and <name>-result.part<n>.json for
+    what goes beyond a document.
     """
-    kept = documents.select("document", "file") if per_recording else documents.select("document")
-    writer = kept.write.mode("overwrite")
     if per_recording:
-        writer = writer.partitionBy("file")
-    writer.text(f"{path}/documents")
+        part = F.when(F.col("part") > 0, F.concat(F.lit(".part"), F.col("part").cast("string"))).otherwise(F.lit(""))
+        named = F.concat(file_stem(F.col("file")), F.lit("-result"), part, F.lit(".json"))
+        write_recording_files(documents.select(named.alias("name"), F.col("document").alias("value")), f"{path}/documents")
+    else:
+        documents.select("document").write.mode("overwrite").text(f"{path}/documents")
     statistics.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(f"{path}/summary")
 
 

@@ -15,10 +15,12 @@ def path_below(path: str) -> Column:
     """Where a file lies below `path`; its whole address where `path` is a pattern."""
     root = quote(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/"), safe="/:@!$&'()*+,;=~")
     address = F.regexp_replace(F.col("_metadata.file_path"), r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
-    return (
-        F.when(address == root, F.col("_metadata.file_name"))
+    found = (
+        F.when(address == root, F.substring_index(address, "/", -1))
         .when(address.startswith(f"{root}/"), F.regexp_replace(address, "^" + re.escape(f"{root}/"), "")).otherwise(address)
     )
+    # addresses are escaped, but a plus sign stands for itself
+    return F.url_decode(F.replace(found, F.lit("+"), F.lit("%2B")))
 
 
 def parse_transcripts(raw: DataFrame, path: str, one_per_file: bool = True) -> DataFrame:
