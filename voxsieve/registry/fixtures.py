@@ -198,3 +198,24 @@ def write_pairs(spark: SparkSession, d: str, path: str) -> dict[int, str]:
     write_recording_files(files(F.lit(True), text, cut, TEXT_SUFFIX), path)
     write_recording_files(files((F.col("seg_idx") % 3 < 2) & (doc_id() % 23 != 0), heard, odd, ACOUSTIC_SUFFIX), path)
     return {c: f"{path}/{c}" for c in (0, 1)}
+
+
+#: Samples per second of the signals that vectors stand for, and vectors per recording.
+SIGNAL_RATE = 1_000
+CHUNKS = 50
+
+
+def signals(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Vectors as chunks of signals, one segment, one pitch contour and one set of emotion scores each."""
+    rows = model_outputs(spark, d).withColumns({
+        "file": F.concat(F.lit("rec_"), F.floor(F.col("vec_id") / CHUNKS).cast("string")),
+        "seg_idx": F.pmod("vec_id", F.lit(CHUNKS)).cast("int")})
+    start = F.col("seg_idx") * 0.064 + 0.2 * x(1)
+    return {
+        "chunks": rows.select("file", (F.col("seg_idx") * 64).alias("offset"), F.col("x").alias("samples")),
+        "segments": rows.select(
+            "file", "seg_idx", start.alias("start_s"), (start + 0.15 + 2 * x(2)).alias("end_s"), F.lit("x").alias("text")),
+        "contours": rows.select("file", "seg_idx", F.posexplode("x").alias("frame", "v")).select(
+            "file", "seg_idx", "frame", F.when(F.col("v") > 0, 100 + 200 * F.col("v")).alias("f0")),
+        "emotions": rows.filter("vec_id % 7 <> 0").select("file", "seg_idx", F.col("model_outputs.sentiment").alias("scores")),
+    }

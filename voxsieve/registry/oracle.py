@@ -693,3 +693,26 @@ SQL["predict_pairs"] = with_(_PAIRED, """SELECT file, count(*) AS total_segments
   FROM al GROUP BY file""")
 SQL["broken_pair_members"] = """SELECT coalesce(toxic, 0) || '/doc_' || doc_id AS file, 'multimodel' AS file_type, 'JSONDecodeError' AS error_type,
   'Failed to parse JSON file' AS error_message FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 17 = 0"""
+
+SQL["acoustic_rows"] = with_([*LONG, """sam AS (SELECT vec_id // 50 AS rec, (vec_id % 50) * 64 + i - 1 AS place, x[i] AS v FROM emb, range(1, 65) t(i))""",
+    "ends AS (SELECT rec, max(place) + 1 AS n FROM sam GROUP BY rec)",
+    """sg AS (SELECT vec_id, vec_id // 50 AS rec, vec_id % 50 * 0.064::DOUBLE + 0.2::DOUBLE * x[1] AS s,
+  vec_id % 50 * 0.064::DOUBLE + 0.2::DOUBLE * x[1] + 0.15::DOUBLE + 2 * x[2] AS e FROM emb)""",
+    """cut AS (SELECT *, greatest(0, trunc(s * 1000)::BIGINT) AS a, least(n, trunc(e * 1000)::BIGINT) AS b
+  FROM sg JOIN ends USING (rec) WHERE e > s AND e - s >= 0.1)""",
+    """fr AS (SELECT vec_id, k, sqrt(coalesce(sum(v * v), 0) / 25) AS level FROM (
+  SELECT *, unnest(range(0, (b - a - 1) // 10 + 1)) AS k FROM cut WHERE b - a >= 120) c
+  LEFT JOIN sam ON sam.rec = c.rec AND place >= greatest(a, a + k * 10 - 12) AND place < least(b, a + k * 10 + 13) GROUP BY vec_id, k)""",
+    "rms AS (SELECT vec_id, avg(level) AS rms_mean, max(level) AS rms_max FROM fr GROUP BY vec_id)",
+    """pts AS (SELECT vec_id, 100 + 200 * x[i] AS v, (row_number() OVER (PARTITION BY vec_id ORDER BY i) - 1)::DOUBLE AS place,
+  row_number() OVER (PARTITION BY vec_id ORDER BY i DESC) AS back FROM emb, range(1, 65) t(i) WHERE x[i] > 0)""",
+    """pitch AS (SELECT vec_id, avg(v) AS f0_mean, stddev_pop(v) AS f0_std, min(v) AS f0_min, max(v) AS f0_max, max(v) - min(v) AS f0_range,
+  CASE WHEN count(*) > 1 THEN regr_slope(v, place) END AS f0_slope, avg(v) FILTER (back <= 25) AS f0_final FROM pts GROUP BY vec_id)""",
+    """mood AS (SELECT vec_id, label, score, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, pos) AS k
+  FROM long WHERE model = 'sentiment' AND vec_id % 7 <> 0)"""],
+    f"""SELECT 'rec_' || rec AS file, (vec_id % 50)::INT AS seg_idx, {r('s', 5)} AS start_s, {r('e', 5)} AS end_s, {r('e - s', 5)} AS duration,
+  'x' AS text, coalesce(label, 'unknown') AS emotion, {r('coalesce(score, 0)', 5)} AS emotion_score, """ + ", ".join(
+        f"{r(f'CASE WHEN b - a >= 200 THEN coalesce({c}, 0) ELSE 0 END', 5)} AS {c}"
+        for c in ("f0_mean", "f0_std", "f0_min", "f0_max", "f0_range", "f0_slope", "f0_final"))
+    + f""", {r('coalesce(rms_mean, 0)', 5)} AS rms_mean, {r('coalesce(rms_max, 0)', 5)} AS rms_max
+  FROM cut LEFT JOIN rms USING (vec_id) LEFT JOIN pitch USING (vec_id) LEFT JOIN (SELECT * FROM mood WHERE k = 1) USING (vec_id) WHERE b > a""")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import features as feat, scores as sc, speech as sp, text as tx
 from ..operators import (
-    align, contour, features, labels as lb, learning as ml, lexicon as lx, metrics as mt, rollup as ru, scorer, segments as sg,
+    acoustics, align, contour, features, labels as lb, learning as ml, lexicon as lx, metrics as mt, rollup as ru, scorer, segments as sg,
     splits)
 from ..plans import directory as dr, pairs as pr, recordings as rec, training as tr
 from ..settings import DEFAULTS, TOXIC_LABELS
@@ -884,3 +884,11 @@ def predict_pairs(spark, d):
 def broken_pair_members(spark, d):
     found = pr.paired_segments(spark, fx.write_pairs(spark, d, scratch_dir(spark, "pairs")))
     return found.broken.select("file", "file_type", "error_type", "error_message")
+
+
+@query
+def acoustic_rows(spark, d):
+    signals = fx.signals(spark, d)
+    return rounded(acoustics.acoustic_rows(
+        signals["segments"], signals["chunks"], signals["contours"], signals["emotions"], min_energy_samples=120,
+        min_pitch_samples=200, settings=replace(DEFAULTS, sample_rate=fx.SIGNAL_RATE), block=256), 5)
