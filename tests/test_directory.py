@@ -1,9 +1,13 @@
 """A directory in, stored results out."""
 
 import json
+from pathlib import Path
+from urllib.parse import unquote
 
-from voxsieve.plans.directory import directory_results, process_directory, run_errors, run_log
+from voxsieve.plans.directory import (
+    directory_results, open_files, process_directory, run_errors, run_log, unread_transcripts)
 from voxsieve.registry import fixtures as fx
+from voxsieve.sources.scratch import scratch_root
 
 
 def put(folder, name, *lines):
@@ -41,6 +45,33 @@ def test_directory_runs(spark, tmp_path):
     assert run_log(spark, target).select("run").distinct().count() == 3
 
 
+def test_finished_files_are_not_opened(spark, tmp_path):
+    source, target = tmp_path / "in [x]", str(tmp_path / "out")
+    for name in ("a {1}.json", "b.json", "cut.json"):
+        put(source, name, "good day")
+    (source / "cut.json").write_text("{")
+    process_directory(spark, str(source).replace("[", r"\[").replace("]", r"\]"), target, fx.lexicon(spark))
+    place = str(source).replace("[", r"\[").replace("]", r"\]")
+    put(source, "new*.json", "more words")
+    log = run_log(spark, target)
+    names = {r.name.rpartition("/")[2] for r in open_files(spark, place, log).collect()}
+    assert names == {"cut.json", "new*.json"}
+    opened = unread_transcripts(spark, place, log).inputFiles()
+    assert {unquote(f).rpartition("/")[2] for f in opened} == names
+    assert counts(process_directory(spark, place, target, fx.lexicon(spark)).first()) == (4, 1, 2, 1)
+    (source / "cut.json").unlink()
+    assert unread_transcripts(spark, place, run_log(spark, target)).inputFiles() == []
+    assert counts(process_directory(spark, place, target, fx.lexicon(spark)).first()) == (3, 0, 3, 0)
+
+
+def test_a_run_leaves_no_table_behind(spark, tmp_path):
+    root = Path(scratch_root(spark).removeprefix("file:"))
+    put(tmp_path / "in", "a.json", "good day")
+    before = set(root.glob("*")) if root.exists() else set()
+    process_directory(spark, str(tmp_path / "in"), str(tmp_path / "out"), fx.lexicon(spark))
+    assert {p for p in set(root.glob("*")) - before if any(p.rglob("*"))} == set()
+
+
 def test_empty_directory(spark, tmp_path):
     (tmp_path / "in").mkdir()
     assert counts(process_directory(spark, str(tmp_path / "in"), str(tmp_path / "out"), fx.lexicon(spark)).first()) == (0, 0, 0, 0)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import file_stem
 from ..settings import AUDIO_SUFFIXES, VIDEO_SUFFIXES
+from .transcripts import path_below
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -13,6 +16,19 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
 
 
+def listed_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, name): files of a directory tree and where they lie below it; contents are not read."""
+    return (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+        .select("path", path_below(path).alias("name"))
+    )
+
+
+def literal_path(path: str) -> str:
+    """A path in which the characters of patterns stand for themselves."""
+    return re.sub(r"([*?{}\[\]\\])", r"\\\1", path)
+
+
 def media_manifest(files: DataFrame, path: str = "path") -> DataFrame:
     """Files with a media suffix, tagged audio or video, sorted by path."""
     suffix = F.lower(F.regexp_extract(F.col(path), r"[^/.]\.([^./]+)$", 1))

@@ -29,31 +29,32 @@ def parse_transcripts(raw: DataFrame, path: str, one_per_file: bool = True) -> D
         raw = raw.filter(~is_blank(F.col("value")))
     wide = T.StructType([*TRANSCRIPT.fields, T.StructField("_corrupt_record", T.StringType())])
     parsed = raw.select(
-        path_below(path).alias("_path"),
+        path_below(path).alias("path"),
         F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("class_name"),
         F.from_json(F.regexp_replace("value", "^\ufeff", ""), wide, {
             "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("_t"))
     broken = F.col("_t").isNull() | F.col("_t._corrupt_record").isNotNull()
     own = F.lit(None).cast("string") if one_per_file else F.col("_t.file")
     return parsed.select(
-        F.coalesce(own, F.col("_path")).alias("file"), "class_name",
+        F.coalesce(own, F.col("path")).alias("file"), "path", "class_name",
         strip(F.coalesce("_t.text", F.lit(""))).alias("text"),
         F.coalesce("_t.language", F.lit("unknown")).alias("language"),
         F.coalesce("_t.segments", F.array().cast(T.ArrayType(SEGMENT))).alias("segments"),
         F.when(broken, F.lit("Failed to parse JSON file")).alias("error"))
 
 
-def transcript_files(spark: SparkSession, path: str, one_per_file: bool = True, pattern: str = "*.json") -> DataFrame:
-    """Every transcript (file, class_name, text, language, segments, error) in a directory tree of JSON.
+def transcript_files(spark: SparkSession, path: str, one_per_file: bool = True, pattern: str = "*.json",
+                     only: list[str] | None = None) -> DataFrame:
+    """Every transcript (file, path, class_name, text, language, segments, error) in a directory tree of JSON.
 
     `file` is the path below `path`, so equal names in two directories stay apart; class_name is the
     directory a file lies in. one_per_file=False reads files of one document per line, which split
     across tasks; there a document's own `file` names it. What cannot be parsed has an error; Spark's
-    readers see no files of zero bytes.
+    readers see no files of zero bytes. `only` names the files below `path` that are opened.
     """
     raw = (
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-        .text(path, wholetext=one_per_file)
+        .text(path if only is None else only, wholetext=one_per_file)
     )
     return parse_transcripts(raw, path, one_per_file)
 
