@@ -7,7 +7,7 @@ from voxsieve.operators.rollup import run_summary
 from voxsieve.plans import recordings as rec
 from voxsieve.registry import fixtures as fx
 from voxsieve.operators import rollup as ru
-from voxsieve.sources import media, results, tables as tb, transcripts as ts
+from voxsieve.sources import media, results, tables as tb, transcripts as ts, tsv
 
 
 def test_one_transcript_per_file(spark, tmp_path):
@@ -44,7 +44,7 @@ def test_parts_have_no_empty_tail(spark, tmp_path):
 def test_part_names_are_not_split_again(spark):
     names = ["a.tsv", "a.part1.tsv", "A.TSV", "a.csv", "a.partx.tsv"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
-    assert [r[0] for r in df.filter(tb.is_splittable_name(F.col("n"))).collect()] == ["a.tsv", "A.TSV", "a.partx.tsv"]
+    assert [r[0] for r in df.filter(tsv.is_splittable_name(F.col("n"))).collect()] == ["a.tsv", "A.TSV", "a.partx.tsv"]
 
 
 def test_manifest_lists_media_only(spark, tmp_path):

@@ -11,7 +11,7 @@ from ..operators.segments import explode_segments
 from ..plans.recordings import timed_segments
 from ..settings import TOXIC_LABELS
 from ..sources.pairs import ACOUSTIC_SUFFIX, OUTPUTS, TEXT_SUFFIX
-from ..sources.recording_files import write_recording_files
+from ..sources.recording_files import write_line_files, write_recording_files
 
 # A small valence lexicon and the label vocabularies of the score fixture.
 LEXICON = {
@@ -219,3 +219,20 @@ def signals(spark: SparkSession, d: str) -> dict[str, DataFrame]:
             "file", "seg_idx", "frame", F.when(F.col("v") > 0, 100 + 200 * F.col("v")).alias("f0")),
         "emotions": rows.filter("vec_id % 7 <> 0").select("file", "seg_idx", F.col("model_outputs.sentiment").alias("scores")),
     }
+
+
+#: Column orders of the TSV files, and those of their columns that a file may lack.
+LAYOUTS = (("row_id", "text", "label"), ("label", "row_id", "text"), ("row_id", "lang", "text"))
+
+
+def write_tsv_files(spark: SparkSession, d: str, path: str) -> None:
+    """Documents as one .tsv file per source and layout, rows by id; the file of src4 and the first layout has an open quote."""
+    rows = labeled(spark, d).withColumns({
+        "text": F.regexp_replace("text", r'["\s]+', " "), "layout": F.pmod("row_id", F.lit(len(LAYOUTS))).cast("int")})
+    lines = [F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]) for names in LAYOUTS]
+    line = F.array(*lines)[F.col("layout")]
+    named = rows.select(F.concat_ws("_", "source", "layout").alias("file"), "layout", "row_id", F.concat(
+        line, F.when((F.col("source") == "src4") & (F.col("layout") == 0), F.lit('\t"open')).otherwise(F.lit(""))).alias("value"))
+    heads = named.select("file", "layout").distinct().select("file", F.lit(-1).cast("bigint").alias("row_id"), F.array(
+        *[F.lit("\t".join(names)) for names in LAYOUTS])[F.col("layout")].alias("value"))
+    write_line_files(named.drop("layout").unionByName(heads).withColumn("name", F.concat("file", F.lit(".tsv"))), "row_id", path)

@@ -250,8 +250,15 @@ SQL["explode_segments"] = with_([LINES], "SELECT file, language, seg_idx, text F
 SQL["read_labeled_csv"] = f"""SELECT {strip('text')} AS text, toxic AS label FROM documents JOIN labels USING (doc_id)
   WHERE {strip('text')} <> '' AND NOT (toxic = 0 AND doc_id % 4 = 2)"""
 
-SQL["union_tsv_dir"] = r"""SELECT doc_id AS row_id, regexp_replace(text, '\s+', ' ', 'g') AS text, toxic AS label,
-  CASE WHEN toxic IS NULL THEN lang END AS lang FROM documents LEFT JOIN labels USING (doc_id)"""
+TSV = r"""tsv AS (SELECT doc_id AS row_id, regexp_replace(text, '["\s]+', ' ', 'g') AS text, CASE WHEN doc_id % 3 < 2 THEN toxic END AS label,
+  CASE WHEN doc_id % 3 = 2 THEN lang END AS lang, source || '_' || doc_id % 3 || '.tsv' AS name FROM documents LEFT JOIN labels USING (doc_id))"""
+SQL["union_tsv_dir"] = with_([TSV], "SELECT row_id, text, label, lang FROM tsv")
+SQL["split_tsv_dir"] = with_([TSV], """SELECT name, CASE WHEN bad THEN 'failed' ELSE 'split' END AS status, n_rows,
+  CASE WHEN NOT bad THEN (n_rows + 6) // 7 END AS n_parts, CASE WHEN bad THEN 'line break within quotes' END AS error, CASE WHEN NOT bad THEN part END AS part,
+  CASE WHEN NOT bad THEN count(*) END AS rows_of_part, CASE WHEN NOT bad THEN min(row_id) END AS first_id, CASE WHEN NOT bad THEN max(row_id) END AS last_id
+  FROM (SELECT *, name = 'src4_0.tsv' AS bad, count(*) OVER (PARTITION BY name) AS n_rows,
+    CASE WHEN name = 'src4_0.tsv' THEN 0 ELSE (row_number() OVER (PARTITION BY name ORDER BY row_id) - 1) // 7 + 1 END::INT AS part FROM tsv)
+  GROUP BY name, bad, n_rows, part""")
 
 SQL["read_annotations"] = f"SELECT user_id AS comment_id, count(*) AS n_annotations, {r('avg(value)')} AS rating FROM events GROUP BY user_id"
 

@@ -13,7 +13,7 @@ from ..operators import (
     splits)
 from ..plans import directory as dr, pairs as pr, recordings as rec, training as tr
 from ..settings import DEFAULTS, TOXIC_LABELS
-from ..sources import media, results as res, tables as tb, transcripts as ts
+from ..sources import media, results as res, tables as tb, transcripts as ts, tsv
 from ..sources.scratch import scratch_dir, stored
 from . import fixtures as fx
 
@@ -65,10 +65,9 @@ def read_labeled_csv(spark, d):
 @query
 def union_tsv_dir(spark, d):
     path = scratch_dir(spark, "tsv")
-    df = fx.labeled(spark, d).withColumn("text", F.regexp_replace("text", r"\s+", " "))
-    tb.export_columns(df.filter("label is not null"), ["row_id", "text", "label"], f"{path}/a", "\t")
-    tb.export_columns(df.filter("label is null"), ["row_id", "lang", "text"], f"{path}/b", "\t")
-    return tb.union_tsv_dir(spark, [f"{path}/a", f"{path}/b"]).select(
+    fx.write_tsv_files(spark, d, path)
+    whole = tsv.union_tsv_dir(spark, path)
+    return whole.select(
         F.col("row_id").cast("bigint").alias("row_id"), "text", F.col("label").cast("int").alias("label"), "lang")
 
 
@@ -892,3 +891,20 @@ def acoustic_rows(spark, d):
     return rounded(acoustics.acoustic_rows(
         signals["segments"], signals["chunks"], signals["contours"], signals["emotions"], min_energy_samples=120,
         min_pitch_samples=200, settings=replace(DEFAULTS, sample_rate=fx.SIGNAL_RATE), block=256), 5)
+
+
+@query
+def split_tsv_dir(spark, d):
+    path = scratch_dir(spark, "tsv")
+    fx.write_tsv_files(spark, d, path)
+    parts = scratch_dir(spark, "parts")
+    done = tsv.split_tsv_dir(spark, path, parts, 7)
+    lines = tsv.numbered_lines(tsv.text_lines(spark, parts, tsv.TSV), F.substring_index("address", "/", -1))
+    file = F.regexp_replace("name", r"\.part[0-9]+\.tsv$", ".tsv")
+    rows = lines.filter("line > 0").withColumn("place", F.when(F.col("name").contains("_1."), 1).otherwise(0))
+    found = rows.select(
+        file.alias("name"), F.regexp_extract("name", r"part([0-9]+)", 1).cast("int").alias("part"),
+        F.split("value", "\t")[F.col("place")].cast("bigint").alias("row_id"))
+    counted = found.groupBy("name", "part").agg(
+        F.count("*").alias("rows_of_part"), F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id"))
+    return done.join(counted, "name", "left")

@@ -1,4 +1,4 @@
-"""A sink that writes one file per row, named by the row."""
+"""A sink that writes files named by their rows: a row is a file, or a line of one."""
 
 from __future__ import annotations
 
@@ -32,25 +32,32 @@ class RecordingWriter(DataSourceArrowWriter):
     it had not finished lies in the job's own folder, which goes when the job is over.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, lines: bool = False):
         self.path = path.rstrip("/")
+        self.lines = lines
         self.aside = f"{self.path}/_temporary-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, root = opened(self.path)
         _, aside = opened(self.aside)
         aside = f"{aside}/{TaskContext.get().taskAttemptId()}"
-        names = []
-        for batch in iterator:
-            for name, value in zip(batch.column("name").to_pylist(), batch.column("value").to_pylist(), strict=True):
-                if not name or ".." in name.split("/"):
-                    raise ValueError(f"no name for a file: {name!r}")
-                place = f"{aside}/{len(names)}"
-                if not names:
-                    system.create_dir(aside, recursive=True)
-                with system.open_output_stream(place) as out:
-                    out.write((value or "").encode())
-                names.append(name)
+        names, out = [], None
+        try:
+            for batch in iterator:
+                for name, value in zip(batch.column("name").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                    if not (self.lines and names and names[-1] == name):
+                        if not name or ".." in name.split("/"):
+                            raise ValueError(f"no name for a file: {name!r}")
+                        if out is None:
+                            system.create_dir(aside, recursive=True)
+                        else:
+                            out.close()
+                        out = system.open_output_stream(f"{aside}/{len(names)}")
+                        names.append(name)
+                    out.write((value or "").encode() + (b"\n" if self.lines else b""))
+        finally:
+            if out is not None:
+                out.close()
         for folder in {f"{root}/{n}".rpartition("/")[0] for n in names}:
             system.create_dir(folder, recursive=True)
         for k, name in enumerate(names):
@@ -75,7 +82,7 @@ class RecordingFiles(DataSource):
         return FORMAT
 
     def writer(self, schema, overwrite: bool) -> RecordingWriter:
-        return RecordingWriter(self.options["path"])
+        return RecordingWriter(self.options["path"], self.options.get("lines") == "true")
 
 
 def write_recording_files(rows: DataFrame, path: str) -> None:
@@ -86,3 +93,10 @@ def write_recording_files(rows: DataFrame, path: str) -> None:
     """
     rows.sparkSession.dataSource.register(RecordingFiles)
     rows.select("name", "value").write.format(FORMAT).mode("append").save(path)
+
+
+def write_line_files(lines: DataFrame, order: str, path: str) -> None:
+    """Files of lines: rows (name, value) of a name, by `order`, are the lines of one file, written by one task."""
+    lines.sparkSession.dataSource.register(RecordingFiles)
+    dealt = lines.repartition("name").sortWithinPartitions("name", order)
+    dealt.select("name", "value").write.format(FORMAT).mode("append").option("lines", "true").save(path)

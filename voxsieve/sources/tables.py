@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import normalize_label, strip
@@ -48,12 +46,6 @@ def read_labeled_csv(spark: SparkSession, path: str, text_column: str | None = N
     )
 
 
-def union_tsv_dir(spark: SparkSession, paths: list[str], multi_line: bool = False) -> DataFrame:
-    """TSV files (or directories with one header layout each) concatenated by column name."""
-    tables = [_csv_reader(spark, "\t", multi_line).csv(p) for p in paths]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
-
-
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """Per-annotator rows from Parquet."""
     return spark.read.parquet(path)
@@ -72,11 +64,6 @@ def split_parts(df: DataFrame, order: str, max_rows: int) -> DataFrame:
     return numbered.withColumn("part", F.floor((F.col("_rn") - 1) / F.lit(max_rows)) + 1).drop("_rn")
 
 
-def is_splittable_name(name: Column) -> Column:
-    """A .tsv file that is not itself a generated part."""
-    return F.lower(name).endswith(".tsv") & ~name.rlike(r".*\.part[0-9]+(\.[^/]*)?$")
-
-
 def write_parts(parts: DataFrame, path: str) -> None:
     parts.write.mode("overwrite").partitionBy("part").options(
         header=True, sep="\t", quote='"', escape='"').csv(path)

@@ -11,6 +11,11 @@ from ..functions.text import is_blank, strip
 from ..schemas import RESULT, SEGMENT, TRANSCRIPT
 
 
+def decoded(address: Column) -> Column:
+    """A file's address without escapes; a plus sign stands for itself."""
+    return F.url_decode(F.replace(address, F.lit("+"), F.lit("%2B")))
+
+
 def path_below(path: str) -> Column:
     """Where a file lies below `path`; its whole address where `path` is a pattern."""
     root = quote(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/"), safe="/:@!$&'()*+,;=~")
@@ -19,8 +24,7 @@ def path_below(path: str) -> Column:
         F.when(address == root, F.substring_index(address, "/", -1))
         .when(address.startswith(f"{root}/"), F.regexp_replace(address, "^" + re.escape(f"{root}/"), "")).otherwise(address)
     )
-    # addresses are escaped, but a plus sign stands for itself
-    return F.url_decode(F.replace(found, F.lit("+"), F.lit("%2B")))
+    return decoded(found)
 
 
 def parse_transcripts(raw: DataFrame, path: str, one_per_file: bool = True) -> DataFrame:
