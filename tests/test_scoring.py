@@ -172,12 +172,14 @@ def test_long_recording_continues_in_parts(spark):
 
 def test_large_lexicon_gives_the_same_shares(spark, small):
     docs = fx.table(spark, small, "documents").withColumn("text", F.when(F.col("doc_id") % 9 != 0, F.col("text")))
-    args = (fx.lexicon(spark), "text", ("doc_id",))
+    docs = docs.select("doc_id", "text").union(docs.select(F.lit(None), "text")).union(docs.select(F.lit(1), F.lit("scum for this")))
+    args = (fx.lexicon(spark), "text")
     inline = lexicon_polarity(docs, *args)
     joined = lexicon_polarity(docs, *args, settings=replace(DEFAULTS, max_inline_lexicon=3))
     columns = ["doc_id", *[F.round(c, 9).alias(c) for c in ("neg", "neu", "pos", "compound")]]
     assert inline.select(*columns).exceptAll(joined.select(*columns)).count() == 0
-    assert inline.count() == joined.count() == 200
+    assert inline.count() == joined.count() == 600
+    assert joined.select(*columns).exceptAll(inline.select(*columns)).count() == 0
 
 
 def test_plug_in_scorer_isolates_failures(spark):
@@ -195,6 +197,29 @@ def test_plug_in_scorer_isolates_failures(spark):
     assert [(r.i, r.error.error_type) for r in bad.collect()] == [(1, "ValueError")]
 
 
+def test_a_text_is_scored_once_and_other_columns_stay_in_the_jvm(spark, tmp_path):
+    def make():
+        def count(texts):
+            for t in texts:
+                with open(f"{tmp_path}/calls", "a") as f:
+                    f.write(t + "\n")
+            return [{"toxic": {"toxic": 0.9}} for _ in texts]
+        return count
+
+    n = 50
+    df = spark.range(n).select("id", F.concat(F.lit("t"), "id").alias("text"), F.array("id").alias("error"))
+    scored = scorer.score_texts(df, make)
+    assert "ArrowEvalPython" in scored._jdf.queryExecution().toString()
+    chosen = sc.with_classification(scored).filter("error is null AND overall_toxicity > 0.5")
+    assert chosen.select("id", "is_toxic", "model_outputs").where("is_toxic").count() == n
+    assert sorted((tmp_path / "calls").read_text().split()) == sorted(f"t{i}" for i in range(n))
+    text = spark.createDataFrame([("a", 0, 0.0, 1.0, "one"), ("a", 1, 1.0, 2.0, "two")], "file string, seg_idx int, start_s double, end_s double, text string")
+    right = spark.createDataFrame([("a", 0, 0.1, 1.1), ("a", 1, 1.1, 2.1)], "file string, seg_idx int, start_s double, end_s double")
+    (tmp_path / "calls").unlink()
+    assert rec.aligned_pairs(scorer.score_texts(text, make), right).count() == 2
+    assert sorted((tmp_path / "calls").read_text().split()) == ["one", "two"]
+
+
 def test_quality_gate_from_text(spark):
     df = spark.createDataFrame([("a", "ha " * 200), ("b", "a plain short line")], "file string, text string")
     assert [r.file for r in sg.transcript_quality_gate(df, compression_from_text=True).collect()] == ["b"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..settings import DEFAULTS, Settings
+from ..sources.scratch import stored
 
 #: Words are runs of letters of any script.
 TOKEN_BREAK = r"[^\p{L}]+"
@@ -42,20 +43,19 @@ def _add(values: Column, part) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, v: a + part(v))
 
 
-def lexicon_polarity(df: DataFrame, lexicon: DataFrame, text: str = "text",
-                     keys: tuple[str, ...] = ("file", "seg_idx"), settings: Settings = DEFAULTS) -> DataFrame:
+def lexicon_polarity(df: DataFrame, lexicon: DataFrame, text: str = "text", settings: Settings = DEFAULTS) -> DataFrame:
     """Add neg, neu, pos and compound to each row.
 
     Terms or valences that are null don't count; of several valences of a term the one farthest from 0
     does, the negative one of two equally far. A lexicon of at most `max_inline_lexicon` terms becomes a
-    literal and the whole step is a projection. A larger one is joined to the exploded tokens, with the
-    same result; `keys` must then identify a row.
+    literal and the whole step is a projection. A larger one is joined to the exploded tokens of numbered
+    rows, with the same result: every row has its own, whatever its keys.
     """
     limit = settings.max_inline_lexicon
     lexicon = one_valence(lexicon)
     head = lexicon.limit(limit + 1).collect()
     if len(head) > limit:
-        return _joined(df, lexicon, text, list(keys))
+        return _joined(df, lexicon, text)
     valence = {r["term"]: r["valence"] for r in head}
     if not valence:
         zero = F.lit(0.0)
@@ -84,21 +84,22 @@ def one_valence(lexicon: DataFrame) -> DataFrame:
             .groupBy("term").agg(F.max_by("valence", F.struct(F.abs("valence"), -v)).alias("valence")))
 
 
-def _joined(df: DataFrame, lexicon: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    words = df.select(*keys, F.explode_outer(pieces(F.col(text))).alias("term")).filter("term <> ''")
+def _joined(df: DataFrame, lexicon: DataFrame, text: str) -> DataFrame:
+    df = stored(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    words = df.select("_row", F.explode(pieces(F.col(text))).alias("term")).filter("term <> ''")
     # a word that occurs in almost every row is dealt over several join keys
-    counted = words.groupBy(*keys, "term").agg(F.count("*").cast("double").alias("n")).withColumn(
-        "_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
+    counted = words.groupBy("_row", "term").agg(F.count("*").cast("double").alias("n")).withColumn(
+        "_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
     lexicon = lexicon.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     v = F.coalesce(F.col("valence"), F.lit(0.0))
     sums = (
         counted.join(lexicon, ["term", "_salt"], "left")
-        .groupBy(*keys).agg(
+        .groupBy("_row").agg(
             F.sum(F.when(v > 0, (v + 1) * F.col("n")).otherwise(F.lit(0.0))).alias("_gain"),
             F.sum(F.when(v < 0, (1 - v) * F.col("n")).otherwise(F.lit(0.0))).alias("_loss"),
             F.sum(F.when(v == 0, F.col("n")).otherwise(F.lit(0.0))).alias("_rest"),
             F.sum(v * F.col("n")).alias("_sum"))
     )
-    joined = df.join(sums, keys, "left").fillna(0.0, ["_gain", "_loss", "_rest", "_sum"])
+    joined = df.join(sums, "_row", "left").fillna(0.0, ["_gain", "_loss", "_rest", "_sum"])
     return _shares(joined, F.col("_gain"), F.col("_loss"), F.col("_rest"), F.col("_sum")).drop(
-        "_gain", "_loss", "_rest", "_sum")
+        "_row", "_gain", "_loss", "_rest", "_sum")

@@ -127,7 +127,7 @@ def timed_segments(transcripts: DataFrame, lexicon: DataFrame, settings: Setting
 def document_scores(transcripts: DataFrame, lexicon: DataFrame, settings: Settings = DEFAULTS,
                     make_scorer: Callable[[], Scorer] | None = None) -> DataFrame:
     """One row per file: toxicity of the whole text."""
-    polar = lexicon_polarity(transcripts.select("file", "text"), lexicon, keys=("file",), settings=settings)
+    polar = lexicon_polarity(transcripts.select("file", "text"), lexicon, settings=settings)
     return classified(polar, make_scorer, settings).select(
         "file", F.coalesce("overall_toxicity", F.lit(0.0)).alias("overall_toxicity"), "is_toxic")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -11,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.scores import fallback_scores
+from ..functions.scores import fallback_scores, with_classification
 from ..functions.speech import with_synthetic_intonation
 from ..functions.text import normalize_label, with_text_proxies
 from ..operators.features import feature_matrix, feature_names
@@ -20,23 +21,36 @@ from ..operators.labels import (
 from ..operators.learning import Bundle, train_classifier, with_class_weights
 from ..operators.lexicon import lexicon_polarity
 from ..operators.metrics import prevalence_threshold
+from ..operators.scorer import Scorer, score_texts
 from ..settings import DEFAULTS, Settings
 from ..sources.scratch import stored
 from .recordings import with_segment_features
 
 
-def text_features(df: DataFrame, lexicon: DataFrame, keys: tuple[str, ...], settings: Settings = DEFAULTS) -> DataFrame:
-    """Labelled texts with sentiment, estimated delivery, classifier columns and a feature map."""
-    polar = lexicon_polarity(with_text_proxies(df), lexicon, keys=keys, settings=settings)
+def text_features(df: DataFrame, lexicon: DataFrame, settings: Settings = DEFAULTS,
+                  make_scorer: Callable[[], Scorer] | None = None) -> DataFrame:
+    """Labelled texts with sentiment, estimated delivery, classifier columns and a feature map.
+
+    The classification comes from the plug-in scorer, or from the sentiment shares without one; texts that the
+    scorer fails on are left out.
+    """
+    polar = lexicon_polarity(with_text_proxies(df), lexicon, settings=settings)
     heard = with_synthetic_intonation(polar, settings)
-    scored = heard.withColumns(fallback_scores(F.col("neg"), F.col("neu"), F.col("pos")))
+    if make_scorer is None:
+        scored = heard.withColumns(fallback_scores(F.col("neg"), F.col("neu"), F.col("pos")))
+    else:
+        scored = with_classification(
+            score_texts(heard, make_scorer).filter("error is null").drop("error"), settings=settings)
     return with_segment_features(scored)
 
 
 def train_from_labels(labelled: DataFrame, key: str, lexicon: DataFrame, model_type: str = "random_forest",
-                      settings: Settings = DEFAULTS) -> Bundle:
-    """Fit the classifier on labelled texts (key, text, label) using text-only features."""
-    engineered = text_features(labelled, lexicon, (key,), settings).select(key, "label", "features")
+                      settings: Settings = DEFAULTS, make_scorer: Callable[[], Scorer] | None = None) -> Bundle:
+    """Fit the classifier on labelled texts (key, text, label), scored by the plug-in or from the text alone.
+
+    The features are written once, so a model scorer sees each text once.
+    """
+    engineered = stored(text_features(labelled, lexicon, settings, make_scorer).select(key, "label", "features"), "engineered")
     names = feature_names(engineered)
     return train_classifier(feature_matrix(engineered, names), key, names, "label", model_type, settings)
 

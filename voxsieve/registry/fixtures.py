@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.features import ACOUSTIC
 from ..functions.scores import sigmoid, sigmoid_scores, softmax_map, with_classification
 from ..functions.text import with_text_proxies
+from ..operators.lexicon import pieces
 from ..operators.segments import explode_segments
 from ..plans.recordings import timed_segments
 from ..settings import TOXIC_LABELS
@@ -46,6 +47,27 @@ def segs(spark: SparkSession, d: str) -> DataFrame:
     return timed_segments(transcripts(spark, d), lexicon(spark))
 
 
+def word_valences(spark: SparkSession, d: str) -> DataFrame:
+    """Every word of the documents as a term: a lexicon that grows with them, with repeated and null terms."""
+    words = table(spark, d, "documents").select(F.explode(pieces(F.col("text"))).alias("term")).filter("term <> ''").distinct()
+    valence = (F.length("term") % 9 - 4).cast("double")
+    return words.select("term", valence.alias("valence")).union(words.select("term", valence / 2)).union(
+        words.select(F.lit(None), valence))
+
+
+def word_scorer():
+    """A model that counts words (fixed values); it fails on texts of more than 20,000 characters."""
+    words = ("idiot", "scum", "trash", "moron")
+
+    def score(texts: list[str]) -> list[dict[str, dict[str, float]]]:
+        if any(len(t) > 20_000 for t in texts):
+            raise ValueError("too long")
+        hits = [sum(t.count(w) for w in words) for t in texts]
+        return [{"toxic": {"toxic": min(1.0, n / 4)}, "hate": {"HATE": n / (n + 1), "NOT-HATE": 1 / (n + 1)}} for n in hits]
+
+    return score
+
+
 def doc_id() -> Column:
     return F.substring_index("file", "_", -1).cast("bigint")
 

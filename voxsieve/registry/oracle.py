@@ -610,7 +610,7 @@ _REG = f"count(*) AS n, {r('sqrt(avg((y - p) ** 2))', 4)} AS rmse, {r('1 - sum((
 SQL["regression_metrics"] = f"""WITH e AS (SELECT l_extendedprice AS y, 1500.0 * l_quantity AS p, (l_orderkey % 5)::INT AS fold FROM lineitem)
 SELECT {_REG}, fold FROM e GROUP BY fold UNION ALL SELECT {_REG}, -1 FROM e"""
 
-SQL["score_texts"] = with_(polarity("documents", "text", "doc_id"), f"""SELECT doc_id, {r(clamp('0.8 * neg + 0.2 * (1 - neu)', 0, 1))} AS overall_toxicity,
+SQL["score_with_lexicon"] = with_(polarity("documents", "text", "doc_id"), f"""SELECT doc_id, {r(clamp('0.8 * neg + 0.2 * (1 - neu)', 0, 1))} AS overall_toxicity,
   neg > 0.6 AS is_toxic, {r('neg')} AS toxic, {r('neg / 2')} AS severe_toxic, 0.0::DOUBLE AS obscene, 0.0::DOUBLE AS threat,
   {r('greatest(0.0, neg - 0.2)')} AS insult, 0.0::DOUBLE AS identity_hate FROM pol""")
 
@@ -680,8 +680,25 @@ SQL["fold_summary"] = with_([*_FOLDED, "ag AS (SELECT score, sum(y) AS p, count(
 
 SQL["model_bundle"] = "SELECT vec_id, true AS same_probability, true AS same_flag FROM embeddings"
 
-SQL["train_from_labels"] = f"""SELECT row_id, label, true AS prediction_follows FROM (
-  {_ranked_rows('(SELECT doc_id AS row_id, toxic AS label FROM documents JOIN labels USING (doc_id))', 'row_id', 'label')}) WHERE k <= round(n * 0.2)"""
+_HELD = "\nUNION ALL ".join(f"SELECT row_id, toxic AS label, '{mode}' AS mode, true AS ranks_well FROM (" + _ranked_rows(
+    f"(SELECT doc_id AS row_id, toxic FROM documents JOIN labels USING (doc_id) WHERE length(text) <= {most})", "row_id", "toxic")
+    + ") WHERE k <= round(n * 0.2)" for mode, most in (("text_only", "1e9"), ("model", "20000")))
+SQL["train_from_labels"] = _HELD
+
+_HITS = " + ".join(f"(length(text) - length(replace(text, '{w}', ''))) // {len(w)}" for w in ("idiot", "scum", "trash", "moron"))
+SQL["score_texts"] = f"""SELECT doc_id, {r('CASE WHEN length(text) <= 20000 THEN (least(1.0, n / 4) + n / (n + 1)) / 2 END')} AS overall_toxicity,
+  {r('CASE WHEN length(text) <= 20000 THEN least(1.0, n / 4) END')} AS toxic, {r('CASE WHEN length(text) <= 20000 THEN n / (n + 1) END')} AS hate,
+  CASE WHEN length(text) > 20000 THEN 'ValueError' END AS error_type, CASE WHEN length(text) > 20000 THEN 'too long' END AS error_message
+  FROM (SELECT doc_id, text, {_HITS} AS n FROM documents)"""
+
+SQL["lexicon_polarity_joined"] = f"""WITH t AS (SELECT doc_id, length(term) % 9 - 4 AS v FROM (
+  SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS term FROM documents) WHERE term <> ''),
+s AS (SELECT doc_id, sum(CASE WHEN v > 0 THEN v + 1 ELSE 0 END)::DOUBLE AS p, sum(CASE WHEN v < 0 THEN 1 - v ELSE 0 END)::DOUBLE AS n,
+  count(*) FILTER (v = 0)::DOUBLE AS u, sum(v)::DOUBLE AS c FROM t GROUP BY doc_id),
+d AS (SELECT doc_id, p, n, u, c FROM documents LEFT JOIN s USING (doc_id))
+SELECT CASE WHEN named THEN doc_id END AS doc_id, {r('coalesce(n / (p + n + u), 0)')} AS neg, {r('coalesce(u / (p + n + u), 0)')} AS neu,
+  {r('coalesce(p / (p + n + u), 0)')} AS pos, {r('coalesce(c / sqrt(c * c + 15), 0)')} AS compound FROM d, (VALUES (true), (false)) w(named)"""
+
 
 _PAIRED = [*SEGS, "classes AS (SELECT doc_id, coalesce(max(toxic), 0) AS label FROM documents LEFT JOIN labels USING (doc_id) GROUP BY doc_id)",
            """near AS (SELECT c.label || '/' || l.file AS file, l.seg_idx, c.label::INT AS label, l.overall_toxicity, l.is_toxic, l.neg, l.pos,

@@ -132,7 +132,7 @@ def export_columns(spark, d):
 def dump_features(spark, d):
     path = scratch_dir(spark, "dump")
     rows = fx.labeled(spark, d).filter("label is not null").select(F.col("row_id"), "text", "label")
-    engineered = tr.text_features(rows, fx.lexicon(spark), ("row_id",))
+    engineered = tr.text_features(rows, fx.lexicon(spark))
     res.dump_features(engineered, path)
     schema = res.feature_dump(engineered).schema
     return rounded(spark.read.schema(schema).option("header", True).csv(path))
@@ -314,7 +314,7 @@ def scrub_nonfinite(spark, d):
 
 
 def _polar_docs(spark, d):
-    return lx.lexicon_polarity(fx.table(spark, d, "documents"), fx.lexicon(spark), keys=("doc_id",))
+    return lx.lexicon_polarity(fx.table(spark, d, "documents"), fx.lexicon(spark))
 
 
 @query
@@ -470,6 +470,13 @@ def lexicon_polarity(spark, d):
     return rounded(_polar_docs(spark, d).select("doc_id", "neg", "neu", "pos", "compound"))
 
 
+@query
+def lexicon_polarity_joined(spark, d):
+    docs = fx.table(spark, d, "documents").select("doc_id", "text")
+    return rounded(lx.lexicon_polarity(docs.union(docs.select(F.lit(None), "text")), fx.word_valences(spark, d)).select(
+        "doc_id", "neg", "neu", "pos", "compound"))
+
+
 @query
 def broadcast_predictions(spark, d):
     df = fx.annotations(spark, d)
@@ -797,7 +804,16 @@ def model_bundle(spark, d):
 
 @query
 def score_texts(spark, d):
-    df = scorer.score_with_lexicon(fx.table(spark, d, "documents"), fx.lexicon(spark), keys=("doc_id",))
+    df = sc.with_classification(scorer.score_texts(fx.table(spark, d, "documents"), fx.word_scorer))
+    scored = F.col("error").isNull()
+    return rounded(df.select(
+        "doc_id", F.when(scored, F.col("overall_toxicity")).alias("overall_toxicity"), F.col("model_outputs.toxic")["toxic"].alias("toxic"),
+        F.col("model_outputs.hate")["HATE"].alias("hate"), "error.error_type", "error.error_message"))
+
+
+@query
+def score_with_lexicon(spark, d):
+    df = scorer.score_with_lexicon(fx.table(spark, d, "documents"), fx.lexicon(spark))
     toxic = F.col("model_outputs.toxic")
     return rounded(df.select("doc_id", "overall_toxicity", "is_toxic", *[toxic[k].alias(k) for k in TOXIC_LABELS]))
 
@@ -815,10 +831,13 @@ def score_transcripts(spark, d):
 @query
 def train_from_labels(spark, d):
     rows = fx.labeled(spark, d).filter("label is not null").select("row_id", "text", "label")
-    bundle = tr.train_from_labels(rows, "row_id", fx.lexicon(spark), "logistic")
-    # which rows were held out, and that the prediction follows the score
-    return bundle.validation.select("row_id", "label", (
-        F.col("prediction") == (F.col("score") >= F.lit(bundle.threshold)).cast("int")).alias("prediction_follows"))
+    held = []
+    for name, make in (("text_only", None), ("model", fx.word_scorer)):
+        bundle = tr.train_from_labels(rows, "row_id", fx.lexicon(spark), "logistic", make_scorer=make)
+        # which rows were held out, and that the model ranks them well
+        auc = mt.roc_auc(bundle.validation, "score", "label").first()["roc_auc"]
+        held.append(bundle.validation.select("row_id", "label", F.lit(name).alias("mode"), F.lit(auc > 0.75).alias("ranks_well")))
+    return held[0].unionByName(held[1])
 
 
 def _write_documents(spark, d, path, condition=None):
