@@ -102,33 +102,30 @@ def candidate_columns(df: DataFrame, label: str, explicit: list[str] | None = No
 
 def profile_columns(df: DataFrame, columns: list[str], max_distinct: int = 1000, max_ratio: float = 0.2,
                     max_length: int = 50, exact: bool = True) -> DataFrame:
-    """Rows (column, is_numeric, n_rows, n_distinct, distinct_ratio, mean_length, role).
+    """Rows (column, is_numeric, n_rows, n_distinct, distinct_ratio, mean_length, role, method).
 
-    Distinct values are counted for non-numeric columns only. With exact=False a sketch decides
-    first, and only columns near the limit are counted exactly, so long free text is not shuffled.
+    Distinct values are counted for non-numeric columns only, with one `method` for all of them: `exact` shuffles
+    their values, `hll` merges sketches in one pass without a shuffle of values.
     """
     numeric = set(numeric_columns(df))
     texts = [c for c in columns if c not in numeric]
     numbers = [c for c in columns if c in numeric]
-    sketched: list[str] = []
-    if not exact and texts:
-        estimate = df.agg(*[F.approx_count_distinct(c).alias(c) for c in texts]).first()
-        sketched = [c for c in texts if estimate[c] > 4 * max_distinct]
-    counted = [c for c in texts if c not in sketched]
     parts = []
-    if counted:
+    if texts and exact:
         values = (
             df.select(F.explode(F.array(*[
-                F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in counted])).alias("r"))
+                F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in texts])).alias("r"))
             .groupBy("r.column", "r.value").agg(F.count("*").alias("n")))
         filled = F.when(F.col("value").isNotNull(), F.col("n"))
         parts.append(values.groupBy("column").agg(
             F.lit(False).alias("is_numeric"), F.sum("n").alias("n_rows"), F.count("value").alias("n_distinct"),
             (F.sum(F.length("value") * filled) / F.sum(filled)).alias("mean_length")))
-    for c in sketched:
-        parts.append(df.agg(
+    elif texts:
+        measured = [F.struct(
             F.lit(c).alias("column"), F.lit(False).alias("is_numeric"), F.count("*").alias("n_rows"),
-            F.approx_count_distinct(c).alias("n_distinct"), F.avg(F.length(F.col(c).cast("string"))).alias("mean_length")))
+            F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(F.col(c).cast("string"), F.lit(14))), F.lit(0)).cast("bigint").alias("n_distinct"),
+            F.avg(F.length(F.col(c).cast("string"))).alias("mean_length")) for c in texts]
+        parts.append(df.agg(F.array(*measured).alias("all")).select(F.inline("all")))
     if numbers:
         parts.append(df.agg(F.count("*").alias("n_rows")).select(
             F.explode(F.array(*map(F.lit, numbers))).alias("column"), F.lit(True).alias("is_numeric"), "n_rows",
@@ -142,8 +139,18 @@ def profile_columns(df: DataFrame, columns: list[str], max_distinct: int = 1000,
         F.when(F.col("is_numeric"), "numeric")
         .when((F.col("n_distinct") <= max_distinct) & (ratio <= max_ratio) & (length <= max_length), "categorical")
         .otherwise("ignored"))
+    method = F.when(~F.col("is_numeric"), F.lit("exact" if exact else "hll"))
     return profile.select("column", "is_numeric", "n_rows", "n_distinct", ratio.alias("distinct_ratio"),
-                          "mean_length", role.alias("role"))
+                          "mean_length", role.alias("role"), method.alias("method"))
+
+
+def typed_value(value: str, kind: T.DataType) -> object:
+    """A value that was cast to a string, as a value of its type."""
+    if isinstance(kind, T.BooleanType):
+        return value == "true"
+    if isinstance(kind, T.IntegralType):
+        return int(value)
+    return float(value) if isinstance(kind, T.FractionalType) else value
 
 
 @dataclass(frozen=True)
@@ -157,12 +164,17 @@ class Imputer:
         values: dict[str, object] = {}
         if numeric:
             values |= {r["column"]: r["quantile"] for r in exact_quantiles(df, dict.fromkeys(numeric, 0.5)).collect()}
-        for c in categorical:
-            # counted per value; the smallest value wins a tie
-            top = (df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
-                   .agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(c).alias("value"))).alias("best")).first())
-            if top["best"] is not None:
-                values[c] = top["best"]["value"]
+        if categorical:
+            # counted per value, all columns in one pass; the smallest value wins a tie
+            kinds = df.select(*categorical).schema
+            listed = df.select(F.explode(F.array(*[
+                F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in categorical])).alias("r"))
+            counts = listed.filter("r.value IS NOT NULL").groupBy("r.column", "r.value").agg(F.count("*").alias("n"))
+            order = F.coalesce(*[F.when(F.col("column") == c, F.col("value").cast(kinds[c].dataType).cast("double"))
+                                 for c in categorical if not isinstance(kinds[c].dataType, T.StringType)], F.lit(0.0))
+            best = counts.groupBy("column").agg(F.min_by("value", F.struct(-F.col("n"), order, "value")).alias("value"))
+            for r in best.collect():  # one row per column
+                values[r["column"]] = typed_value(r["value"], kinds[r["column"]].dataType)
         return Imputer(values)
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -189,9 +201,16 @@ class Standardizer:
         return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(self.deviations[c]) for c, m in self.means.items()})
 
 
+#: Most levels of a category that becomes columns; more are refused, not cut off.
+MOST_LEVELS = 10_000
+
+
 def category_levels(df: DataFrame, column: str) -> list[str]:
     """The levels that become columns."""
-    return sorted(r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().collect())
+    levels = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(MOST_LEVELS + 1).collect()
+    if len(levels) > MOST_LEVELS:
+        raise ValueError(f"more than {MOST_LEVELS} levels in {column}; is it a category?")
+    return sorted(r[0] for r in levels)
 
 
 def one_hot(df: DataFrame, column: str, levels: list[str] | None = None) -> DataFrame:

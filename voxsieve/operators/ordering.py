@@ -8,6 +8,7 @@ rows per key, are accumulated and added back.
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil, floor
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -91,9 +92,10 @@ def global_row_number(df: DataFrame, column: str, out: str = "rn") -> DataFrame:
 def exact_quantiles(df: DataFrame, shares: dict[str, float]) -> DataFrame:
     """Linearly interpolated quantile of each numeric column, as rows (column, quantile).
 
-    Values are counted before they are ordered, and ordered slice by slice, so no task holds the
-    distinct values of a whole column.
+    Rows are counted per slice of each column, all columns at once; of the values only those in the slices
+    that hold the ranks asked for are shuffled and ordered. What reaches the driver is the counts.
     """
+    spark = df.sparkSession
     columns = list(shares)
     n = slice_count(df)
     cuts = df.approxQuantile(columns, [i / n for i in range(1, n)], 1.0 / (4 * n))
@@ -104,24 +106,39 @@ def exact_quantiles(df: DataFrame, shares: dict[str, float]) -> DataFrame:
     placed = Bucketizer(
         splitsArray=split_lists, inputCols=columns, outputCols=[f"_s{i}" for i in range(len(columns))],
         handleInvalid="keep").transform(df)
-    counted = (
+    values = (
         placed.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(f"_s{i}").alias("slice"),
+            F.struct(F.lit(c).alias("column"), F.col(f"_s{i}").cast("int").alias("slice"),
                      F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)])).alias("r"))
         .select("r.*")
         .filter(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy("column", "slice", "value").agg(F.count("*").alias("n"))
     )
-    wanted = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
-    ranks = (
-        running_sums(counted, ["column"], "slice", [F.col("value")], {"reach": F.col("n")}, totals=True)
-        .withColumn("spot", (F.col("reach_total") - 1) * wanted[F.col("column")])
-    )
-    low, high = (
-        F.min(F.when(F.col("reach") > place, F.col("value"))) for place in (F.floor("spot"), F.ceil("spot")))
-    return (
-        ranks.groupBy("column")
-        .agg(low.alias("low"), high.alias("high"), F.first("spot").alias("spot"))
-        .select("column", (F.col("low") + (F.col("high") - F.col("low"))
-                           * (F.col("spot") - F.floor("spot"))).alias("quantile"))
+    sizes: dict[str, list[tuple[int, int]]] = {}
+    for r in values.groupBy("column", "slice").agg(F.count("*").alias("n")).orderBy("column", "slice").collect():
+        sizes.setdefault(r["column"], []).append((r["slice"], r["n"]))
+    places = []  # (column, slice, rank within the slice, weight of the value at that rank)
+    for column, counts in sizes.items():
+        spot = (sum(c for _, c in counts) - 1) * shares[column]
+        low, high = floor(spot), ceil(spot)
+        for rank, weight in ((low, 1.0 - (spot - low)), (high, spot - low)):
+            before = 0
+            for number, count in counts:
+                if rank < before + count:
+                    places.append((column, number, rank - before, weight, rank == low))
+                    break
+                before += count
+    schema = "column string, slice int, rank bigint, weight double, lower boolean"
+    wanted = spark.createDataFrame(places, schema)  # two rows per column
+    chosen = F.lit(False)
+    for column, number in sorted({p[:2] for p in places}):
+        chosen = chosen | ((F.col("column") == column) & (F.col("slice") == number))
+    reach = F.sum("n").over(Window.partitionBy("column", "slice").orderBy("value"))
+    counted = values.filter(chosen).groupBy("column", "slice", "value").agg(F.count("*").alias("n")).withColumn("reach", reach)
+    ends = (
+        counted.join(F.broadcast(wanted), ["column", "slice"]).filter(F.col("reach") > F.col("rank"))
+        .groupBy("column", "lower", "weight").agg(F.min("value").alias("value"))
     )
+    low, high = (F.max(F.when(F.col("lower") == side, F.col("value"))) for side in (True, False))
+    share = F.max(F.when(~F.col("lower"), F.col("weight")))
+    return ends.groupBy("column").agg(low.alias("low"), high.alias("high"), share.alias("share")).select(
+        "column", (F.col("low") + F.coalesce((F.col("high") - F.col("low")) * F.col("share"), F.lit(0.0))).alias("quantile"))

@@ -17,10 +17,11 @@ from ..functions.speech import with_synthetic_intonation
 from ..functions.text import normalize_label, with_text_proxies
 from ..operators.features import feature_matrix, feature_names
 from ..operators.labels import (
-    Imputer, broadcast_predictions, candidate_columns, fill_labels, group_targets, numeric_columns, profile_columns)
-from ..operators.learning import Bundle, train_classifier, with_class_weights
+    Imputer, broadcast_predictions, candidate_columns, fill_labels, group_targets, numeric_columns, one_hot, profile_columns)
+from ..operators.learning import Bundle, cross_validate, train_classifier, train_logistic, with_class_weights
 from ..operators.lexicon import lexicon_polarity
 from ..operators.metrics import prevalence_threshold
+from ..operators.ridge import fill_report, ridge_out_of_fold
 from ..operators.scorer import Scorer, score_texts
 from ..settings import DEFAULTS, Settings
 from ..sources.scratch import stored
@@ -61,6 +62,8 @@ class FilledLabels:
     threshold: float
     numeric: list[str]
     categorical: list[str]
+    #: With evaluate=True: per fold and overall, how rows are predicted by models of the other folds.
+    report: DataFrame | None = None
 
 
 def _fit_filler(df: DataFrame, numeric: list[str], categorical: list[str], target: str, model_type: str,
@@ -104,11 +107,12 @@ def _scored(model: PipelineModel, df: DataFrame, model_type: str, kept: list[str
 def fill_missing_labels(df: DataFrame, label: str, key: str, group: bool = False, model_type: str = "logistic",
                         columns: list[str] | None = None, threshold: float | None = None,
                         match_prevalence: bool = False, ridge_alpha: float = 1.0,
-                        settings: Settings = DEFAULTS) -> FilledLabels:
+                        settings: Settings = DEFAULTS, evaluate: bool = False) -> FilledLabels:
     """Fit on labelled rows (or id groups), score all, and fill the missing labels.
 
     Adds score, pred and <label>_filled. Profile, medians, modes and the threshold are the only
-    values that reach the driver.
+    values that reach the driver. `evaluate` adds a report over folds of the labelled rows; their gaps are
+    filled with the values of all of them.
     """
     default = settings.decision_threshold if threshold is None else threshold
     names = candidate_columns(df, label, columns, ignore=(key,))
@@ -129,6 +133,7 @@ def fill_missing_labels(df: DataFrame, label: str, key: str, group: bool = False
     known = base.filter(F.col(target).isNotNull())
     # a column without any labelled value carries no signal: a constant keeps it out of the model
     imputer = Imputer(dict.fromkeys(numeric, 0.0) | Imputer.fit(known, numeric, categorical).values)
+    report = _evaluated(imputer.transform(known), key, numeric, categorical, target, model_type, ridge_alpha, settings) if evaluate else None
     model = _fit_filler(imputer.transform(known), numeric, categorical, target, model_type, ridge_alpha, settings)
     kept = [key, target] if group else [*df.columns, target]
     ready = imputer.transform(base) if group else imputer.transform(
@@ -145,4 +150,21 @@ def fill_missing_labels(df: DataFrame, label: str, key: str, group: bool = False
         ).first()["threshold"]
     scored = scored.withColumn("pred", (F.col("score") >= F.lit(cut)).cast("int"))
     rows = broadcast_predictions(df, scored.select(key, "score", "pred"), key) if group else scored.drop(target)
-    return FilledLabels(fill_labels(rows, label, "pred"), float(cut), numeric, categorical)
+    return FilledLabels(fill_labels(rows, label, "pred"), float(cut), numeric, categorical, report)
+
+
+def _evaluated(known: DataFrame, key: str, numeric: list[str], categorical: list[str], target: str, model_type: str,
+               ridge_alpha: float, settings: Settings) -> DataFrame:
+    """fill_report of out-of-fold predictions: ridge from the folds' sums, logistic with a fit per fold."""
+    wide, names, coded = known, list(numeric), []
+    for c in categorical:
+        before = set(wide.columns)
+        wide = one_hot(wide, c)
+        coded += [n for n in wide.columns if n not in before]
+    names += coded
+    if model_type == "ridge":
+        return fill_report(ridge_out_of_fold(wide, key, names, target, ridge_alpha, frozenset(coded), settings))
+    plain = {n: f"f{i}" for i, n in enumerate(names)}  # names as the model takes them
+    rows = wide.select(key, F.col(target).cast("int").alias("_label"), *[F.col(f"`{n}`").alias(p) for n, p in plain.items()])
+    scores = cross_validate(rows, key, list(plain.values()), "_label", train_logistic, settings)
+    return fill_report(scores.select(key, F.col("label").cast("double").alias("target"), "fold", F.col("score").alias("prediction")))

@@ -509,10 +509,10 @@ SQL["group_targets"] = with_([NOTES], f"""SELECT comment_id, {r('avg(rating)')}
 def _profile(table: str, column: str, numeric: bool) -> str:
     if numeric:
         return f"""SELECT '{column}' AS "column", true AS is_numeric, count(*) AS n_rows, NULL::BIGINT AS n_distinct, NULL::DOUBLE AS distinct_ratio,
-  NULL::DOUBLE AS mean_length, 'numeric' AS role FROM {table}"""
+  NULL::DOUBLE AS mean_length, 'numeric' AS role, NULL::VARCHAR AS method FROM {table}"""
     return f"""SELECT '{column}', false, count(*), count(DISTINCT {column}), {r(f'count(DISTINCT {column}) / count(*)')}, {r(f'avg(length({column}))')},
   CASE WHEN count(DISTINCT {column}) <= 1000 AND count(DISTINCT {column}) / count(*) <= 0.2 AND avg(length({column})) <= 50
-    THEN 'categorical' ELSE 'ignored' END FROM {table}"""
+    THEN 'categorical' ELSE 'ignored' END, 'exact' FROM {table}"""
 
 
 SQL["profile_columns"] = "\nUNION ALL ".join(
@@ -740,3 +740,26 @@ SQL["acoustic_rows"] = with_([*LONG, """sam AS (SELECT vec_id // 50 AS rec, (vec
         for c in ("f0_mean", "f0_std", "f0_min", "f0_max", "f0_range", "f0_slope", "f0_final"))
     + f""", {r('coalesce(rms_mean, 0)', 5)} AS rms_mean, {r('coalesce(rms_max, 0)', 5)} AS rms_max
   FROM cut LEFT JOIN rms USING (vec_id) LEFT JOIN pitch USING (vec_id) LEFT JOIN (SELECT * FROM mood WHERE k = 1) USING (vec_id) WHERE b > a""")
+
+_PARTS = """parts AS (SELECT fold AS part, * FROM oof UNION ALL SELECT -1, * FROM oof)"""
+SQL["fill_report"] = with_([EMB, """xs AS (SELECT vec_id, x[1] AS a, x[2] AS b, (x[1] + 1.5 * x[2] > 0.1)::INT::DOUBLE AS y,
+  ((row_number() OVER (ORDER BY md5(vec_id::VARCHAR || '_42')) - 1) % 5)::INT AS fold FROM emb)""",
+    """fit AS (SELECT f.fold, count(*)::DOUBLE AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb,
+  corr(a, b) * count(*) AS g, covar_pop(a, y) / stddev_pop(a) * count(*) AS ca, covar_pop(b, y) / stddev_pop(b) * count(*) AS cb
+  FROM xs JOIN (SELECT DISTINCT fold FROM xs) f ON xs.fold <> f.fold GROUP BY f.fold)""",
+    """oof AS (SELECT xs.fold, y, my + ((n + 3) * ca - g * cb) / ((n + 3) ** 2 - g * g) * (a - ma) / sa
+    + ((n + 3) * cb - g * ca) / ((n + 3) ** 2 - g * g) * (b - mb) / sb AS p FROM xs JOIN fit USING (fold))""",
+    _PARTS,
+    """auc AS (SELECT u.part, avg(CASE WHEN u.p > v.p THEN 1 WHEN u.p = v.p THEN 0.5 ELSE 0 END) AS auc
+  FROM parts u JOIN parts v ON u.part = v.part AND u.y = 1 AND v.y = 0 GROUP BY u.part)""",
+    """ap AS (SELECT part, sum(hit * tp / al) / sum(hit) AS ap FROM (SELECT part, y AS hit, sum(y) OVER w AS tp, count(*) OVER w AS al
+  FROM parts WINDOW w AS (PARTITION BY part ORDER BY p DESC)) GROUP BY part)"""],
+    f"""SELECT CASE WHEN part >= 0 THEN part END AS fold, n, rmse, r2, {r('auc', 5)} AS roc_auc, {r('ap', 5)} AS average_precision FROM (
+  SELECT part, count(*) AS n, {r('sqrt(avg((y - p) ** 2))', 5)} AS rmse, {r('1 - avg((y - p) ** 2) / var_pop(y)', 5)} AS r2 FROM parts GROUP BY part)
+  JOIN auc USING (part) JOIN ap USING (part)""")
+
+SQL["fill_evaluated"] = with_([f"lr AS ({_ranked_rows('(SELECT doc_id, toxic FROM documents JOIN labels USING (doc_id))', 'doc_id', 'toxic')})",
+    """fl AS (SELECT 'logistic' AS kind, ((k - 1) % least(5, greatest(2, (SELECT min(n) FROM lr))))::INT AS fold FROM lr
+  UNION ALL SELECT 'ridge', ((row_number() OVER () - 1) % 5)::INT FROM lr)"""],
+    """SELECT kind, fold, count(*) AS n, true AS measured FROM fl GROUP BY kind, fold
+  UNION ALL SELECT kind, NULL, count(*), true FROM fl GROUP BY kind""")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import features as feat, scores as sc, speech as sp, text as tx
 from ..operators import (
-    acoustics, align, contour, features, labels as lb, learning as ml, lexicon as lx, metrics as mt, rollup as ru, scorer, segments as sg,
+    acoustics, align, contour, features, labels as lb, learning as ml, lexicon as lx, metrics as mt, ridge as rd, rollup as ru, scorer, segments as sg,
     splits)
 from ..plans import directory as dr, pairs as pr, recordings as rec, training as tr
 from ..settings import DEFAULTS, TOXIC_LABELS
@@ -720,6 +720,23 @@ def fill_missing_labels(spark, d):
         .alias("rate_matched"))
 
 
+@query
+def fill_report(spark, d):
+    df, names = fx.feature_vectors(spark, d)
+    return rounded(rd.fill_report(rd.ridge_out_of_fold(df, "vec_id", names[:2], "label", alpha=3.0)), 5)
+
+
+@query
+def fill_evaluated(spark, d):
+    # how many rows of each fold were predicted by models of the others, for either model
+    parts = []
+    for kind in ("logistic", "ridge"):
+        report = tr.fill_missing_labels(fx.labeled(spark, d), "label", "row_id", model_type=kind, evaluate=True).report
+        ranked = F.col("roc_auc").between(0, 1) & F.col("average_precision").between(0, 1) & (F.col("rmse") < 0.6)
+        parts.append(report.select(F.lit(kind).alias("kind"), "fold", "n", ranked.alias("measured")))
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def one_hot(spark, d):
     df = fx.table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
