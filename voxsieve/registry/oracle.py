@@ -640,9 +640,6 @@ SQL["reload_written_results"] = with_([*DECIDED, *_WHOLE], f"""SELECT file, true
 
 # --- learning: what is determined whatever the fitted numbers
 
-_FITTED = with_(SL, """SELECT count(*) AS n_rows, count(*) FILTER (y = 1) AS n_positive, count(*) AS n_scored, true AS ranks_well FROM sl""")
-SQL["train_forest"] = SQL["train_boosted"] = SQL["train_logistic"] = _FITTED
-
 SQL["top_features"] = "SELECT DISTINCT f AS feature FROM embeddings, (VALUES ('d00'), ('d01')) first_two(f)"
 
 SQL["fill_missing_labels"] = f"""SELECT count(*) AS n_rows, count(*) FILTER (toxic IS NULL) AS n_missing, count(toxic) AS n_kept,
@@ -658,7 +655,10 @@ SQL["small_data_guard"] = with_([*SL, f"rr AS ({_ranked_rows('sl', 'vec_id', 'y'
   count(*) FILTER (k <= round(n * 0.2)) AS n_held_out, false AS guarded FROM rr GROUP BY y
   UNION ALL SELECT 'one_class', 1, count(*), true FROM sl WHERE y = 1""")
 
-SQL["predict_segments"] = "SELECT vec_id, true AS is_probability, true AS flag_follows FROM embeddings"
+_SPLIT = [*SL, f"held AS ({_ranked_rows('sl', 'vec_id', 'y')})"]
+SQL["train_forest"] = SQL["train_boosted"] = SQL["train_logistic"] = with_(
+    _SPLIT, "SELECT vec_id, y AS label, true AS is_probability, true AS ranks_well FROM held WHERE k <= round(n * 0.2)")
+SQL["predict_segments"] = with_(_SPLIT, "SELECT vec_id, k <= round(n * 0.2) AS held_out, true AS cut_apart, true AS ranks_well FROM held")
 
 SQL["cross_validate"] = with_([*SL, f"rr AS ({_ranked_rows('sl', 'vec_id', 'y')})"], """SELECT vec_id, y AS label,
   ((k - 1) % least(5, greatest(2, (SELECT min(n) FROM rr))))::INT AS fold, true AS scored FROM rr""")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions import features as feat, scores as sc, speech as sp, text as tx
 from ..operators import (
     acoustics, align, contour, features, labels as lb, learning as ml, lexicon as lx, metrics as mt, ridge as rd, rollup as ru, scorer, segments as sg,
-    splits)
+    splits as sp_)
 from ..plans import directory as dr, pairs as pr, recordings as rec, training as tr
 from ..settings import DEFAULTS, TOXIC_LABELS
 from ..sources import media, results as res, tables as tb, transcripts as ts, tsv
@@ -601,14 +601,14 @@ def standardize(spark, d):
 
 @query
 def stratified_split(spark, d):
-    return splits.stratified_split(fx.table(spark, d, "labels"), "doc_id", "toxic").select("doc_id", "toxic", "part")
+    return sp_.stratified_split(fx.table(spark, d, "labels"), "doc_id", "toxic").select("doc_id", "toxic", "part")
 
 
 @query
 def kfold_assign(spark, d):
     df = fx.table(spark, d, "labels")
-    plain = splits.kfold_assign(df, "doc_id", None).select("doc_id", F.col("fold").alias("plain_fold"))
-    return splits.kfold_assign(df, "doc_id", "toxic").select("doc_id", "toxic", "fold").join(plain, "doc_id")
+    plain = sp_.kfold_assign(df, "doc_id", None).select("doc_id", F.col("fold").alias("plain_fold"))
+    return sp_.kfold_assign(df, "doc_id", "toxic").select("doc_id", "toxic", "fold").join(plain, "doc_id")
 
 
 def _tied(spark, d):
@@ -671,32 +671,29 @@ def distinct_candidates(spark, d):
 
 # --- learning ----------------------------------------------------------------------------------------------------
 
-def _predicted(model, df):
-    """How many rows were scored, and whether positives rank above negatives (fitted scores differ between releases)."""
-    scored = ml.with_probability(model, df).select("vec_id", "label", "score")
-    ranked = mt.roc_auc(scored, "score", "label").select((F.col("roc_auc") > 0.9).alias("ranks_well"))
-    inside = F.col("score").between(0, 1)
-    return scored.agg(
-        F.count("*").alias("n_rows"), F.count(F.when(F.col("label") == 1, 1)).alias("n_positive"),
-        F.count(F.when(inside, 1)).alias("n_scored")).withColumn("ranks_well", F.lit(ranked.first()[0]))
+def _held_out(train, spark, d):
+    """Fitted on four fifths of the rows: how many of the others are scored, and whether positives rank above negatives."""
+    df, names = fx.feature_vectors(spark, d)
+    parts = stored(sp_.stratified_split(df, "vec_id", "label"), "split")
+    model = train(parts.filter("part = 'train'"), names)
+    scored = stored(ml.with_probability(model, parts.filter("part = 'validation'")).select("vec_id", "label", "score"), "scored")
+    auc = mt.roc_auc(scored, "score", "label").first()["roc_auc"]
+    return scored.select("vec_id", "label", F.col("score").between(0, 1).alias("is_probability"), F.lit(auc > 0.8).alias("ranks_well"))
 
 
 @query
 def train_forest(spark, d):
-    df, names = fx.feature_vectors(spark, d)
-    return _predicted(ml.train_forest(df, names), df)
+    return _held_out(ml.train_forest, spark, d)
 
 
 @query
 def train_boosted(spark, d):
-    df, names = fx.feature_vectors(spark, d)
-    return _predicted(ml.train_boosted(df, names), df)
+    return _held_out(ml.train_boosted, spark, d)
 
 
 @query
 def train_logistic(spark, d):
-    df, names = fx.feature_vectors(spark, d)
-    return _predicted(ml.train_logistic(df, names), df)
+    return _held_out(ml.train_logistic, spark, d)
 
 
 @query
@@ -759,10 +756,14 @@ def small_data_guard(spark, d):
 def predict_segments(spark, d):
     df, names = fx.feature_vectors(spark, d)
     bundle = ml.train_classifier(df, "vec_id", names, model_type="logistic")
-    flagged = F.col("extremist_probability") >= F.lit(bundle.threshold)
-    return bundle.predict(df).select(
-        "vec_id", F.col("extremist_probability").between(0, 1).alias("is_probability"),
-        (F.col("is_extremist") == flagged).alias("flag_follows"))
+    held = bundle.validation.select("vec_id", F.lit(True).alias("held"))
+    rows = stored(bundle.predict(df).join(held, "vec_id", "left").select(
+        "vec_id", "label", "extremist_probability", "is_extremist", F.coalesce("held", F.lit(False)).alias("held_out")), "predicted")
+    # rows above the stored cut and below it never mix, and held-out positives rank above negatives
+    cut = rows.agg(F.min(F.when(F.col("is_extremist"), F.col("extremist_probability"))).alias("low"),
+                   F.max(F.when(~F.col("is_extremist"), F.col("extremist_probability"))).alias("high")).first()
+    auc = mt.roc_auc(rows.filter("held_out"), "extremist_probability", "label").first()["roc_auc"]
+    return rows.select("vec_id", "held_out", F.lit(cut["low"] > cut["high"]).alias("cut_apart"), F.lit(auc > 0.9).alias("ranks_well"))
 
 
 @query
