@@ -118,3 +118,38 @@ climb AS (
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
 FROM (SELECT DISTINCT ON (g, leaf_no) * FROM climb ORDER BY g, leaf_no, step DESC), (SELECT h AS root FROM tops WHERE n = 1)
 """
+
+_COMPONENTS = """
+reach AS (
+  SELECT id AS node, id AS component FROM nodes
+  UNION
+  SELECT v, component FROM reach JOIN links ON u = node AND component < v),
+least AS (SELECT node, min(component) AS component FROM reach GROUP BY node)"""
+
+#: A link's larger end is reached from the smaller components on its other end.
+JACCARD = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id AS id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+nodes AS (
+  SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+members AS (SELECT id, len(s) AS n, unnest(s) AS m FROM nodes),
+shared AS (SELECT a.id AS u, b.id AS v, a.n AS nu, b.n AS nv, count(*) AS k FROM members a JOIN members b ON a.m = b.m AND a.id < b.id
+  WHERE a.n * 100 >= b.n * 90 AND b.n * 100 >= a.n * 90 GROUP BY ALL),
+pairs AS (SELECT u, v FROM shared WHERE 100 * k >= 90 * (nu + nv - k)),
+links AS (SELECT u, v FROM pairs UNION SELECT v, u FROM pairs),
+{_COMPONENTS}
+SELECT id AS doc_id, len(s)::BIGINT AS n_shingles, component AS component_id FROM nodes JOIN least ON node = id
+"""
+
+#: Every pair is compared; the operator finds all of them where they are at least its recall apart from the cut.
+NEAR_VECTORS = f"""
+WITH RECURSIVE nodes AS (
+  SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+unit AS (SELECT id, list_transform(x, lambda c: c / sqrt(list_dot_product(x, x))) AS x FROM nodes
+  WHERE x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_dot_product(x, x) > 0),
+links AS (SELECT a.id AS u, b.id AS v FROM unit a JOIN unit b ON a.id <> b.id AND list_dot_product(a.x, b.x) >= 0.95),
+{_COMPONENTS}
+SELECT id AS vec_id, (SELECT count(*) FROM links WHERE u = id) AS n_links, component AS component_id, component = id AS kept
+FROM nodes JOIN least ON node = id
+"""

@@ -108,6 +108,8 @@ QUERIES = {
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 SQL: dict[str, str] = {
+    "op4_ngram_jaccard_join": oracle.JACCARD,
+    "op10_embedding_near_dedup": oracle.NEAR_VECTORS,
     "op11_exact_top_k_search": oracle.TOP_K,
     "op12_target_resampling": oracle.TARGET_RESAMPLING,
     "op13_merkle_manifest": oracle.MANIFEST,
