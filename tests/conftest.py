@@ -2,6 +2,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -11,9 +12,13 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    SparkContext._ensure_initialized()  # so that the machine's defaults are read
+    builder = SparkSession.builder
+    if not SparkConf().contains("spark.checkpoint.dir"):
+        builder = builder.config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     session = (
-        SparkSession.builder.master("local[8]").appName("voxsieve-tests")
+        builder.master("local[8]").appName("voxsieve-tests")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")

@@ -74,6 +74,7 @@ def align_nearest(left: DataFrame, right: DataFrame, key: str = "file", left_mid
 def align_positional(left: DataFrame, right: DataFrame, key: str = "file", index: str = "seg_idx",
                      settings: Settings = DEFAULTS) -> DataFrame:
     """The i-th left row of a recording with its i-th surviving right row; no match leaves nulls."""
+    right = stored(right, "surviving")  # numbered and counted: evaluated once
     sliced = right.withColumn("_slice", index_slices(F.col(index), settings.rows_per_slice))
     placed = (
         row_numbers(sliced, [key], "_slice", [F.col(index)], "_rn")

@@ -67,6 +67,13 @@ def with_model_probability(df: DataFrame, bundle: Bundle) -> DataFrame:
     return scored.select("_row.*", "model_probability")
 
 
+#: What result documents, errors and the rollup need of a decided segment.
+DECIDED = frozenset((
+    "file", "seg_idx", "language", "start_s", "end_s", "text", "is_blank", "extreme", "emotion", "emotion_score", "hate_target",
+    "hate_target_confidence", "detected_issues", "sarcasm", "overall_toxicity", "is_toxic", "is_extremist",
+    "extremist_probability", "heuristic_used", "heuristic_confidence", "error"))
+
+
 def score_recordings(transcripts: DataFrame, lexicon: DataFrame, acoustic: DataFrame | None = None,
                      bundle: Bundle | None = None, settings: Settings = DEFAULTS,
                      make_scorer: Callable[[], Scorer] | None = None, store: bool = False) -> ScoredRecordings:
@@ -75,7 +82,7 @@ def score_recordings(transcripts: DataFrame, lexicon: DataFrame, acoustic: DataF
     With `acoustic` (file, seg_idx and acoustic columns of surviving segments) rows are paired by
     position; without it, delivery is estimated from the text and everything up to the rollup is
     one pass without a shuffle. With `bundle` the trained model decides, otherwise the heuristic.
-    `store` writes the segment decisions once, for callers that use them besides the statistics.
+    `store` writes the segment decisions (columns DECIDED) once, for callers that use them besides the statistics.
     """
     scored = scored_segments(transcripts, lexicon, settings, make_scorer=make_scorer)
     if acoustic is None:
@@ -92,7 +99,7 @@ def score_recordings(transcripts: DataFrame, lexicon: DataFrame, acoustic: DataF
         "model_threshold": F.lit(bundle.threshold if bundle else settings.decision_threshold)})
     outcomes = with_segment_outcome(ready, settings)
     if store:
-        outcomes = stored(outcomes, "segments")
+        outcomes = stored(outcomes.select(*[c for c in outcomes.columns if c in DECIDED]), "segments")
     statistics = recording_rollup(outcomes, settings).withColumn("result", verdict_message())
     return ScoredRecordings(outcomes, statistics)
 
