@@ -3,10 +3,11 @@
 A window is the shortest run of whole lines, from a given line on or up to a given line, that holds
 `min_words` words; it depends on its own lines alone. Each window's smallest line hash is selected as
 a fingerprint, so every repeated run of `min_words` words or more shares a fingerprint in all its
-copies (the winnowing guarantee). Fingerprints that occur in one place only are dropped; at the
-positions of the others the windows are joined, and windows that are not the first of their content
-mark their lines. Windows start at every line and end at every line, so the marked lines reach as
-far to both sides as the repeat does. Marked lines are deleted.
+copies (the winnowing guarantee). Neighbouring windows mostly select the same position, so there are
+far fewer fingerprints than windows, and a fingerprint that is selected at one position only belongs to
+no repeat: its windows go no further. At the positions of the others the windows around them are joined,
+and those that are not the first of their content mark their lines. Windows start at every line and end at
+every line, so the marked lines reach as far to both sides as the repeat does. Marked lines are deleted.
 
 Result per row, whatever the order of rows: a line is deleted if and only if it lies in a run of
 lines with `min_words` words or more that occurs earlier, by (id, line number). Lines are equal if
@@ -16,7 +17,8 @@ they lie between deleted lines of one window.
 Defined cases: null text stays null and has no lines; an empty text is one line without words. Rows
 with an equal id are told apart by their content's hash, and equal rows stand at one place: they
 keep or lose the same lines. Rows without id come after all others and are kept as they are unless
-they repeat another row's lines.
+they repeat another row's lines. Of equal line hashes in a window the first is selected. Texts are read
+whole, whatever their length. Columns named like the added ones are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -68,7 +70,7 @@ def _window_rows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in sliced(batch, "text"):
-                rows, key, print_, content, first, last = [], [], [], [], [], []
+                rows, key, print_, at_, content, first, last = [], [], [], [], [], [], []
                 for r, text in enumerate(texts.to_pylist()):
                     _, lines, counts = split_lines(text)
                     spans = windows(counts, min_words)
@@ -81,31 +83,34 @@ def _window_rows(min_words: int):
                     whole = row_digest(digests)
                     for (a, b), (i, j) in zip(spans.tolist(), at.tolist(), strict=True):
                         inside = own[i:j + 1]
+                        least = min(inside)
+                        at_.append(i + inside.index(least))
                         rows.append(r)
                         key.append(whole)
-                        print_.append(int.from_bytes(min(inside)[:8], "little", signed=True))
+                        print_.append(int.from_bytes(least[:8], "little", signed=True))
                         content.append(hashlib.blake2b(b"".join(inside), digest_size=16).digest())
                         first.append(a)
                         last.append(b)
-                ids = part.column(0).take(pa.array(rows, pa.int64()))
+                taken = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_pydict({
-                    "id": ids, "row_key": pa.array(key, pa.binary()), "print": pa.array(print_, pa.int64()),
+                    "id": part.column(0).take(taken), "h": part.column(2).take(taken), "at": pa.array(at_, pa.int32()), "row_key": pa.array(key, pa.binary()), "print": pa.array(print_, pa.int64()),
                     "content": pa.array(content, pa.binary()), "first": pa.array(first, pa.int32()),
                     "last": pa.array(last, pa.int32())})
     return run
 
 
 def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(id, row_key, first, last) of windows whose content occurs earlier."""
+    """(id, h, row_key, first, last) of windows whose content occurs earlier; h is a hash of the whole text."""
     found = stored(
-        docs.select("id", "text").filter(F.col("text").isNotNull())
+        docs.select("id", "text", F.xxhash64("text").alias("h")).filter(F.col("text").isNotNull())
         .mapInArrow(_window_rows(min_words),
-                    "id long, row_key binary, print long, content binary, first int, last int"), "windows")
+                    "id long, h long, at int, row_key binary, print long, content binary, first int, last int"), "windows")
     place = F.struct(F.col("id").isNull().alias("x"), "id", "row_key", "first", "last")
-    # a fingerprint that marks one content in one place cannot repeat
+    # a fingerprint that is selected at one position only cannot repeat
+    position = F.struct(F.col("id").isNull().alias("x"), "id", "row_key", "at")
     prints = stored(
-        found.groupBy("print").agg(F.count("*").alias("n"), F.min("content").alias("a"), F.max("content").alias("b"))
-        .filter("n > 1").select("print"), "prints")
+        found.groupBy("print").agg(F.min(position).alias("a"), F.max(position).alias("b"))
+        .filter("a <> b").select("print"), "prints")
     shared = found.join(prints, "print", "left_semi")
     earliest = stored(shared.groupBy("content").agg(F.min(place).alias("at"), F.count("*").alias("n")), "earliest")
     # all but the first of each content; the join key holds the place, so a common run is no hot key
@@ -115,7 +120,7 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
         F.col("s.id").eqNullSafe(F.col("f.id")) & (F.col("s.row_key") == F.col("f.row_key"))
         & (F.col("s.first") == F.col("f.first")) & (F.col("s.last") == F.col("f.last"))
         & (F.col("s.content") == F.col("f.content")), "left_anti")
-    return later.select("id", "row_key", "first", "last")
+    return later.select("id", "h", "row_key", "first", "last")
 
 
 OUTPUT = (("n_lines", T.LongType()), ("n_removed_lines", T.LongType()), ("n_removed_words", T.LongType()),
@@ -155,13 +160,14 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id"
     """All rows and columns, `text` without the deleted lines, and n_lines, n_removed_lines, n_removed_words."""
     kept = [c for c in docs.columns if c not in {n for n, _ in OUTPUT} | {text}]
     plain = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    marks = repeated_windows(plain, min_words).groupBy("id", "row_key").agg(
+    marks = repeated_windows(plain, min_words).groupBy("id", "h", "row_key").agg(
         F.collect_set(F.struct("first", "last")).alias("_spans"))
-    per_id = marks.groupBy("id").agg(F.collect_list(F.struct("row_key", F.col("_spans").alias("spans"))).alias("_marks"))
+    # with the hash, so that rows without id are not one key
+    per_row = marks.groupBy("id", "h").agg(F.collect_list(F.struct("row_key", F.col("_spans").alias("spans"))).alias("_marks"))
     joined = docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in kept], F.col(f"`{text}`").alias("_text"),
-                         F.col(f"`{key}`").cast("long").alias("_id"))
-    joined = joined.join(per_id, F.col("_id").eqNullSafe(F.col("id")), "left")
-    joined = joined.drop("id", "_id")
+                         F.col(f"`{key}`").cast("long").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_h"))
+    joined = joined.join(per_row, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_h") == F.col("h")), "left")
+    joined = joined.drop("id", "_id", "h", "_h")
     columns = [f"k_{c}" for c in kept]
     fields = [T.StructField(f"k_{c}", docs.schema[c].dataType) for c in kept]
     schema = T.StructType([*fields, *[T.StructField(n, t) for n, t in OUTPUT]])
