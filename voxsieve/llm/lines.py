@@ -111,12 +111,13 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
     prints = stored(
         found.groupBy("print").agg(F.min(position).alias("a"), F.max(position).alias("b"))
         .filter("a <> b").select("print"), "prints")
-    shared = found.join(prints, "print", "left_semi")
+    # the same plan at every size: small tables are not broadcast
+    shared = found.join(prints.hint("merge"), "print", "left_semi")
     earliest = stored(shared.groupBy("content").agg(F.min(place).alias("at"), F.count("*").alias("n")), "earliest")
     # all but the first of each content; the join key holds the place, so a common run is no hot key
     firsts = earliest.select("content", F.col("at.id").alias("id"), "at.row_key", "at.first", "at.last")
     later = shared.alias("s").join(
-        firsts.alias("f"),
+        firsts.alias("f").hint("merge"),
         F.col("s.id").eqNullSafe(F.col("f.id")) & (F.col("s.row_key") == F.col("f.row_key"))
         & (F.col("s.first") == F.col("f.first")) & (F.col("s.last") == F.col("f.last"))
         & (F.col("s.content") == F.col("f.content")), "left_anti")
@@ -166,7 +167,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id"
     per_row = marks.groupBy("id", "h").agg(F.collect_list(F.struct("row_key", F.col("_spans").alias("spans"))).alias("_marks"))
     joined = docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in kept], F.col(f"`{text}`").alias("_text"),
                          F.col(f"`{key}`").cast("long").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_h"))
-    joined = joined.join(per_row, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_h") == F.col("h")), "left")
+    joined = joined.join(per_row.hint("merge"), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_h") == F.col("h")), "left")
     joined = joined.drop("id", "_id", "h", "_h")
     columns = [f"k_{c}" for c in kept]
     fields = [T.StructField(f"k_{c}", docs.schema[c].dataType) for c in kept]
