@@ -116,6 +116,49 @@ def test_local_search_saves_a_bin():
             assert sizes[items].sum() == f <= 100
 
 
+def fewest_bins(sizes, capacity):
+    """By dynamic programming over all subsets: (bins, least fill of the last one)."""
+    best = [(1, 0)] + [(len(sizes) + 1, 0)] * ((1 << len(sizes)) - 1)
+    for held in range(1, 1 << len(sizes)):
+        for i, size in enumerate(sizes):
+            if held >> i & 1:
+                n, fill = best[held ^ 1 << i]
+                best[held] = min(best[held], (n, fill + size) if fill + size <= capacity else (n + 1, size))
+    return best[-1][0]
+
+
+def test_local_search_against_an_exact_packer():
+    rng = np.random.default_rng(8)
+    plain, searched, exact = 0, 0, 0
+    for _ in range(60):
+        cuts = [np.sort(rng.choice(np.arange(26, 75), 2, replace=False)) for _ in range(3)]
+        sizes = np.concatenate([np.diff([0, *c, 100]) for c in cuts]).astype(np.int64)
+        bins = packing.Bins(sizes, 100)
+        bins.best_fit()
+        plain += len(bins.items)
+        searched += len(packing.pack_lengths(sizes, 100))
+        exact += fewest_bins(sizes.tolist(), 100)
+    assert exact <= searched < plain
+    assert plain - searched >= (plain - exact) / 2  # half of what best fit wastes, at least
+
+
+def test_local_search_on_hard_lengths():
+    """Three that fill a sequence exactly, each above a quarter of it: best fit pairs the wrong ones."""
+    rng = np.random.default_rng(2)
+    first = rng.integers(1100, 1700, 300)
+    second = rng.integers(1100, 1400, 300)
+    sizes = np.concatenate([first, second, 4096 - first - second]).astype(np.int64)
+    bins = packing.Bins(sizes, 4096)
+    bins.best_fit()
+    before = len(bins.items)
+    bins.improve()
+    used = [b for b in bins.items if b]
+    assert sorted(i for b in used for i in b) == list(range(len(sizes)))
+    assert all(sizes[b].sum() <= 4096 for b in used)
+    assert 300 <= len(used) < before
+    assert len(packing.pack_lengths(np.full(16_384, 1400), 4096)) == 8192  # nothing helps, and all bins are alike
+
+
 def plain_line_dedup(rows, least):
     """Runs of whole lines with `least` words or more that occur earlier, by comparing word by word."""
     texts = {i: [tuple(x.encode().split()) for x in t.split("\n")] for i, t in rows if t is not None}

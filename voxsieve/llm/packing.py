@@ -3,7 +3,8 @@
 Pieces are dealt evenly over groups of bounded size by a number given at the first write, so equal
 or repeated rows never gather in one task. In each group best fit places pieces from long to short;
 then documents are moved or exchanged (one for one, two for one) between underfull bins whenever
-that increases the sum of squared fills, which fills some bins and empties others. Bins that stay
+that increases the sum of squared fills, which fills some bins and empties others. The search looks at
+every item of every underfull bin, and goes on until no exchange helps. Bins that stay
 underfull are opened and their pieces go to the next, far smaller round.
 
 Null or empty text is one piece that holds the end id alone. Ties are broken by the dealt number.
@@ -86,74 +87,98 @@ class Bins:
     def least(self) -> int:
         return -(-int(self.lengths.sum()) // self.capacity)
 
-    def improve(self, rounds: int = 64) -> None:
-        """Local search between underfull bins; ends when no exchange helps or no bin can be saved."""
-        for _ in range(rounds):
-            if sum(f > 0 for f in self.fill) <= self.least():
-                return
-            under = [b for b, f in enumerate(self.fill) if 0 < f < self.capacity]
-            if len(under) < 2:
-                return
-            if not any([self._relieve(b) for b in sorted(under, key=self.fill.__getitem__)[:8]]):
-                return
+    def improve(self) -> None:
+        """Local search over all underfull bins; ends when no exchange helps or no bin can be saved.
+
+        Every exchange raises the sum of squared fills, so the search ends. Bins of equal contents
+        fail alike, so after a failure the others are passed over until something has changed.
+        """
+        self.bin_of = np.zeros(len(self.lengths), np.int64)
+        for b, items in enumerate(self.items):
+            self.bin_of[items] = b
+        least, helped = self.least(), True
+        while helped:
+            helped = False
+            failed: set[bytes] = set()
+            for a in sorted(range(len(self.fill)), key=self.fill.__getitem__):
+                while 0 < self.fill[a] < self.capacity:
+                    if sum(f > 0 for f in self.fill) <= least:
+                        return
+                    held = np.sort(self.lengths[self.items[a]]).tobytes()
+                    if held in failed or not self._relieve(a):
+                        failed.add(held)
+                        break
+                    failed.clear()
+                    helped = True
 
     def _relieve(self, a: int) -> bool:
-        """Moves or exchanges what bin `a` holds while that increases the squared fill."""
-        changed = False
-        for x in sorted(self.items[a], key=lambda i: -self.lengths[i]):
-            others = [b for b, f in enumerate(self.fill) if b != a and self.fill[a] <= f < self.capacity]
-            if not others:
-                break
-            size = int(self.lengths[x])
-            room = np.array([self.capacity - self.fill[b] for b in others])
-            fits = np.flatnonzero(room >= size)
-            if len(fits):
-                self._exchange(a, others[fits[room[fits].argmin()]], [x], [])
-                changed = True
-                continue
-            held = [(k, y) for k, b in enumerate(others) for y in self.items[b]]
-            owner = np.array([k for k, _ in held])
-            sizes = self.lengths[[y for _, y in held]]
-            gain = np.where((sizes < size) & (size - sizes <= room[owner]), size - sizes, 0)
-            best, give, take = int(gain.max()), None, [x]
-            if best > 0:
-                k, y = held[int(gain.argmax())]
-                give = (others[k], [y])
-            # two of another bin for this one, and two of this bin for one of another
-            for k, b in enumerate(others[:256]):
-                pair = self._pair(self.items[b], size, int(room[k]))
-                if pair and pair[0] > best:
-                    best, give, take = pair[0], (b, pair[1]), [x]
-            if give is None:
-                for z in self.items[a]:
-                    if z == x:
-                        continue
-                    both = size + int(self.lengths[z])
-                    gain = np.where((sizes < both) & (both - sizes <= room[owner]), both - sizes, 0)
-                    if gain.max() > best:
-                        k, y = held[int(gain.argmax())]
-                        best, give, take = int(gain.max()), (others[k], [y]), [x, z]
-            if give:
-                self._exchange(a, give[0], take, give[1])
-                return True
-        return changed
-
-    def _pair(self, items: list[int], size: int, room: int) -> tuple[int, list[int]] | None:
-        best: tuple[int, list[int]] | None = None
-        order = sorted(items, key=lambda i: self.lengths[i])[:64]
-        for n, y in enumerate(order):
-            for z in order[n + 1:]:
-                gain = size - int(self.lengths[y]) - int(self.lengths[z])
-                if gain <= 0:
-                    break
-                if gain <= room and (best is None or gain > best[0]):
-                    best = gain, [y, z]
-        return best
+        """Makes the exchange of bin `a` with another underfull bin that raises the squared fill most, if any does.
+
+        Where d tokens more leave `a` than come back, the raise is 2 d (other's fill - own fill + d). Among what
+        fits a bin, the largest d is best, so for each partner one binary search finds its companion.
+        """
+        fill, lengths, capacity = np.array(self.fill), self.lengths, self.capacity
+        best, found = 0, None  # the partner, what goes, what comes back
+
+        def consider(d: np.ndarray, b: np.ndarray) -> int | None:
+            nonlocal best
+            if not len(d):
+                return None
+            gain = np.where((d > 0) & (d <= capacity - fill[b]), d * (fill[b] - fill[a] + d), 0)
+            k = int(gain.argmax())
+            if gain[k] <= best:
+                return None
+            best = int(gain[k])
+            return k
+
+        open_ = (fill > 0) & (fill < capacity)
+        open_[a] = False
+        bins = np.flatnonzero(open_)
+        others = np.flatnonzero(open_[self.bin_of])
+        # by bin, then by length: the companions of an item are a stretch
+        width = capacity + 1
+        order = np.argsort(self.bin_of[others] * width + lengths[others], kind="stable")
+        others = others[order]
+        owner, size = self.bin_of[others], lengths[others]
+        keys = owner * width + size
+        room = capacity - fill[owner]
+        mine = np.array(self.items[a])
+        sizes, first, count = np.unique(lengths[mine], return_index=True, return_counts=True)
+        for x, s in zip(mine[first].tolist(), sizes.tolist(), strict=True):
+            if (k := consider(np.full(len(bins), s), bins)) is not None:
+                found = int(bins[k]), [x], []
+            if (k := consider(s - size, owner)) is not None:
+                found = int(owner[k]), [x], [int(others[k])]
+            # two of another bin for one of this: the shortest companion that leaves no more than the room
+            at = np.searchsorted(keys, owner * width + np.maximum(s - size - room, 0))
+            at += at == np.arange(len(keys))
+            ok = np.flatnonzero(at < len(keys))
+            ok = ok[owner[at[ok]] == owner[ok]]
+            if (k := consider(s - size[ok] - size[at[ok]], owner[ok])) is not None:
+                found = int(owner[ok[k]]), [x], [int(others[ok[k]]), int(others[at[ok[k]]])]
+        # two of this bin for one of another: the longest two that fit
+        i, j = np.triu_indices(len(sizes))
+        twice = (i != j) | (count[i] > 1)
+        i, j = i[twice], j[twice]
+        both = sizes[i] + sizes[j]
+        rank = np.argsort(both, kind="stable")
+        if len(both):
+            at = np.searchsorted(both[rank], size + room, side="right") - 1
+            ok = np.flatnonzero(at >= 0)
+            if (k := consider(both[rank[at[ok]]] - size[ok], owner[ok])) is not None:
+                pair = rank[at[ok[k]]]
+                x = mine[lengths[mine] == sizes[i[pair]]][0]
+                y = mine[lengths[mine] == sizes[j[pair]]][-1]
+                found = int(owner[ok[k]]), [int(x), int(y)], [int(others[ok[k]])]
+        if found:
+            self._exchange(a, *found)
+        return found is not None
 
     def _exchange(self, a: int, b: int, take: list[int], give: list[int]) -> None:
         """`take` goes from bin a to bin b and `give` back."""
         self.items[a] = [i for i in self.items[a] if i not in take] + give
         self.items[b] = [i for i in self.items[b] if i not in give] + take
+        self.bin_of[take], self.bin_of[give] = b, a
         delta = int(self.lengths[take].sum()) - int(self.lengths[give].sum() if give else 0)
         self.fill[a] -= delta
         self.fill[b] += delta
