@@ -203,6 +203,48 @@ def test_licence_places_equal_plain_version(spark):
     assert licences.scan(df.filter("false")).count() == 0
 
 
+def plain_chain(matches):
+    """Words of the best chain, looking back at all matches."""
+    matches, best = sorted(set(matches)), []
+    for i, (at, start, n) in enumerate(matches):
+        before = [0]
+        for j, (p, q, m) in enumerate(matches[:i]):
+            over = max(0, p + m - at, q + m - start)
+            if p < at and q < start and over < n and at - p <= 4 * (start - q) + 20:
+                before.append(best[j] - over)
+        best.append(n + max(before))
+    return max(best)
+
+
+def test_chains_equal_plain_version():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        matches = [(int(rng.integers(0, 900)), int(rng.integers(0, 60)), int(rng.integers(4, 12))) for _ in range(80)]
+        links = licences.chain(matches)
+        words = sum(n for _, _, n in links) - sum(
+            max(0, p + m - at, q + m - start) for (p, q, m), (at, start, _) in zip(links, links[1:]))
+        assert words == plain_chain(matches)
+
+
+def test_long_file_of_many_notices(spark):
+    text = " filler ".join([licences.TEMPLATES["bsd-text"]] * 3000)
+    row = licences.scan(frame(spark, [(1, text), (1, text)], "doc_id long, text string")).collect()
+    assert len(row) == 2 and row[0] == row[1]  # repeated rows stay
+    assert row[0]["labels"] == "bsd-text" and row[0]["score"] == 1.0
+
+
+def test_every_place_of_a_run_in_a_template():
+    a = licences.automaton()
+    t = list(licences.TEMPLATES).index("bsd-text")
+    words = licences._tokens(licences.TEMPLATES["bsd-text"])
+    run = licences._tokens("this list of conditions and the following disclaimer")
+    names = list(dict.fromkeys(w for r in [*licences.TEMPLATES.values(), *licences.PHRASES] for w in licences._tokens(r)))
+    *_, (_, state, size) = licences.stream(a, [names.index(w) for w in run])
+    assert size == len(run)
+    want = [k + size for k in range(len(words)) if words[k:k + size] == run]
+    assert a.ends[state][t] == want and len(want) == 2
+
+
 def test_matching_statistics_equal_plain_version():
     a = licences.automaton()
     runs = [licences._tokens(t) for t in licences.TEMPLATES.values()] + [p.split() for p in licences.PHRASES]

@@ -57,6 +57,30 @@ that the following conditions are met: Redistributions of source code must retai
 of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice,
 this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
 distribution.""",
+    "bsd-3-clause": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission.""",
+    "bsd-disclaimer": """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the
+authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this
+software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the
+following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the
+original software. If you use this software in a product, an acknowledgment in the product documentation would be
+appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be
+misrepresented as being the original software. 3. This notice may not be removed or altered from any source
+distribution.""",
+    "unlicense-text": """This is free and unencumbered software released into the public domain. Anyone is free to copy,
+modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for
+any purpose, commercial or non-commercial, and by any means.""",
+    "boost-text": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the
+software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom
+the Software is furnished to do so, all subject to the following:""",
     "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
 hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
     "mpl-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of
@@ -79,7 +103,7 @@ class Automaton:
     next: list[dict[int, int]]
     link: list[int]
     length: list[int]
-    ends: list[dict[int, int]]
+    ends: list[dict[int, list[int]]]
     phrases: list[list[int]]
     word_of: Table
     pairs: Table
@@ -100,7 +124,7 @@ def automaton() -> Automaton:
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for r in runs for w in r))}
     nxt: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
-    ends: list[dict[int, int]] = [{}]
+    ends: list[dict[int, list[int]]] = [{}]
 
     def clone(p: int, q: int, w: int) -> int:
         new = len(nxt)
@@ -137,7 +161,7 @@ def automaton() -> Automaton:
             state = nxt[state][vocabulary[w]]
             s = state
             while s > 0:  # the position, for every run that ends there
-                ends[s].setdefault(t, k + 1)
+                ends[s].setdefault(t, []).append(k + 1)
                 s = link[s]
         if t >= len(TEMPLATES):
             phrases[state].append(t - len(TEMPLATES))
@@ -168,13 +192,20 @@ def stream(a: Automaton, ids: list[int]) -> Iterator[tuple[int, int, int]]:
 
 def chain(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The chain of most words among matches (first word, template start, words) of one template, in the
-    order of text and template; overlaps count once."""
+    order of text and template; overlaps count once.
+
+    Neighbours of a chain are at most four times as far apart in the text as in the template, and 20 words more.
+    So only matches within that reach of the whole template are looked back at, however long the text is.
+    """
     matches = sorted(set(matches))
     best: list[int] = []
     before: list[int] = []
+    reach, low = 4 * max(start for _, start, _ in matches) + 20, 0
     for i, (at, start, n) in enumerate(matches):
         best.append(n), before.append(-1)
-        for j in range(i):
+        while at - matches[low][0] > reach:
+            low += 1
+        for j in range(low, i):
             p, q, m = matches[j]
             over = max(0, p + m - at, q + m - start)
             if p < at and q < start and over < n and at - p <= 4 * (start - q) + 20 and best[j] + n - over > best[i]:
@@ -200,9 +231,9 @@ def scan_words(a: Automaton, stretches: list[tuple[int, list[int]]]) -> tuple[li
             # a match that the next word does not lengthen
             last = k + 1 == len(steps) or steps[k + 1][2] <= size
             if last and size >= LEAST_MATCH:
-                for t, end in a.ends[state].items():
+                for t, ends in a.ends[state].items():
                     if t < a.n_templates:
-                        found.setdefault(t, []).append((begin + k - size + 1, end - size, size))
+                        found.setdefault(t, []).extend((begin + k - size + 1, end - size, size) for end in ends)
     spans = {}
     for t, matches in found.items():
         links = chain(matches)
