@@ -91,6 +91,20 @@ def test_toxicity_defined_cases(spark):
     assert all(0 <= r["score"] <= 1 for r in toxicity.predict(docs, untrained).collect())
 
 
+def test_toxicity_of_long_and_repeated_texts(spark):
+    """The classifier over votes and words, from labels: repeated rows score alike, the end of a long text counts."""
+    calm, rude = "a quiet day by the lake with friends", "you idiot moron scum that nobody wants"
+    docs = frame(spark, [(i, f"{rude if i % 3 == 0 else calm} number {i % 7}") for i in range(300)], "id long, text string")
+    labels = docs.select("id", (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    model = toxicity.train(docs, labels)
+    assert len(model.on_votes) == 2 * (toxicity.N_SEED + toxicity.VOTERS)
+    long = "calm water " * 20_000
+    rows = [(1, rude, 5.0), (1, rude, 5.0), (2, calm, 5.0), (3, long, 5.0), (4, f"{long}you idiot moron scum", 5.0)]
+    got = toxicity.predict(frame(spark, rows, "id long, text string, score double"), model).collect()
+    by = {r["id"]: r["score"] for r in got}
+    assert len(got) == 5 and got[0] == got[1] and by[1] > 0.3 > by[2] and by[4] > by[3]
+
+
 def test_label_model_finds_the_better_voters():
     rng = np.random.default_rng(3)
     y = rng.random(20_000) < 0.2

@@ -6,15 +6,16 @@ and word beginnings, whose share of toxic texts lies far above the base rate - d
 voters, so that one wrong word does not decide. The label model estimates each voter's accuracy from
 how voters agree with one another (moments over all rows, no labels), and the correlation of voters
 that agree more than their accuracies explain shares their weight. Posterior labels train a linear
-classifier over hashed words and word beginnings, and its output is put on the scale of
-the given labels on a sample of labelled rows.
+classifier over the votes and over hashed words and word beginnings; its margin alone is the score, put on
+the scale of the given labels on a sample of labelled rows.
 
 The lexicons are induced from at most LABELS labelled rows, counted per hash bucket within each task;
 the moments cover all rows and are a table of voters x voters; the classifier is fitted on at most
 SAMPLE labelled rows, and the scale on at most as many others.
 
 Defined cases: null or empty text has no features and gets the score of its absent votes. Without
-labelled rows the seed voters alone decide.
+labelled rows the seed voters alone decide. Texts are scored whole, however long; equal texts and
+repeated rows get equal scores; input columns named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -167,31 +168,40 @@ def label_model(n: float, first: np.ndarray, second: np.ndarray) -> LabelModel:
     return LabelModel(prior, on_toxic, on_clean, weight)
 
 
+def vote_features(votes: np.ndarray) -> np.ndarray:
+    """One column for each voter's vote toxic, then one for each vote clean."""
+    return np.concatenate([votes > 0, votes < 0], 1).astype(np.float64)
+
+
 @dataclass
 class Classifier:
-    """Weights over feature buckets, and the line from its margin to a log-odds of the given labels."""
+    """Weights over feature buckets and votes, and the line from its margin to a log-odds of the given labels."""
 
     weights: np.ndarray
     bias: float
     voters: Voters
     labels: LabelModel
-    slope: np.ndarray
-    shift: float
+    slope: float = 1.0
+    shift: float = 0.0
+    on_votes: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def margins(self, texts: pa.Array) -> np.ndarray:
-        """Two columns: the linear classifier's margin, and the label model's log-odds."""
+        """The linear classifier's margin; the label model's log-odds where there was no row to fit one on."""
         rows, keys = word_features(texts)
-        p = np.clip(self.labels.posterior(self.voters.votes(texts, rows, keys)), 1e-6, 1 - 1e-6)
+        votes = self.voters.votes(texts, rows, keys)
+        if not len(self.on_votes):
+            p = np.clip(self.labels.posterior(votes), 1e-6, 1 - 1e-6)
+            return np.clip(np.log(p / (1 - p)), -BOUND, BOUND)
         b = weight_bucket(keys)
         on = self.weights[b] != 0
         rows, b = once_per_row(rows[on], b[on])
         z = np.bincount(rows, weights=self.weights[b], minlength=len(texts))  # whole numbers where no feature counts
         z = z / np.sqrt(np.maximum(np.bincount(rows, minlength=len(texts)), 1))
         # far margins say no more than near ones about how often voters are wrong
-        return np.clip(np.stack([z + self.bias, np.log(p / (1 - p))], 1), -BOUND, BOUND)
+        return np.clip(z + vote_features(votes) @ self.on_votes + self.bias, -BOUND, BOUND)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margins(texts) @ self.slope + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.margins(texts) * self.slope + self.shift, -30, 30)))
 
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,20 +258,24 @@ def vote_moments(docs: DataFrame, voters: Voters) -> tuple[float, np.ndarray, np
     return max((r["n"] for r in rows), default=0.0), np.diag(second).copy(), second
 
 
-def _logistic(rows: np.ndarray, cols: np.ndarray, n: int, y: np.ndarray, size: int, rounds: int = 60,
-              penalty: float = 0.1) -> tuple[np.ndarray, float]:
-    """Logistic regression on sparse rows of length 1 with soft labels, by Adagrad over all rows."""
+def _logistic(rows: np.ndarray, cols: np.ndarray, votes: np.ndarray, y: np.ndarray, size: int, rounds: int = 60,
+              penalty: float = 0.1) -> tuple[np.ndarray, np.ndarray, float]:
+    """Logistic regression on sparse rows of length 1 and dense votes with soft labels, by Adagrad over all rows."""
+    n, u, u_squares = len(votes), np.zeros(votes.shape[1]), np.full(votes.shape[1], 1e-8)
     value = 1 / np.sqrt(np.maximum(np.bincount(rows, minlength=n), 1))[rows]
     w, b, squares, b_square = np.zeros(size), 0.0, np.full(size, 1e-8), 1e-8
     for _ in range(rounds):
-        z = np.bincount(rows, weights=w[cols] * value, minlength=n) + b
+        z = np.bincount(rows, weights=w[cols] * value, minlength=n) + votes @ u + b
         g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
         grad = np.bincount(cols, weights=g[rows] * value, minlength=size) / n + penalty * w / n
         squares += grad ** 2
         w -= 0.5 * grad / np.sqrt(squares)
+        grad = (votes.T @ g + penalty * u) / n
+        u_squares += grad ** 2
+        u -= 0.5 * grad / np.sqrt(u_squares)
         b_square += g.mean() ** 2
         b -= 0.5 * g.mean() / np.sqrt(b_square)
-    return w, b
+    return w, u, b
 
 
 def with_labels(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
@@ -290,16 +304,17 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = LABELS, sample:
                 rows, keys = word_features(texts)
                 own, b = once_per_row(rows, weight_bucket(keys))
                 at = np.searchsorted(own, np.arange(len(texts) + 1)) * 4
-                raw = b.astype("<u4").tobytes()
+                raw, votes = b.astype("<u4").tobytes(), v.votes(texts, rows, keys)
                 yield pa.RecordBatch.from_pydict({
                     "toxic": part.column(part.schema.get_field_index("toxic")),
-                    "posterior": pa.array(model.posterior(v.votes(texts, rows, keys))),
+                    "posterior": pa.array(model.posterior(votes)),
+                    "votes": pa.array([x.tobytes() for x in votes], pa.binary()),
                     "features": pa.array([raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())})
 
     drawn = with_labels(docs, for_fit, sample)
-    rows = drawn.mapInArrow(features, "toxic int, posterior double, features binary").toArrow()
+    rows = drawn.mapInArrow(features, "toxic int, posterior double, votes binary, features binary").toArrow()
     n = rows.num_rows
-    fitted = Classifier(np.zeros(FEATURES), 0.0, voters, model, np.array([0.0, 1.0]), 0.0)
+    fitted = Classifier(np.zeros(FEATURES), 0.0, voters, model)
     if not n:
         return fitted
     posterior = rows.column("posterior").to_numpy()
@@ -308,23 +323,21 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = LABELS, sample:
     # features in two texts at least
     often = np.bincount(col, minlength=FEATURES) > 1
     row, col = row[often[col]], col[often[col]]
-    fitted.weights, fitted.bias = _logistic(row, col, n, posterior, FEATURES)
+    votes = np.stack([np.frombuffer(b, np.int8) for b in rows.column("votes").to_pylist()])
+    fitted.weights, fitted.on_votes, fitted.bias = _logistic(row, col, vote_features(votes), posterior, FEATURES)
     whole = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in sliced(batch, "text"):
-                x = whole.value.margins(texts)
                 yield pa.RecordBatch.from_pydict({
-                    "toxic": part.column(part.schema.get_field_index("toxic")), "z": pa.array(x[:, 0]), "odds": pa.array(x[:, 1])})
+                    "toxic": part.column(part.schema.get_field_index("toxic")), "z": pa.array(whole.value.margins(texts))})
 
-    told = with_labels(docs, for_scale, sample).mapInArrow(margins, "toxic int, z double, odds double").toArrow()
+    told = with_labels(docs, for_scale, sample).mapInArrow(margins, "toxic int, z double").toArrow()
     y = told.column("toxic").to_numpy().astype(float)
     if 0 < y.sum() < len(y):
-        # one line for the mean of both: apart, two margins that say the same could get opposite signs
-        x = (told.column("z").to_numpy() + told.column("odds").to_numpy()) / 2
-        slope, fitted.shift = _scale(x[:, None], y)
-        fitted.slope = np.full(2, max(float(slope[0]), 0.1) / 2)
+        slope, fitted.shift = _scale(told.column("z").to_numpy()[:, None], y)
+        fitted.slope = max(float(slope[0]), 0.1)
     return fitted
 
 
