@@ -102,7 +102,8 @@ def test_toxicity_of_long_and_repeated_texts(spark):
     rows = [(1, rude, 5.0), (1, rude, 5.0), (2, calm, 5.0), (3, long, 5.0), (4, f"{long}you idiot moron scum", 5.0)]
     got = toxicity.predict(frame(spark, rows, "id long, text string, score double"), model).collect()
     by = {r["id"]: r["score"] for r in got}
-    assert len(got) == 5 and got[0] == got[1] and by[1] > 0.3 > by[2] and by[4] > by[3]
+    assert len(got) == 5 and len({r["score"] for r in got if r["id"] == 1}) == 1
+    assert by[1] > 0.3 > by[2] and by[4] > by[3]
 
 
 def test_label_model_finds_the_better_voters():
