@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.features import ACOUSTIC
 from ..schemas import MODELS
+from .small_files import files_of_folder
 from .transcripts import path_below
 
 TEXT_SUFFIX = "_multimodel.json"
@@ -20,10 +21,12 @@ OUTPUTS = dict(zip(MODELS, ("toxic_bert", "hate_detection", "offensive_detection
 
 def _member_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     """base, value (VARIANT) and error of each file with the suffix below `path`."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True)
-    name = path_below(path)
+    raw = files_of_folder(spark, path, suffix)
+    if raw is None:  # a pattern, a single file, or a file system that only Spark opens
+        raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(
+            path, wholetext=True).select(path_below(path).alias("name"), "value")
     return raw.select(
-        F.substring(name, F.lit(1), F.length(name) - len(suffix)).alias("base"),
+        F.substring("name", F.lit(1), F.length("name") - len(suffix)).alias("base"),
         F.try_parse_json(F.regexp_replace("value", "^﻿", "")).alias("value"),
     ).withColumn("error", F.when(F.col("value").isNull(), "Failed to parse JSON file"))
 
