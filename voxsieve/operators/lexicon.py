@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..settings import DEFAULTS, Settings
@@ -12,8 +15,8 @@ TOKEN_BREAK = r"[^\p{L}]+"
 
 # Fixed value: the normaliser of the compound score (Hutto & Gilbert 2014).
 COMPOUND_NORM = 15.0
-#: A frequent word's rows are dealt over so many join keys.
-SALTS = 32
+#: Rows are looked up in blocks of 2 to this power.
+BLOCK_BITS = 11
 
 
 def pieces(text: Column) -> Column:
@@ -48,7 +51,7 @@ def lexicon_polarity(df: DataFrame, lexicon: DataFrame, text: str = "text", sett
 
     Terms or valences that are null don't count; of several valences of a term the one farthest from 0
     does, the negative one of two equally far. A lexicon of at most `max_inline_lexicon` terms becomes a
-    literal and the whole step is a projection. A larger one is joined to the exploded tokens of numbered
+    literal and the whole step is a projection. A larger one is joined to the distinct words of blocks of numbered
     rows, with the same result: every row has its own, whatever its keys.
     """
     limit = settings.max_inline_lexicon
@@ -85,21 +88,36 @@ def one_valence(lexicon: DataFrame) -> DataFrame:
 
 
 def _joined(df: DataFrame, lexicon: DataFrame, text: str) -> DataFrame:
-    df = stored(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    words = df.select("_row", F.explode(pieces(F.col(text))).alias("term")).filter("term <> ''")
-    # a word that occurs in almost every row is dealt over several join keys
-    counted = words.groupBy("_row", "term").agg(F.count("*").cast("double").alias("n")).withColumn(
-        "_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
-    lexicon = lexicon.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    v = F.coalesce(F.col("valence"), F.lit(0.0))
-    sums = (
-        counted.join(lexicon, ["term", "_salt"], "left")
-        .groupBy("_row").agg(
-            F.sum(F.when(v > 0, (v + 1) * F.col("n")).otherwise(F.lit(0.0))).alias("_gain"),
-            F.sum(F.when(v < 0, (1 - v) * F.col("n")).otherwise(F.lit(0.0))).alias("_loss"),
-            F.sum(F.when(v == 0, F.col("n")).otherwise(F.lit(0.0))).alias("_rest"),
-            F.sum(v * F.col("n")).alias("_sum"))
-    )
+    df = stored(df.withColumn("_row", F.monotonically_increasing_id()), "numbered", "zstd")
+    words = F.filter(pieces(F.col(text)), lambda w: w != "")
+    blocked = df.select(F.shiftright("_row", BLOCK_BITS).alias("_block"), "_row", words.alias("_words"))
+    # of a block every word is looked up once, however often its rows have it; words of letters hold no space
+    known = blocked.select(F.col("_block").alias("_of"), F.explode("_words").alias("term")).distinct().join(lexicon, "term")
+    rows = blocked.select("_block", "_row", F.array_join("_words", " ").alias("_words"))
+    sums = rows.groupBy("_block").cogroup(known.groupBy("_of")).applyInArrow(
+        _block_sums, "_row bigint, _gain double, _loss double, _rest double, _sum double")
     joined = df.join(sums, "_row", "left").fillna(0.0, ["_gain", "_loss", "_rest", "_sum"])
     return _shares(joined, F.col("_gain"), F.col("_loss"), F.col("_rest"), F.col("_sum")).drop(
         "_row", "_gain", "_loss", "_rest", "_sum")
+
+
+def _block_sums(rows: pa.Table, known: pa.Table) -> pa.Table:
+    """The four sums of each row of a block from the valences of the block's words."""
+    terms, valences = known.column("term").combine_chunks(), known.column("valence").to_numpy()
+    parts = []
+    for batch in rows.select(["_row", "_words"]).to_batches(max_chunksize=256):
+        words = pc.split_pattern(batch.column("_words"), " ")
+        row, flat = pc.list_parent_indices(words).to_numpy(), pc.list_flatten(words)
+        real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)  # a row without words has one empty piece
+        spot = pc.fill_null(pc.index_in(flat, value_set=terms), len(terms)).to_numpy(zero_copy_only=False)
+        v = np.append(valences, 0.0)[spot]
+        up = ~(v <= 0)  # as in Spark, where NaN is above every number
+
+        def total(value: np.ndarray, row: np.ndarray = row, n: int = batch.num_rows) -> pa.Array:
+            return pa.array(np.bincount(row, value, n).astype(float))
+
+        parts.append(pa.table({
+            "_row": batch.column("_row"), "_gain": total(np.where(up, v + 1, 0.0)), "_loss": total(np.where(v < 0, 1 - v, 0.0)),
+            "_rest": total(np.where(real & (v == 0), 1.0, 0.0)), "_sum": total(v)}))
+    empty = {c: pa.array([], pa.float64()) for c in ("_gain", "_loss", "_rest", "_sum")}
+    return pa.concat_tables(parts) if parts else pa.table({"_row": pa.array([], pa.int64()), **empty})

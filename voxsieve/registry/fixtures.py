@@ -51,8 +51,8 @@ def word_valences(spark: SparkSession, d: str) -> DataFrame:
     """Every word of the documents as a term: a lexicon that grows with them, with repeated and null terms."""
     words = table(spark, d, "documents").select(F.explode(pieces(F.col("text"))).alias("term")).filter("term <> ''").distinct()
     valence = (F.length("term") % 9 - 4).cast("double")
-    return words.select("term", valence.alias("valence")).union(words.select("term", valence / 2)).union(
-        words.select(F.lit(None), valence))
+    kinds = ((F.col("term"), valence), (F.col("term"), valence / 2), (F.lit(None).cast("string"), valence))
+    return words.select(F.inline(F.array(*[F.struct(term.alias("term"), v.alias("valence")) for term, v in kinds])))
 
 
 def word_scorer():

@@ -49,8 +49,11 @@ def run_folder(spark: SparkSession) -> Iterator[None]:
         delete_path(spark, path)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a written table: computed once, read by every later step, safe from executor loss."""
+def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """The rows as a written table: computed once, read by every later step, safe from executor loss.
+
+    `codec` packs tables of whole texts tighter than the session's own would.
+    """
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
