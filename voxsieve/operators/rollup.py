@@ -156,7 +156,8 @@ def json_envelope(segments: DataFrame, statistics: DataFrame, segment_fields: li
     """
     part = F.coalesce(F.floor(F.col("seg_idx") / F.lit(settings.segments_per_document)), F.lit(0)).alias("part")
     segment = F.when(F.col("seg_idx").isNotNull(), F.struct(F.col("seg_idx"), *segment_fields))
-    grouped = segments.groupBy("file", part).agg(F.array_sort(F.collect_list(segment)).alias("segments"))
+    # dealt by file, as the join below needs them, so documents are not dealt out a second time
+    grouped = segments.repartition("file").groupBy("file", part).agg(F.array_sort(F.collect_list(segment)).alias("segments"))
     stats = [c for c in statistics.columns if c != "file"]
     described = statistics.select(
         "file", verdict_message().alias("result"), F.col("is_extremist_content").alias("verdict"),

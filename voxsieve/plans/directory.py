@@ -95,8 +95,12 @@ def process_directory(spark: SparkSession, source: str, target: str, lexicon: Da
     with run_folder(spark):
         log = run_log(spark, target)
         done = log.filter("status = 'processed'").select("file", "path").distinct()
-        files = stored(unread_transcripts(spark, source, log, one_per_file, pattern), "files")
-        todo = stored(skip_existing(files, done, by_path=True), "todo")
+        files = stored(unread_transcripts(spark, source, log, one_per_file, pattern), "files", "zstd")
+        # names meet the log; of what it holds already there is little, so the texts stay where they are
+        names = files.select("file", "path")
+        new = skip_existing(names, done, by_path=True).select("file").distinct()
+        again = stored(names.join(new, "file", "left_anti"), "again")
+        todo = skip_existing(files, again, by_path=True)
         good = todo.filter("error is null").drop("error")
         broken = broken_transcripts(todo)
 
@@ -114,7 +118,6 @@ def process_directory(spark: SparkSession, source: str, target: str, lexicon: Da
         ended = datetime.now(timezone.utc)
         listed = listed_files(spark, source, pattern).select(F.col("name").alias("path"))
         finished = done.join(listed, "path", "left_semi").join(finished_paths(log), "path", "left_semi")
-        again = files.join(todo.select("file").distinct(), "file", "left_anti").select("file", "path")
         parts = {
             "processed": good.select("file", "path"), "failed": todo.filter("error is not null").select("file", "path"),
             "skipped": finished.unionByName(again)}

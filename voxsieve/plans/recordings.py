@@ -99,7 +99,7 @@ def score_recordings(transcripts: DataFrame, lexicon: DataFrame, acoustic: DataF
         "model_threshold": F.lit(bundle.threshold if bundle else settings.decision_threshold)})
     outcomes = with_segment_outcome(ready, settings)
     if store:
-        outcomes = stored(outcomes.select(*[c for c in outcomes.columns if c in DECIDED]), "segments")
+        outcomes = stored(outcomes.select(*[c for c in outcomes.columns if c in DECIDED]), "segments", "zstd")
     statistics = recording_rollup(outcomes, settings).withColumn("result", verdict_message())
     return ScoredRecordings(outcomes, statistics)
 
