@@ -117,27 +117,30 @@ def fill_missing_labels(df: DataFrame, label: str, key: str, group: bool = False
     default = settings.decision_threshold if threshold is None else threshold
     names = candidate_columns(df, label, columns, ignore=(key,))
     target = "_target"
+    # what the fit takes, written once: profile, gaps, folds and iterations read it again, the source is read for the scores
+    narrow = stored(df.select(*dict.fromkeys((key, label, *names))), "candidates")
     if group:
         numeric = [c for c in names if c in set(numeric_columns(df))]
         categorical: list[str] = []
-        base = group_targets(df, key, numeric, label)
+        base = group_targets(narrow, key, numeric, label)
         wanted = "target" if model_type == "logistic" else "label_mean"
-        base = base.withColumn(target, F.col(wanted)).select(key, *numeric, target)
+        base = stored(base.withColumn(target, F.col(wanted)).select(key, *numeric, target), "groups")
     else:
-        roles = {r["column"]: r["role"] for r in profile_columns(df, names, exact=False).collect()}
+        roles = {r["column"]: r["role"] for r in profile_columns(narrow, names, exact=False).collect()}
         numeric = [c for c in names if roles[c] == "numeric"]
         categorical = [c for c in names if roles[c] == "categorical"]
-        base = df.withColumn(target, normalize_label(F.col(label)))
+        base = narrow.withColumn(target, normalize_label(F.col(label)))
     if not numeric and not categorical:
         raise ValueError("no feature columns; name some")
     known = base.filter(F.col(target).isNotNull())
+    rows = base if group else df.withColumn(target, normalize_label(F.col(label)))
     # a column without any labelled value carries no signal: a constant keeps it out of the model
     imputer = Imputer(dict.fromkeys(numeric, 0.0) | Imputer.fit(known, numeric, categorical).values)
     report = _evaluated(imputer.transform(known), key, numeric, categorical, target, model_type, ridge_alpha, settings) if evaluate else None
     model = _fit_filler(imputer.transform(known), numeric, categorical, target, model_type, ridge_alpha, settings)
     kept = [key, target] if group else [*df.columns, target]
-    ready = imputer.transform(base) if group else imputer.transform(
-        base.withColumns({f"_raw_{c}": F.col(c) for c in numeric + categorical}))
+    ready = imputer.transform(rows) if group else imputer.transform(
+        rows.withColumns({f"_raw_{c}": F.col(c) for c in numeric + categorical}))
     kept = kept if group else [c if c not in numeric + categorical else f"_raw_{c}" for c in kept]
     scored = _scored(model, ready, model_type, kept)
     scored = stored(scored.withColumnsRenamed({f"_raw_{c}": c for c in numeric + categorical}), "filled")
