@@ -78,11 +78,13 @@ def segment_energy(heard: DataFrame, chunks: DataFrame, frame: int, hop: int, mi
         own = F.slice("samples", (start - F.col("block") * block + 1).cast("int"), F.greatest(span, F.lit(0)).cast("int"))
         return F.sqrt(F.aggregate(own, F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double") * x.cast("double"), F.lit(0.0))) / frame)
 
-    levels = met.select("file", "seg_idx", F.transform(F.sequence("low", "high"), energy).alias("levels"))
+    levels = met.select("file", "seg_idx", "block", F.transform(F.sequence("low", "high"), energy).alias("levels"))
+    # one number per block, added up in the blocks' order: the same to the last bit however tasks finish
+    totals = F.aggregate(F.array_sort(F.collect_list(F.struct("block", "total"))), F.lit(0.0), lambda a, x: a + x["total"])
     return levels.select(
-        "file", "seg_idx", F.size("levels").alias("n"), F.array_max("levels").alias("most"),
+        "file", "seg_idx", "block", F.size("levels").alias("n"), F.array_max("levels").alias("most"),
         F.aggregate("levels", F.lit(0.0), lambda a, x: a + x).alias("total"),
-    ).groupBy("file", "seg_idx").agg((F.sum("total") / F.sum("n")).alias("rms_mean"), F.max("most").alias("rms_max"))
+    ).groupBy("file", "seg_idx").agg((totals / F.sum("n")).alias("rms_mean"), F.max("most").alias("rms_max"))
 
 
 def acoustic_rows(segments: DataFrame, chunks: DataFrame, contours: DataFrame | None = None, emotions: DataFrame | None = None,
