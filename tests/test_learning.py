@@ -30,6 +30,35 @@ def test_models_rank_well(spark, vectors, kind):
         assert ml.top_features(model, names, 2).first().feature in ("d00", "d01")
 
 
+def test_forest_in_parts(spark, vectors, tmp_path):
+    df, names = vectors
+    df = df.unionByName(df.filter("vec_id < 20"))  # a row that comes twice is scored twice
+    few = replace(FAST, rows_of_fit=1600)  # 520 rows: three trees a fit
+    model = ml.train_forest(df, names, "label", few)
+    assert model.trees == [3, 3, 3, 1]
+    parts = [model.part(i) for i in range(4)]
+    assert [p.getNumTrees for p in parts] == model.trees and len({p.trees[0].toDebugString.split("\n", 1)[1] for p in parts}) == 4
+    scored = ml.with_probability(model, df)
+    assert scored.columns == [*df.columns, "score"] and scored.drop("score").exceptAll(df).count() == 0 and scored.count() == 520
+    assert mt.roc_auc(scored, "score", "label").first().roc_auc > 0.9
+    assert ml.top_features(model, names, 2).first().feature in ("d00", "d01") and sum(model.importances) == pytest.approx(1)
+    row = model.prepared.transform(df.filter("vec_id = 7")).first()
+    wanted = sum(p.predictRaw(row.vector)[1] for p in parts) / 10  # the mean of all trees
+    assert [r.score for r in scored.filter("vec_id = 7").collect()] == [pytest.approx(wanted)] * 2
+
+    bundle = ml.train_classifier(df, "vec_id", names, settings=few)
+    assert len(bundle.model.trees) > 1 and bundle.validation.count() == 104
+    bundle.save(str(tmp_path / "m"))
+    again = ml.Bundle.load(str(tmp_path / "m"))
+    assert again.model.path != bundle.model.path and again.threshold == bundle.threshold
+    assert bundle.predict(df).exceptAll(again.predict(df)).count() == 0
+
+
+def test_small_forest_is_one_fit(vectors):
+    df, names = vectors
+    assert ml.train_forest(df, names, "label", FAST).stages[-1].getNumTrees == 10
+
+
 def test_bundle_round_trip(spark, vectors, tmp_path):
     df, names = vectors
     bundle = ml.train_classifier(df, "vec_id", names, model_type="logistic")

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
+from math import ceil
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (
+    GBTClassifier, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..settings import DEFAULTS, Settings
-from ..sources.scratch import stored
+from ..sources.scratch import scratch_dir, stored
 from .labels import class_balance
 from .metrics import threshold_sweep
 from .splits import kfold_assign, stratified_split
 
 MODEL_TYPES = ("random_forest", "gradient_boosting", "logistic")
 
+#: Rows below which a fit is not dealt over one more task.
+ROWS_OF_TASK = 2_000
+
 
 def with_class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Balanced weight per row, from the counts of the few classes."""
@@ -28,20 +36,101 @@ def with_class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return df.withColumn("weight", weight)
 
 
-def _fit(df: DataFrame, names: list[str], estimator) -> PipelineModel:
+def _fit(df: DataFrame, names: list[str], *estimator) -> PipelineModel:
     return Pipeline(stages=[
         VectorAssembler(inputCols=names, outputCol="raw_vector"),
         StandardScaler(inputCol="raw_vector", outputCol="vector", withMean=True, withStd=True),
-        estimator,
+        *estimator,
     ]).fit(df)
 
 
-def train_forest(df: DataFrame, names: list[str], label: str = "label", settings: Settings = DEFAULTS) -> PipelineModel:
-    """Random forest with balanced class weights."""
-    return _fit(with_class_weights(df, label), names, RandomForestClassifier(
-        featuresCol="vector", labelCol=label, weightCol="weight", numTrees=settings.forest_trees,
-        maxDepth=settings.forest_depth, minInstancesPerNode=settings.forest_min_leaf,
-        featureSubsetStrategy="sqrt", seed=settings.seed, maxMemoryInMB=512))
+def _spread(df: DataFrame, rows: int) -> DataFrame:
+    """The rows dealt over the session's cores: small files would all be read, and fitted on, by one task."""
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, ceil(rows / ROWS_OF_TASK))
+    return df if tasks <= 1 else df.repartition(tasks)
+
+
+def _at_once(work: Callable[[int], list[float]], n: int, most: int) -> list[list[float]]:
+    with ThreadPoolExecutor(most) as pool:
+        return [*pool.map(inheritable_thread_target(SparkSession.active())(work), range(n))]
+
+
+@dataclass
+class Forest:
+    """A random forest fitted in parts, each an MLlib model in a folder: the driver holds only the parts at work."""
+
+    prepared: PipelineModel
+    path: str
+    #: Trees of each part.
+    trees: list[int]
+    importances: list[float]
+    at_once: int = DEFAULTS.fits_at_once
+
+    def part(self, i: int) -> RandomForestClassificationModel:
+        return RandomForestClassificationModel.load(f"{self.path}/part-{i}")
+
+    def with_probability(self, df: DataFrame, out: str) -> DataFrame:
+        """Every part votes on its own; a row's votes are added up."""
+        rows = stored(df.withColumn("_forest_row", F.monotonically_increasing_id()), "unscored")
+        vectors = stored(self.prepared.transform(rows).select("_forest_row", "vector"), "vectors")
+        path = scratch_dir(df.sparkSession, "votes")
+
+        def vote(i: int) -> list[float]:
+            voted = self.part(i).transform(vectors).select("_forest_row", vector_to_array("rawPrediction")[1].alias("votes"))
+            voted.write.parquet(f"{path}/part={i}")
+            return []
+
+        _at_once(vote, len(self.trees), self.at_once)
+        votes = df.sparkSession.read.schema("_forest_row bigint, votes double").parquet(
+            *[f"{path}/part={i}" for i in range(len(self.trees))])
+        scores = stored(votes.groupBy("_forest_row").agg((F.sum("votes") / sum(self.trees)).alias(out)), "scores")
+        return rows.join(scores, "_forest_row").drop("_forest_row")
+
+    def save(self, path: str) -> None:
+        self.prepared.write().overwrite().save(f"{path}/prepared")
+        for i in range(len(self.trees)):
+            self.part(i).write().overwrite().save(f"{path}/part-{i}")
+        SparkSession.active().createDataFrame(
+            [(self.trees, self.importances)], "trees array<int>, importances array<double>",
+        ).coalesce(1).write.mode("overwrite").parquet(f"{path}/forest")
+
+    @staticmethod
+    def load(path: str) -> "Forest":
+        row = SparkSession.active().read.parquet(f"{path}/forest").first()
+        return Forest(PipelineModel.load(f"{path}/prepared"), path, list(row["trees"]), list(row["importances"]))
+
+
+def train_forest(df: DataFrame, names: list[str], label: str = "label", settings: Settings = DEFAULTS) -> PipelineModel | Forest:
+    """Random forest with balanced class weights; above `settings.rows_of_fit` rows times trees it is fitted in parts."""
+    weighted = with_class_weights(df, label)
+    rows = df.count()
+
+    def estimator(trees: int, seed: int, memory: int) -> RandomForestClassifier:
+        return RandomForestClassifier(
+            featuresCol="vector", labelCol=label, weightCol="weight", numTrees=trees,
+            maxDepth=settings.forest_depth, minInstancesPerNode=settings.forest_min_leaf,
+            featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=memory)
+
+    size = max(1, settings.rows_of_fit // max(1, rows))
+    if size >= settings.forest_trees:
+        return _fit(weighted, names, estimator(settings.forest_trees, settings.seed, 512))
+    spark = df.sparkSession
+    trees = [min(size, settings.forest_trees - at) for at in range(0, settings.forest_trees, size)]
+    prepared = _fit(weighted, names)
+    vectors = stored(_spread(prepared.transform(weighted).select("vector", label, "weight"), rows), "vectors")
+    # a node's histogram is made by every task of a fit: few tasks each, the fits beside each other take all cores
+    cores = spark.sparkContext.defaultParallelism
+    dealt = vectors.coalesce(max(2, ceil(cores / settings.fits_at_once), ceil(rows / 250_000)))
+    path = scratch_dir(spark, "forest")
+
+    def grow(i: int) -> list[float]:
+        model = estimator(trees[i], settings.seed + i, 256).fit(dealt)
+        model.write().save(f"{path}/part-{i}")
+        return model.featureImportances.toArray().tolist()
+
+    found = _at_once(grow, len(trees), settings.fits_at_once)
+    weights = [sum(n * part[j] for n, part in zip(trees, found, strict=True)) / sum(trees) for j in range(len(names))]
+    return Forest(prepared, path, trees, weights, settings.fits_at_once)
 
 
 def train_boosted(df: DataFrame, names: list[str], label: str = "label", settings: Settings = DEFAULTS) -> PipelineModel:
@@ -64,17 +153,19 @@ def train_logistic(df: DataFrame, names: list[str], label: str = "label", settin
 TRAINERS = {"random_forest": train_forest, "gradient_boosting": train_boosted, "logistic": train_logistic}
 
 
-def with_probability(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
+def with_probability(model: PipelineModel | Forest, df: DataFrame, out: str = "score") -> DataFrame:
     """Probability of the positive class, without the model's intermediate columns."""
+    if isinstance(model, Forest):
+        return model.with_probability(df, out)
     scored = model.transform(df)
     return scored.withColumn(out, vector_to_array("probability")[1]).drop(
         "raw_vector", "vector", "rawPrediction", "probability", "prediction")
 
 
-def top_features(model: PipelineModel, names: list[str], n: int = 15) -> DataFrame:
+def top_features(model: PipelineModel | Forest, names: list[str], n: int = 15) -> DataFrame:
     """The n most important features of a tree model."""
     spark = SparkSession.active()
-    weights = model.stages[-1].featureImportances.toArray().tolist()
+    weights = model.importances if isinstance(model, Forest) else model.stages[-1].featureImportances.toArray().tolist()
     table = spark.createDataFrame(list(zip(names, weights)), "feature string, importance double")
     return table.orderBy(F.desc("importance"), "feature").limit(n)
 
@@ -102,7 +193,7 @@ def cross_validate(df: DataFrame, key: str, names: list[str], label: str, train,
 class Bundle:
     """A fitted model with what is needed to apply it."""
 
-    model: PipelineModel
+    model: PipelineModel | Forest
     names: list[str]
     model_type: str
     threshold: float
@@ -115,16 +206,22 @@ class Bundle:
 
     def save(self, path: str) -> None:
         spark = SparkSession.active()
-        self.model.write().overwrite().save(f"{path}/model")
+        in_parts = isinstance(self.model, Forest)
+        if in_parts:
+            self.model.save(f"{path}/model")
+        else:
+            self.model.write().overwrite().save(f"{path}/model")
         spark.createDataFrame(
-            [(self.names, self.model_type, self.threshold)],
-            "names array<string>, model_type string, threshold double",
+            [(self.names, self.model_type, self.threshold, in_parts)],
+            "names array<string>, model_type string, threshold double, in_parts boolean",
         ).coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
 
     @staticmethod
     def load(path: str) -> "Bundle":
         row = SparkSession.active().read.parquet(f"{path}/metadata").first()
-        return Bundle(PipelineModel.load(f"{path}/model"), list(row["names"]), row["model_type"], row["threshold"])
+        in_parts = "in_parts" in row and row["in_parts"]  # earlier bundles do not say
+        model = Forest.load(f"{path}/model") if in_parts else PipelineModel.load(f"{path}/model")
+        return Bundle(model, list(row["names"]), row["model_type"], row["threshold"])
 
 
 def train_classifier(df: DataFrame, key: str, names: list[str], label: str = "label",

@@ -48,6 +48,9 @@ class Settings:
     rows_per_slice: int = 100_000
     segments_per_document: int = 5_000
     max_inline_lexicon: int = 1_000
+    # a forest's fit has at most so many rows times trees, or one tree: MLlib grows its trees on the driver
+    rows_of_fit: int = 250_000
+    fits_at_once: int = 6
 
 
 DEFAULTS = Settings()
