@@ -54,6 +54,16 @@ def test_forest_in_parts(spark, vectors, tmp_path):
     assert bundle.predict(df).exceptAll(again.predict(df)).count() == 0
 
 
+def test_boosting_takes_more_than_one_task(spark, monkeypatch):
+    df = spark.range(0, 9000, 1, 1).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 7 > 3).cast("int").alias("label"))
+    tasks, fit = [], ml._fit
+    monkeypatch.setattr(ml, "_fit", lambda rows, *a: tasks.append(rows.rdd.getNumPartitions()) or fit(rows, *a))
+    model = ml.train_boosted(df, ["a"], "label", FAST)
+    assert 1 < tasks[0] <= 5 and ml.with_probability(model, df).filter("(score > 0.5) <> (label = 1)").count() == 0
+    ml.train_boosted(df.filter("id < 100"), ["a"], "label", FAST)
+    assert tasks[1] == 1
+
+
 def test_small_forest_is_one_fit(vectors):
     df, names = vectors
     assert ml.train_forest(df, names, "label", FAST).stages[-1].getNumTrees == 10

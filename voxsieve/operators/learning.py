@@ -135,7 +135,7 @@ def train_forest(df: DataFrame, names: list[str], label: str = "label", settings
 
 def train_boosted(df: DataFrame, names: list[str], label: str = "label", settings: Settings = DEFAULTS) -> PipelineModel:
     """Gradient-boosted trees under log loss."""
-    return _fit(df, names, GBTClassifier(
+    return _fit(_spread(df, df.count()), names, GBTClassifier(
         featuresCol="vector", labelCol=label, maxIter=settings.boosted_rounds, maxDepth=settings.boosted_depth,
         stepSize=settings.boosted_step, subsamplingRate=settings.boosted_subsample, seed=settings.seed,
         maxMemoryInMB=512))
