@@ -4,11 +4,14 @@ import re
 
 from pyspark.sql import functions as F
 
+from voxsieve.functions.text import with_text_proxies
 from voxsieve.operators import lexicon as lx
+from voxsieve.operators.learning import Bundle
 from voxsieve.operators.rollup import json_envelope, recording_rollup
 from voxsieve.plans import directory as dr, recordings as rec, training as tr
-from voxsieve.registry import fixtures as fx
+from voxsieve.registry import fixtures as fx, spark_queries
 from voxsieve.settings import Settings
+from voxsieve.sources.scratch import stored
 
 
 def plan(df):
@@ -58,3 +61,37 @@ def test_filling_reads_its_source_a_few_times(spark):
         seen.value = 0
         assert tr.fill_missing_labels(df, "label", "id", group=group, evaluate=not group).rows.filter("label_filled is null").count() == 0
         assert seen.value <= 3 * 60
+
+
+def test_trainings_on_the_same_texts_measure_them_once(spark, small, monkeypatch):
+    measured = []
+
+    def noted(df, *more, **named):
+        measured.append(df)
+        return kept(df, *more, **named)
+
+    def fitted(df, key, names, *_):
+        return Bundle(None, names, "logistic", 0.5, df.select(key, "label", F.lit(0.5).alias("score")))
+
+    kept = tr.lexicon_polarity
+    monkeypatch.setattr(tr, "lexicon_polarity", noted)
+    monkeypatch.setattr(tr, "train_classifier", fitted)
+    modes = spark_queries.QUERIES["train_from_labels"](spark, small).groupBy("mode").count().collect()
+    assert {r["mode"] for r in modes} == {"text_only", "model"} and len(measured) == 1
+
+
+def test_measured_texts_give_the_same_features(spark):
+    texts = ["You IDIOT, this is trash!", "good with THIS?", "", None, "\u00a0 \n", "scum scum WORTHLESS...", "x" * 20_001]
+    df = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate([*texts, texts[0]])], "row_id int, text string, label int")
+    df = df.withColumn("row_id", F.when(F.col("row_id") % 3 > 0, 7))  # keys may repeat or be null
+    measured = stored(tr.measured_texts(df, fx.lexicon(spark)), "measured", "zstd")
+    for make in (None, fx.word_scorer):
+        once, anew = (sorted(str(r) for r in rows.select("row_id", "text", "label", "features").collect()) for rows in (
+            tr.text_features(measured, None, make_scorer=make), tr.text_features(df, fx.lexicon(spark), make_scorer=make)))
+        assert once == anew and len(once) == len(texts) + (make is None)
+
+
+def test_words_in_capitals(spark):
+    texts = ["ABC", " ABC  ABc AB A1C 123 ABC", "X-RAY\tA.B.C.\nAbc", "ÄÖÜ ǅAB ABʰ 日本A 日本語", "𐐀𐐀𐐀 𐐨𐐀𐐀", "ABCABC", "", None]
+    got = with_text_proxies(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")).collect()
+    assert {r.i: round(r.caps_ratio * max(1, r.num_words)) for r in got} == {0: 1, 1: 3, 2: 2, 3: 3, 4: 1, 5: 1, 6: 0, 7: 0}

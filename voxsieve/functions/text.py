@@ -11,8 +11,9 @@ SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
     chr(c) for c in range(0x2000, 0x200b)) + "\u2028\u2029\u202f\u205f\u3000"
 # the same set as a pattern; the Unicode class is many times faster than listing the characters
 SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
-# a word of three or more characters with an upper-case letter and no other kind of cased letter
-CAPITALS = r"(?<![^ ])(?=[^ ]*\p{Lu})[^ \p{Ll}\p{Lt}]{3,}(?![^ ])"
+# after a blank, a word of three or more characters with an upper-case letter and no other kind of cased letter; the blank
+# in front lets the search pass over a word at once, which a look behind at each character does not
+CAPITALS = r" (?=[^ \p{Ll}\p{Lt}]{3,}+(?![^ ]))[^ \p{Lu}]*+\p{Lu}"
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -61,7 +62,7 @@ def with_text_proxies(df: DataFrame, text: str = "text") -> DataFrame:
             .otherwise(0).cast("double"),
             "num_chars": F.length(body).cast("double")})
         .withColumns({
-            "caps_ratio": F.regexp_count("_flat", F.lit(CAPITALS)) / per_word,
+            "caps_ratio": F.regexp_count(F.concat(F.lit(" "), "_flat"), F.lit(CAPITALS)) / per_word,
             "punct_intensity": (
                 occurrences(body, "!") + 0.6 * occurrences(body, "?") + 0.8 * occurrences(body, "...")) / per_word,
             "avg_word_len": F.col("_letters") / per_word})

@@ -28,15 +28,20 @@ from ..sources.scratch import stored
 from .recordings import with_segment_features
 
 
-def text_features(df: DataFrame, lexicon: DataFrame, settings: Settings = DEFAULTS,
+def measured_texts(df: DataFrame, lexicon: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Texts with text proxies, sentiment and estimated delivery: what every training on them needs, whatever the scorer."""
+    polar = lexicon_polarity(with_text_proxies(df), lexicon, settings=settings)
+    return with_synthetic_intonation(polar, settings)
+
+
+def text_features(df: DataFrame, lexicon: DataFrame | None, settings: Settings = DEFAULTS,
                   make_scorer: Callable[[], Scorer] | None = None) -> DataFrame:
     """Labelled texts with sentiment, estimated delivery, classifier columns and a feature map.
 
     The classification comes from the plug-in scorer, or from the sentiment shares without one; texts that the
-    scorer fails on are left out.
+    scorer fails on are left out. Without a lexicon, `df` are measured texts.
     """
-    polar = lexicon_polarity(with_text_proxies(df), lexicon, settings=settings)
-    heard = with_synthetic_intonation(polar, settings)
+    heard = df if lexicon is None else measured_texts(df, lexicon, settings)
     if make_scorer is None:
         scored = heard.withColumns(fallback_scores(F.col("neg"), F.col("neu"), F.col("pos")))
     else:
@@ -45,11 +50,12 @@ def text_features(df: DataFrame, lexicon: DataFrame, settings: Settings = DEFAUL
     return with_segment_features(scored)
 
 
-def train_from_labels(labelled: DataFrame, key: str, lexicon: DataFrame, model_type: str = "random_forest",
+def train_from_labels(labelled: DataFrame, key: str, lexicon: DataFrame | None, model_type: str = "random_forest",
                       settings: Settings = DEFAULTS, make_scorer: Callable[[], Scorer] | None = None) -> Bundle:
     """Fit the classifier on labelled texts (key, text, label), scored by the plug-in or from the text alone.
 
-    The features are written once, so a model scorer sees each text once.
+    The features are written once, so a model scorer sees each text once. Of several trainings on the same texts each
+    would go through all words again: write `measured_texts` once and give them with None for the lexicon.
     """
     engineered = stored(text_features(labelled, lexicon, settings, make_scorer).select(key, "label", "features"), "engineered")
     names = feature_names(engineered)

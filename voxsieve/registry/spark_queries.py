@@ -849,9 +849,10 @@ def score_transcripts(spark, d):
 @query
 def train_from_labels(spark, d):
     rows = fx.labeled(spark, d).filter("label is not null").select("row_id", "text", "label")
+    measured = stored(tr.measured_texts(rows, fx.lexicon(spark)), "measured", "zstd")  # both modes read them
     held = []
     for name, make in (("text_only", None), ("model", fx.word_scorer)):
-        bundle = tr.train_from_labels(rows, "row_id", fx.lexicon(spark), "logistic", make_scorer=make)
+        bundle = tr.train_from_labels(measured, "row_id", None, "logistic", make_scorer=make)
         # which rows were held out, and that the model ranks them well
         auc = mt.roc_auc(bundle.validation, "score", "label").first()["roc_auc"]
         held.append(bundle.validation.select("row_id", "label", F.lit(name).alias("mode"), F.lit(auc > 0.75).alias("ranks_well")))
