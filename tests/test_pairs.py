@@ -1,12 +1,15 @@
 """Recordings stored as pairs of feature files, and the sink that writes files by name."""
 
+import gzip
 import json
 
 import pytest
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
+from voxsieve.operators import align
 from voxsieve.plans import pairs as pr
+from voxsieve.sources.pairs import acoustic_segments, classified_segments, feature_files
 from voxsieve.sources.recording_files import write_recording_files
 
 
@@ -94,3 +97,30 @@ def test_a_task_that_fails_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="no name"):
         write_recording_files(spark.sql("SELECT '../x' AS name, 'y' AS value"), str(tmp_path / "bad"))
     assert not (tmp_path / "x").exists()
+
+
+def test_files_may_be_packed(spark, tmp_path):
+    text, heard = {"segment_classifications": [segment(0, 2, overall_toxicity=0.5)]}, [segment(0.1, 2.1, f0_mean=9.0)]
+    values = {"1/a_multimodel.json.gz": json.dumps(text), "1/a_intonation.json.gz": json.dumps(heard), "1/b_multimodel.json": json.dumps(text),
+              "1/b_intonation.json.gz": json.dumps(heard), "1/cut_multimodel.json.gz": '{"segment_classifications": ['}
+    write_recording_files(spark.createDataFrame([*values.items()], "name string, value string").coalesce(1), str(tmp_path))
+    packed = tmp_path / "1" / "a_multimodel.json.gz"
+    assert json.loads(gzip.decompress(packed.read_bytes())) == text
+    (tmp_path / "1" / "short_intonation.json.gz").write_bytes(packed.read_bytes()[:-9])
+    (tmp_path / "1" / "bad_intonation.json.gz").write_bytes(b"no gzip")
+    found = pr.paired_segments(spark, {1: str(tmp_path / "1")})
+    assert sorted((r.file, r.seg_idx, r.features["f0_mean"]) for r in found.rows.collect()) == [("1/a", 0, 9.0), ("1/b", 0, 9.0)]
+    assert sorted((r.file, r.file_type) for r in found.broken.collect()) == [
+        ("1/bad", "intonation"), ("1/cut", "multimodel"), ("1/short", "intonation")]
+    readable = [p.base for p in feature_files(spark, f"{tmp_path}/[1]")[0].select("base").collect()]  # by Spark's reader
+    assert sorted(b.rpartition("/")[2] for b in readable) == ["a", "b", "cut"]
+
+
+def test_pairs_are_aligned_without_their_texts_and_parsed_once(spark, tmp_path, monkeypatch):
+    put(tmp_path, "a", {"segment_classifications": [segment(0, 2)]}, [segment(0.1, 2.1)])
+    kept, plain = {}, align.stored
+    monkeypatch.setattr(align, "stored", lambda df, name, *more: kept.setdefault(name, plain(df, name, *more)))
+    assert pr.paired_segments(spark, {1: str(tmp_path)}).rows.count() == 1
+    assert "overall_toxicity" in kept["left"].columns and "text" not in kept["left"].columns
+    for rows, files in zip((classified_segments, acoustic_segments), feature_files(spark, str(tmp_path)), strict=True):
+        assert rows(files)._jdf.queryExecution().executedPlan().toString().count("parseJson") == 1

@@ -41,7 +41,8 @@ def paired_segments(spark: SparkSession, folders: dict[int, str], settings: Sett
     text, heard, broken = {}, {}, {}
     for label, path in folders.items():
         members = feature_files(spark, path)
-        text[label], heard[label] = classified_segments(members[0]), acoustic_segments(members[1])
+        # texts are no features: alignment need not carry them
+        text[label], heard[label] = classified_segments(members[0]).drop("text"), acoustic_segments(members[1])
         broken[label] = broken_members(*members)
     named = {
         kind: stack_classes(parts).withColumn("file", F.concat_ws("/", "label", "base")).drop("base")

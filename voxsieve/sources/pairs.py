@@ -1,15 +1,18 @@
 """Recordings stored as two files: classified text segments and acoustic segments.
 
 The classified file is an object with `segment_classifications`; the acoustic one a list of segments. Score
-names are open, so both are read as VARIANT and nothing is inferred over the files.
+names are open, so both are read as VARIANT and nothing is inferred over the files. Files may be packed (<name>.gz).
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.features import ACOUSTIC
 from ..schemas import MODELS
+from .recording_files import PACKED
 from .small_files import files_of_folder
 from .transcripts import path_below
 
@@ -23,10 +26,11 @@ def _member_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     """base, value (VARIANT) and error of each file with the suffix below `path`."""
     raw = files_of_folder(spark, path, suffix)
     if raw is None:  # a pattern, a single file, or a file system that only Spark opens
-        raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(
+        raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"{{*{suffix},*{suffix}{PACKED}}}").text(
             path, wholetext=True).select(path_below(path).alias("name"), "value")
+    name = F.regexp_replace("name", f"{re.escape(PACKED)}$", "")
     return raw.select(
-        F.substring("name", F.lit(1), F.length("name") - len(suffix)).alias("base"),
+        F.substring(name, F.lit(1), F.length(name) - len(suffix)).alias("base"),
         F.try_parse_json(F.regexp_replace("value", "^﻿", "")).alias("value"),
     ).withColumn("error", F.when(F.col("value").isNull(), "Failed to parse JSON file"))
 
@@ -42,10 +46,17 @@ def _numbers(name: str) -> Column:
     return F.coalesce(F.map_filter(read, lambda k, v: v.isNotNull()), F.create_map().cast("map<string,double>"))
 
 
+def _segments(files: DataFrame, of: Column) -> DataFrame:
+    """base, seg_idx and segment; files that cannot be read have none.
+
+    Outer, and without a filter on the files: either would have every file parsed again.
+    """
+    return files.select("base", F.posexplode_outer(of).alias("seg_idx", "segment")).filter("seg_idx is not null")
+
+
 def classified_segments(files: DataFrame) -> DataFrame:
     """Rows (base, seg_idx, start_s, end_s, text and classification columns) of the readable files."""
-    segments = F.try_variant_get("value", "$.segment_classifications", "array<variant>")
-    rows = files.filter("error is null").select("base", F.posexplode(segments).alias("seg_idx", "segment"))
+    rows = _segments(files, F.try_variant_get("value", "$.segment_classifications", "array<variant>"))
     toxic = F.coalesce(_field("is_toxic", "boolean"), _field("is_toxic", "double") != 0, F.lit(False))
     return rows.select(
         "base", "seg_idx", _field("start", "double").alias("start_s"), _field("end", "double").alias("end_s"),
@@ -59,8 +70,7 @@ def classified_segments(files: DataFrame) -> DataFrame:
 
 def acoustic_segments(files: DataFrame) -> DataFrame:
     """Rows (base, seg_idx, start_s, end_s and acoustic columns) of the readable files; what is no list has none."""
-    rows = files.filter("error is null").select(
-        "base", F.posexplode(F.try_variant_get("value", "$", "array<variant>")).alias("seg_idx", "segment"))
+    rows = _segments(files, F.try_variant_get("value", "$", "array<variant>"))
     return rows.select(
         "base", "seg_idx", _field("start", "double").alias("start_s"), _field("end", "double").alias("end_s"),
         _field("emotion", "string").alias("emotion"), *[_field(c, "double").alias(c) for c in ACOUSTIC])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,12 +15,44 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 FORMAT = "recording_files"
 
+#: Files whose names end so are written packed and read unpacked.
+PACKED = ".gz"
+
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path that every executor reaches, and the path on it."""
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+class Packed:
+    """A stream of gzip over another; the same content gives the same bytes."""
+
+    def __init__(self, out: pa.NativeFile):
+        self.out, self.packer = out, zlib.compressobj(3, wbits=31)
+
+    def write(self, content: bytes) -> None:
+        self.out.write(self.packer.compress(content))
+
+    def close(self) -> None:
+        self.out.write(self.packer.flush())
+        self.out.close()
+
+
+def unpacked(content: bytes) -> bytes | None:
+    """The content of a gzip file, which may be several after each other; None where it is damaged or cut off."""
+    parts = []
+    while content:
+        unpacker = zlib.decompressobj(wbits=31)
+        try:
+            parts.append(unpacker.decompress(content))
+        except zlib.error:
+            return None
+        if not unpacker.eof:
+            return None
+        content = unpacker.unused_data.lstrip(b"\0")
+    return b"".join(parts)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: int
@@ -52,7 +85,8 @@ class RecordingWriter(DataSourceArrowWriter):
                             system.create_dir(aside, recursive=True)
                         else:
                             out.close()
-                        out = system.open_output_stream(f"{aside}/{len(names)}")
+                        out = system.open_output_stream(f"{aside}/{len(names)}", compression=None)
+                        out = Packed(out) if name.endswith(PACKED) else out
                         names.append(name)
                     out.write((value or "").encode() + (b"\n" if self.lines else b""))
         finally:
@@ -88,7 +122,7 @@ class RecordingFiles(DataSource):
 def write_recording_files(rows: DataFrame, path: str) -> None:
     """A file below `path` for each row (name, value); a file that has the name already is replaced.
 
-    Names are paths below `path` and unique. `path` is one that every executor reaches and that pyarrow opens
+    Names are paths below `path` and unique; what is named .gz is packed. `path` is one that every executor reaches and that pyarrow opens
     (a mounted folder, s3, gs or hdfs).
     """
     rows.sparkSession.dataSource.register(RecordingFiles)

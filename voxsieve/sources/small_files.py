@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-from .recording_files import opened
+from .recording_files import PACKED, opened, unpacked
 
 #: File systems that pyarrow opens as Spark does.
 SCHEMES = ("file", "hdfs", "s3", "gs")
@@ -54,7 +54,7 @@ def _entries(system: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool, in
 
 
 def _walk(system: fs.FileSystem, root: str, suffix: str) -> Iterator[str]:
-    """Paths below `root` of the files with the suffix that hold anything."""
+    """Paths below `root` of the files with the suffix, packed or not, that hold anything."""
     below = [""]
     while below:
         folder = below.pop()
@@ -63,14 +63,15 @@ def _walk(system: fs.FileSystem, root: str, suffix: str) -> Iterator[str]:
                 continue
             if is_folder:
                 below.append(f"{folder}{name}/")
-            elif size > 0 and name.endswith(suffix):
+            elif size > 0 and name.removesuffix(PACKED).endswith(suffix):
                 yield f"{folder}{name}"
 
 
 def files_of_folder(spark: SparkSession, path: str, suffix: str) -> DataFrame | None:
     """(name, value): path below the folder and whole content of its files with the suffix, or None where tasks cannot list it.
 
-    One task walks the folder and hands on names; the files are dealt over the tasks that read them.
+    One task walks the folder and hands on names; the files are dealt over the tasks that read them. Files may be packed,
+    as <name>.gz; a packed file that is damaged has a null value.
     """
     place = _folder(spark, path)
     if place is None:
@@ -93,9 +94,9 @@ def files_of_folder(spark: SparkSession, path: str, suffix: str) -> DataFrame |
             names, values, held = [], [], 0
             for name in batch.column(0).to_pylist():
                 with system.open_input_stream(f"{root.rstrip('/')}/{name}", compression=None) as f:
-                    values.append(f.read())
+                    values.append(unpacked(f.read()) if name.endswith(PACKED) else f.read())
                 names.append(name)
-                held += len(values[-1])
+                held += len(values[-1] or b"")
                 if held > BYTES:
                     yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string()), "value": pa.array(values, pa.binary())})
                     names, values, held = [], [], 0
