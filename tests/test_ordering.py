@@ -36,6 +36,24 @@ def test_running_sums_across_slices(spark):
             assert abs(r.t - sum(same)) < 1e-9
 
 
+def test_running_sums_deal_rows_out_once(spark):
+    """Also where nothing is broadcast; null keys are a group and null slices come first."""
+    rows = [(k, s, i, float(i)) for i, (k, s) in enumerate((k, s) for k in ("a", None) for s in (None, 0, 0, 2))]
+    df = spark.createDataFrame(rows, "k string, s int, i int, v double")
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = running_sums(df, ["k"], "s", [F.col("i")], {"t": F.col("v")}, totals=True)
+        assert out.columns == ["k", "s", "i", "v", "t_total", "t"]
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        # of the rows one, of the totals of slices three
+        assert plan.count("SortMergeJoin") == 1 and plan.count("Exchange hashpartitioning") == 4
+        found = {r.i: (r.t, r.t_total) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert found == {i: (sum(range(i // 4 * 4, i + 1)), 6.0 if i < 4 else 22.0) for i in range(8)}
+
+
 def test_row_numbers_restart_per_key(spark):
     df = spark.createDataFrame(hot_rows(), "k string, i int, v double")
     out = row_numbers(df.withColumn("s", index_slices(F.col("i"), 5)), ["k"], "s", [F.col("i")], "rn")

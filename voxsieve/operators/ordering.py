@@ -7,7 +7,6 @@ rows per key, are accumulated and added back.
 
 from __future__ import annotations
 
-from functools import reduce
 from math import ceil, floor
 
 from pyspark.ml.feature import Bucketizer
@@ -55,9 +54,10 @@ def running_sums(df: DataFrame, keys: list[str], slice_column: str, order: list[
 
     Null keys are a group, and rows with a null slice come first (last if descending). With `totals`, also
     <name>_total, the sum over the whole group: it rides on the offsets, so no join on the keys alone is made.
+    Rows are dealt out once: window and join share one key, a struct, which is equal also where parts of it are null.
     """
     by_slice = F.col(slice_column).desc() if descending else F.col(slice_column).asc()
-    local = Window.partitionBy(*keys, slice_column).orderBy(*order).rowsBetween(
+    local = Window.partitionBy("_by").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     # one row per (key, slice): bounded by the number of slices
     across = Window.partitionBy(*keys).orderBy(by_slice).rowsBetween(Window.unboundedPreceding, -1)
@@ -68,13 +68,13 @@ def running_sums(df: DataFrame, keys: list[str], slice_column: str, order: list[
             F.coalesce(F.sum(f"_off_{name}").over(across), F.lit(0)).alias(f"_off_{name}") for name in sums],
             *[F.sum(f"_off_{name}").over(Window.partitionBy(*keys)).alias(f"{name}_total") for name in sums if totals])
     )
-    by = [*keys, slice_column]
-    offsets = offsets.withColumnsRenamed({k: f"_key_{k}" for k in by})
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in by])
-    joined = df.withColumns({f"_run_{name}": F.sum(v).over(local) for name, v in sums.items()}).join(offsets, same)
+    by = F.struct(*keys, slice_column)
+    offsets = offsets.withColumn("_of", by).drop(*keys, slice_column)
+    running = df.withColumn("_by", by).withColumns({f"_run_{name}": F.sum(v).over(local) for name, v in sums.items()})
+    joined = running.join(offsets, F.col("_by") == F.col("_of"))
     return joined.withColumns({
         name: F.col(f"_run_{name}") + F.col(f"_off_{name}") for name in sums
-    }).drop(*[f"_run_{n}" for n in sums], *[f"_off_{n}" for n in sums], *[f"_key_{k}" for k in by])
+    }).drop(*[f"_run_{n}" for n in sums], *[f"_off_{n}" for n in sums], "_by", "_of")
 
 
 def row_numbers(df: DataFrame, keys: list[str], slice_column: str, order: list[Column], out: str,
