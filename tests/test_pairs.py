@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxsieve.operators import align
 from voxsieve.plans import pairs as pr
+from voxsieve.registry import fixtures as fx
 from voxsieve.sources.pairs import acoustic_segments, classified_segments, feature_files
 from voxsieve.sources.recording_files import write_recording_files
 
@@ -124,3 +125,23 @@ def test_pairs_are_aligned_without_their_texts_and_parsed_once(spark, tmp_path,
     assert "overall_toxicity" in kept["left"].columns and "text" not in kept["left"].columns
     for rows, files in zip((classified_segments, acoustic_segments), feature_files(spark, str(tmp_path)), strict=True):
         assert rows(files)._jdf.queryExecution().executedPlan().toString().count("parseJson") == 1
+
+
+def test_pair_files_of_documents(spark, tmp_path):
+    """Segments keep their own text, also where ids repeat or are null; repeated labels repeat segments."""
+    rows = [(1, "one idiot\n\nthree"), (2, "first"), (2, "other\nmore"), (3, None), (4, "twice\nlabelled"), (17, "cut off"), (None, "no id"), (23, "silent")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0), (4, 1), (4, 1), (2, 1), (None, 1)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    folders = fx.write_pairs(spark, str(tmp_path), str(tmp_path / "pairs"))
+    assert folders == {0: f"{tmp_path}/pairs/0", 1: f"{tmp_path}/pairs/1"}
+    read = {str(p.relative_to(tmp_path / "pairs")): gzip.decompress(p.read_bytes()).decode() for p in (tmp_path / "pairs").rglob("*.gz")}
+    names = {"0/doc_1": 1, "1/doc_2": 1, "1/doc_4": 1, "0/doc_17": 1, "0": 0, "0/doc_23": 0}
+    assert set(read) == {f"{n}_multimodel.json.gz" for n in names} | {f"{n}_intonation.json.gz" for n, both in names.items() if both}
+    cut = read.pop("0/doc_17_multimodel.json.gz")
+    assert cut.startswith("[{") and not cut.endswith("}]")
+    texts = {n.partition("_multi")[0]: [s["text"] for s in json.loads(v)["segment_classifications"]] for n, v in read.items() if "_multi" in n}
+    assert {n: sorted(t) for n, t in texts.items()} == {
+        "0/doc_1": ["", "one idiot", "three"], "1/doc_2": ["first", "more", "other"], "0": ["no id"], "0/doc_23": ["silent"],
+        "1/doc_4": ["labelled", "labelled", "twice", "twice"]}
+    assert [s["start"] for s in json.loads(read["1/doc_4_multimodel.json.gz"])["segment_classifications"]][:2] == [0.0, 0.0]
+    assert all(s["f0_mean"] > 0 for s in json.loads(read["1/doc_2_intonation.json.gz"]))

@@ -13,13 +13,13 @@ from .ordering import index_slices, running_sums
 
 
 def explode_segments(transcripts: DataFrame, keep_blank: bool = False, keep_empty: bool = False) -> DataFrame:
-    """One row per segment: file, language, seg_idx, start_s, end_s, trimmed text, and class_name if there is one.
+    """One row per segment: file, language, seg_idx, start_s, end_s, trimmed text, and class_name and document if there are such.
 
     keep_blank keeps blank segments (is_blank marks them); keep_empty also keeps one row with a
     null seg_idx for a transcript without segments, so rollups need no join to find it.
     """
     # always outer: an inner explode repeats the computation of `segments` as a pushed-down filter
-    carried = [c for c in ("class_name",) if c in transcripts.columns]
+    carried = [c for c in ("class_name", "document") if c in transcripts.columns]
     exploded = transcripts.select(
         "file", *carried, "language", F.posexplode_outer("segments").alias("seg_idx", "segment"))
     if not keep_empty:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.features import ACOUSTIC
 from ..functions.scores import sigmoid, sigmoid_scores, softmax_map, with_classification
-from ..functions.text import with_text_proxies
+from ..functions.text import strip, with_text_proxies
 from ..operators.lexicon import pieces
 from ..operators.segments import explode_segments
 from ..plans.recordings import timed_segments
 from ..settings import TOXIC_LABELS
 from ..sources.pairs import ACOUSTIC_SUFFIX, OUTPUTS, TEXT_SUFFIX
-from ..sources.recording_files import write_line_files, write_recording_files
+from ..sources.recording_files import PACKED, write_line_files, write_recording_files
 
 # A small valence lexicon and the label vocabularies of the score fixture.
 LEXICON = {
@@ -192,33 +194,54 @@ PAIR_SHIFT = 0.37
 
 
 def write_pairs(spark: SparkSession, d: str, path: str) -> dict[int, str]:
-    """Every document as a pair of feature files, in one folder per class; returns the folders.
+    """Every document as a pair of packed feature files, in one folder per class; returns the folders.
 
     Every third segment has no acoustic row and every 23rd document no acoustic file; the classified file of every
     17th document is cut off, and the acoustic file of every 19th holds no list.
     """
-    toxic = table(spark, d, "labels").filter("toxic = 1").select(F.concat(F.lit("doc_"), "doc_id").alias("file"), F.lit("1").alias("class"))
-    rows = segs(spark, d).join(toxic, "file", "left").withColumn("class", F.coalesce("class", F.lit("0")))
-    rows = rows.withColumn("base", F.concat_ws("/", "class", "file"))
-    outputs = F.struct(*[F.col(f"model_outputs.{m}").alias(name) for m, name in OUTPUTS.items()])
-    text = F.struct(
-        F.col("start_s").alias("start"), F.col("end_s").alias("end"), "text", "overall_toxicity", "is_toxic",
-        F.array().cast("array<string>").alias("detected_issues"), outputs.alias("model_outputs"),
-        F.create_map(F.lit("custom_score"), F.lit(0.25), F.lit("f0_mean"), F.lit(1.0)).alias("categories"))
-    late = [(F.col(f"{x}_s") + PAIR_SHIFT).alias(x) for x in ("start", "end")]
-    heard = F.struct(*late, "emotion", *ACOUSTIC)
-
-    def files(condition: Column, row: Column, value: Column, suffix: str) -> DataFrame:
-        placed = F.array_sort(F.collect_list(F.struct("seg_idx", F.to_json(row).alias("json"))))
-        listed = rows.filter(condition).groupBy("base", "file").agg(
-            F.concat(F.lit("["), F.array_join(placed["json"], ", "), F.lit("]")).alias("list"))
-        return listed.select(F.concat("base", F.lit(suffix)).alias("name"), value.alias("value"))
-
-    whole = F.concat(F.lit('{"segment_classifications": '), "list", F.lit("}"))
-    cut = F.when(doc_id() % 17 == 0, F.expr("substring(list, 1, length(list) - 2)")).otherwise(whole)
-    odd = F.when(doc_id() % 19 == 0, F.concat(F.lit('{"rows": '), "list", F.lit("}"))).otherwise(F.col("list"))
-    write_recording_files(files(F.lit(True), text, cut, TEXT_SUFFIX), path)
-    write_recording_files(files((F.col("seg_idx") % 3 < 2) & (doc_id() % 23 != 0), heard, odd, ACOUSTIC_SUFFIX), path)
+    key, file = F.struct("file").alias("key"), F.concat(F.lit("doc_"), "doc_id").alias("file")  # a null file is one too
+    toxic = table(spark, d, "labels").filter("toxic = 1 AND doc_id IS NOT NULL").select(file).groupBy(key).agg(F.count("*").alias("times"))
+    # texts are dealt out once, by document: segments carry the name of theirs instead
+    named = transcripts(spark, d).withColumn("document", F.md5("text"))
+    spoken = F.transform("segments", lambda s: strip(F.coalesce(s["text"], F.lit(""))))
+    texts = named.groupBy(key).agg(F.collect_set(F.struct("document", spoken.alias("texts"))).alias("documents"))
+    # one group holds both files of a document: segments are scored and dealt out once
+    near = (F.col("seg_idx") % 3 < 2) & (doc_id() % 23 != 0)
+    rows = timed_segments(named, lexicon(spark)).groupBy(key).agg(F.collect_list(F.struct(
+        "seg_idx", "document", "start_s", "end_s", "overall_toxicity", "is_toxic", "model_outputs",
+        F.when(near, F.struct("emotion", *ACOUSTIC)).alias("heard"))).alias("rows"))
+    # a document that is labelled several times has its segments as often
+    often = F.flatten(F.transform("rows", lambda r: F.array_repeat(r, F.col("times").cast("int"))))
+    found = rows.join(texts, "key").join(toxic, "key", "left").select(
+        "key.file", "documents", F.concat_ws("/", F.when(F.col("times").isNotNull(), "1").otherwise("0"), "key.file").alias("base"),
+        F.when(F.col("times") > 1, often).otherwise(F.col("rows")).alias("rows"))
+
+    def text(r: Column) -> Column:
+        own = F.filter("documents", lambda t: t["document"] == r["document"])
+        outputs = F.struct(*[r["model_outputs"][m].alias(name) for m, name in OUTPUTS.items()])
+        return F.struct(
+            r["start_s"].alias("start"), r["end_s"].alias("end"), own[0]["texts"][r["seg_idx"]].alias("text"),
+            r["overall_toxicity"].alias("overall_toxicity"), r["is_toxic"].alias("is_toxic"),
+            F.array().cast("array<string>").alias("detected_issues"), outputs.alias("model_outputs"),
+            F.create_map(F.lit("custom_score"), F.lit(0.25), F.lit("f0_mean"), F.lit(1.0)).alias("categories"))
+
+    def heard(r: Column) -> Column:
+        late = [(r[f"{x}_s"] + PAIR_SHIFT).alias(x) for x in ("start", "end")]
+        return F.struct(*late, *[r["heard"][c].alias(c) for c in ("emotion", *ACOUSTIC)])
+
+    def listed(rows: Column, row: Callable[[Column], Column]) -> Column:
+        placed = F.array_sort(F.transform(rows, lambda r: F.struct(r["seg_idx"].alias("seg_idx"), F.to_json(row(r)).alias("json"))))
+        return F.concat(F.lit("["), F.array_join(placed["json"], ", "), F.lit("]"))
+
+    others = F.filter("rows", lambda r: r["heard"].isNotNull())
+    lists = found.select("file", "base", listed(F.col("rows"), text).alias("text"), F.when(F.size(others) > 0, listed(others, heard)).alias("heard"))
+    whole = F.concat(F.lit('{"segment_classifications": '), "text", F.lit("}"))
+    cut = F.when(doc_id() % 17 == 0, F.expr("substring(text, 1, length(text) - 2)")).otherwise(whole)
+    odd = F.when(doc_id() % 19 == 0, F.concat(F.lit('{"rows": '), "heard", F.lit("}"))).otherwise(F.col("heard"))
+    files = lists.select(F.inline_outer(F.array(*[
+        F.struct(F.concat("base", F.lit(suffix + PACKED)).alias("name"), value.alias("value"))
+        for suffix, value in ((TEXT_SUFFIX, cut), (ACOUSTIC_SUFFIX, odd))])))
+    write_recording_files(files.filter("value is not null"), path)
     return {c: f"{path}/{c}" for c in (0, 1)}
 
 
